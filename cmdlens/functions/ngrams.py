@@ -47,6 +47,28 @@ def distinct_trigrams(text: Column | str) -> Column:
     return F.array_distinct(trigrams(text))
 
 
+def latin1_view(text: Column | str) -> Column:
+    """One character per UTF-8 byte (so character slices are byte slices)."""
+    return F.decode(F.encode(_as_col(text), "UTF-8"), "ISO-8859-1")
+
+
+def distinct_trigram_strings(text: Column | str) -> Column:
+    """Distinct 3-byte windows of ``text`` as 3-character Latin-1 strings.
+
+    One native regex pass: a zero-width lookahead captures every overlapping
+    window (DOTALL, so line breaks count as bytes too).
+    """
+    windows = F.regexp_extract_all(latin1_view(text), F.lit("(?s)(?=(.{3}))"), 1)
+    return F.array_distinct(windows)
+
+
+def pack_gram(gram3: Column | str) -> Column:
+    """int value of a 3-character Latin-1 window: b0 << 16 | b1 << 8 | b2."""
+    g = _as_col(gram3)
+    return (F.ascii(F.substring(g, 1, 1)) * 65536 + F.ascii(F.substring(g, 2, 1)) * 256
+            + F.ascii(F.substring(g, 3, 1))).cast("int")
+
+
 def trigrams_of(text: str) -> list[int]:
     """Driver-side trigrams of a query literal (keywords are tiny)."""
     b = text.encode("utf-8")

@@ -19,19 +19,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ngrams import distinct_trigrams, trigrams
+from ..functions.ngrams import distinct_trigram_strings, pack_gram, trigrams
 from ..schema import HITS_COLUMNS
 from .filters import scope
 from .search import normalize_limit
 from .squelch import squelch
-from .util import broadcast_if_small, salt_column
+from .util import broadcast_if_small, salt_column, spread
 
 SALT_BUCKETS = 32
 
 
 def build_index(history: DataFrame, text_col: str = "cmd", key_col: str = "hash") -> DataFrame:
-    """(ngram int, key) for every distinct byte trigram of every row."""
-    return history.select(F.explode(distinct_trigrams(F.col(text_col))).alias("ngram"), key_col)
+    """(ngram int, key) for every distinct byte trigram of every row.
+
+    Windows are extracted and de-duplicated per row in one native pass, then
+    exploded; only (window, key) rows leave the generator -- the text column
+    is not carried -- and the int packing runs in whole-stage codegen.
+    """
+    rows = spread(history.select(key_col, text_col))
+    windows = rows.select(key_col, F.explode(distinct_trigram_strings(F.col(text_col))).alias("_g"))
+    return windows.select(pack_gram("_g").alias("ngram"), key_col)
 
 
 def gram_doc_freq(index: DataFrame, key_col: str = "hash") -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import byte_levenshtein, edit_threshold, shell_tokens
+from ..functions.text import byte_view, edit_threshold, shell_tokens
 
 
 def normalize_phrase(phrase: str) -> str:
@@ -27,23 +27,38 @@ def phrase_exact(cmd: Column, phrase: str) -> Column:
     return F.contains(F.lower(cmd), F.lit(p))
 
 
+def _latin1_literal(word: str) -> str:
+    """A query word as the Latin-1 view of its UTF-8 bytes."""
+    return word.encode("utf-8").decode("latin-1")
+
+
 def phrase_fuzzy(cmd: Column, phrase: str) -> Column:
-    """True when all phrase words are consumed in order by the command's tokens."""
+    """True when all phrase words are consumed in order by the command's tokens.
+
+    Tokens come from the Latin-1 (one character per byte) view of the
+    lower-cased command, computed once per row, so ``contains`` and the
+    bounded ``levenshtein(token, word, threshold)`` work on bytes with no
+    per-token re-encoding. Each word is a literal in its own branch, so the
+    edit-distance threshold is a constant and the DP stops early.
+    """
     p = normalize_phrase(phrase)
     words = p.split()
     if not words:
         return F.lit(False)
     n = len(words)
-    word_arr = F.array(*[F.lit(w) for w in words])
-    thr_arr = F.array(*[F.lit(edit_threshold(w)) for w in words])
+
+    def word_hit(tok, k):
+        w = F.lit(_latin1_literal(words[k]))
+        return F.contains(tok, w) | (F.levenshtein(tok, w, edit_threshold(words[k])) >= 0)
 
     def step(qi, tok):
-        w = F.element_at(word_arr, qi + 1)
-        t = F.element_at(thr_arr, qi + 1)
-        hit = F.contains(tok, w) | (byte_levenshtein(tok, w) <= t)
-        return F.when((qi < n) & hit, qi + 1).otherwise(qi)
+        hit = F.lit(False)
+        for k in reversed(range(n)):
+            hit = F.when(qi == k, word_hit(tok, k)).otherwise(hit)
+        return F.when(qi < n, F.when(hit, qi + 1).otherwise(qi)).otherwise(qi)
 
-    consumed = F.aggregate(shell_tokens(F.lower(cmd)), F.lit(0), step)
+    tokens = shell_tokens(byte_view(F.lower(cmd)))
+    consumed = F.aggregate(tokens, F.lit(0), step)
     return consumed == n
 
 

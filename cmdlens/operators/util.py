@@ -25,3 +25,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tup
 def salt_column(key_col: str, buckets: int):
     """Deterministic salt in [0, buckets) from a high-cardinality column."""
     return F.pmod(F.xxhash64(F.col(key_col)), F.lit(buckets)).cast("int")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a DataFrame whose scan yields fewer partitions than the
+    cluster's default parallelism (e.g. one large row group) before CPU-heavy
+    per-row work. On a cluster reading many files this is a no-op: no shuffle
+    is added when the input is already split at least that finely.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

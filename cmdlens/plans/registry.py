@@ -19,6 +19,7 @@ from ..operators import hashlet, index, ingest, maintenance, stats
 from ..operators.phrase import phrase_match
 from ..operators.filters import scope
 from ..operators.squelch import DEFAULT_SQUELCH, squelch
+from ..operators.util import spread
 from ..sources import fixtures, store, tool_calls
 from ..streaming import ingest as streaming
 from ..session import checkpoint_path
@@ -249,7 +250,7 @@ DOC_PHRASE = "enchè ouan du"
 SELECT doc_id, {O.exact_sql('text', DOC_PHRASE)} AS exact FROM documents
 WHERE {O.exact_sql('text', DOC_PHRASE)} OR {O.fuzzy_sql('text', DOC_PHRASE)}""")
 def phrase_fuzzy_documents(spark, sf):
-    d = documents(spark, sf)
+    d = spread(documents(spark, sf).select("doc_id", "text"))
     matched, exact = phrase_match(F.col("text"), DOC_PHRASE)
     return d.select("doc_id", exact.alias("exact"), matched.alias("_m")).filter("_m").drop("_m")
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.hashing import command_hash
-from ..functions.ngrams import distinct_trigrams
+from ..functions.ngrams import distinct_trigram_strings, pack_gram
 from ..operators.ingest import latest_aggregates, normalize_events
 from ..schema import META_KEYS
 from ..session import checkpoint_path
@@ -76,7 +76,8 @@ def index_stream(events: DataFrame) -> DataFrame:
     """(ngram, hash) rows for commands not seen before (append mode)."""
     ev = normalize_events(events).select("cmd").withColumn("hash", command_hash("cmd"))
     first = ev.dropDuplicates(["hash"])
-    return first.select(F.explode(distinct_trigrams(F.col("cmd"))).alias("ngram"), "hash")
+    windows = first.select(F.explode(distinct_trigram_strings(F.col("cmd"))).alias("_g"), "hash")
+    return windows.select(pack_gram("_g").alias("ngram"), "hash")
 
 
 def start_index(events: DataFrame, path: str, checkpoint: str | None = None,
