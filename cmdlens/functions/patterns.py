@@ -123,6 +123,7 @@ def re2_to_java(expr: str) -> str:
     in_class = False
     multiline = False
     case_insensitive = False
+    class_start = False
     depth = 0
     while i < n:
         c = expr[i]
@@ -149,6 +150,7 @@ def re2_to_java(expr: str) -> str:
             else:
                 out.append(c + d)
             i += 2
+            class_start = False
             continue
         if in_class:
             if c == "[" and expr.startswith("[:", i):
@@ -162,6 +164,7 @@ def re2_to_java(expr: str) -> str:
                     raise PatternError(f"unsupported POSIX class [:{name}:]")
                 out.append(POSIX_CLASSES[key])
                 i = end + 2
+                class_start = False
                 continue
             if c == "]" and not class_start:
                 in_class = False
@@ -226,20 +229,3 @@ def re2_to_java(expr: str) -> str:
         raise PatternError("missing closing )")
     prefix = "(?d)" + ("(?u)" if case_insensitive else "")
     return prefix + "".join(out)
-
-
-def validate_java(regex: str) -> None:
-    """Compile on the driver with Python's engine as a cheap sanity check for
-    the common syntax errors; Java compiles the final form at plan time."""
-    import re
-
-    probe = (regex.replace("(?d)", "").replace("(?u)", "").replace("\\z", "\\Z")
-             .replace("\\A", "\\A"))
-    probe = probe.replace("\\p{Alnum}", "a-zA-Z0-9").replace("\\p{Alpha}", "a-zA-Z")
-    probe = probe.replace("\\x{", "\\x{")
-    try:
-        re.compile(probe.replace("\\x{b}", "\\x0b"))
-    except re.error as exc:  # pragma: no cover - message only
-        if "\\p{" in regex or "\\x{" in regex:
-            return
-        raise PatternError(str(exc)) from exc
