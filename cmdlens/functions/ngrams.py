@@ -39,12 +39,12 @@ def pack_trigrams(codes: Column) -> Column:
 def trigrams(text: Column | str) -> Column:
     """array<int> of every byte trigram of ``text`` in order (duplicates kept);
     empty for inputs under three bytes."""
-    return pack_trigrams(byte_codes(text))
+    return F.transform(trigram_windows(text), lambda g: pack_gram(g))
 
 
 def distinct_trigrams(text: Column | str) -> Column:
     """Set of byte trigrams of ``text`` (what the inverted index stores)."""
-    return F.array_distinct(trigrams(text))
+    return F.transform(distinct_trigram_strings(text), lambda g: pack_gram(g))
 
 
 def latin1_view(text: Column | str) -> Column:
@@ -52,14 +52,18 @@ def latin1_view(text: Column | str) -> Column:
     return F.decode(F.encode(_as_col(text), "UTF-8"), "ISO-8859-1")
 
 
-def distinct_trigram_strings(text: Column | str) -> Column:
-    """Distinct 3-byte windows of ``text`` as 3-character Latin-1 strings.
+def trigram_windows(text: Column | str) -> Column:
+    """Every 3-byte window of ``text`` as a 3-character Latin-1 string, in order.
 
     One native regex pass: a zero-width lookahead captures every overlapping
     window (DOTALL, so line breaks count as bytes too).
     """
-    windows = F.regexp_extract_all(latin1_view(text), F.lit("(?s)(?=(.{3}))"), 1)
-    return F.array_distinct(windows)
+    return F.regexp_extract_all(latin1_view(text), F.lit("(?s)(?=(.{3}))"), 1)
+
+
+def distinct_trigram_strings(text: Column | str) -> Column:
+    """Distinct 3-byte windows of ``text`` (3-character Latin-1 strings)."""
+    return F.array_distinct(trigram_windows(text))
 
 
 def pack_gram(gram3: Column | str) -> Column:

@@ -24,21 +24,23 @@ from ..schema import HITS_COLUMNS
 from .filters import scope
 from .search import normalize_limit
 from .squelch import squelch
-from .util import broadcast_if_small, salt_column, spread
+from .util import BROADCAST_MAX_ROWS, has_at_most, materialize, salt_column, spread
 
 SALT_BUCKETS = 32
 
 
-def build_index(history: DataFrame, text_col: str = "cmd", key_col: str = "hash") -> DataFrame:
+def build_index(history: DataFrame, text_col: str = "cmd", key_col: str = "hash",
+                keep: tuple[str, ...] | None = None) -> DataFrame:
     """(ngram int, key) for every distinct byte trigram of every row.
 
     Windows are extracted and de-duplicated per row in one native pass, then
     exploded; only (window, key) rows leave the generator -- the text column
     is not carried -- and the int packing runs in whole-stage codegen.
     """
-    rows = spread(history.select(key_col, text_col))
-    windows = rows.select(key_col, F.explode(distinct_trigram_strings(F.col(text_col))).alias("_g"))
-    return windows.select(pack_gram("_g").alias("ngram"), key_col)
+    cols = list(keep) if keep else [key_col]
+    rows = spread(history.select(*dict.fromkeys([*cols, text_col])))
+    windows = rows.select(*cols, F.explode(distinct_trigram_strings(F.col(text_col))).alias("_g"))
+    return windows.select(pack_gram("_g").alias("ngram"), *cols)
 
 
 def gram_doc_freq(index: DataFrame, key_col: str = "hash") -> DataFrame:
@@ -52,40 +54,50 @@ def latin1(text) -> Column:
     return F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
 
 
-def short_gram_index(history: DataFrame) -> DataFrame:
-    """(sgram, hash): every distinct 1- and 2-byte substring of ``cmd``
-    (as Latin-1 byte strings), built with whole-array steps."""
-    ones = F.split(latin1("cmd"), "")
-    n = F.size(ones)
-    twos = F.zip_with(F.slice(ones, 1, F.greatest(n - 1, F.lit(1))),
-                      F.slice(ones, 2, F.greatest(n - 1, F.lit(1))), lambda a, b: F.concat(a, b))
-    grams = F.array_distinct(F.filter(F.concat(ones, twos), lambda g: g.isNotNull() & (g != "")))
-    return history.select(F.explode(grams).alias("sgram"), "hash")
-
-
-def _query_grams(queries: DataFrame) -> DataFrame:
-    long_kws = F.filter(F.col("keywords"), lambda k: F.octet_length(k) > 2)
-    grams = F.array_distinct(F.flatten(F.transform(long_kws, lambda k: trigrams(k))))
-    return queries.select("qid", F.explode(grams).alias("ngram"))
-
-
-def _query_short(queries: DataFrame) -> DataFrame:
-    short = F.filter(F.col("keywords"),
-                     lambda k: (F.octet_length(k) >= 1) & (F.octet_length(k) <= 2))
-    return queries.select("qid", F.explode(F.array_distinct(short)).alias("kw")).select(
-        "qid", latin1("kw").alias("sgram"))
+def short_gram_index(history: DataFrame, keep: tuple[str, ...] = ("hash",)) -> DataFrame:
+    """(sgram, *keep): every distinct 1- and 2-byte substring of ``cmd``
+    (Latin-1 byte strings), from two native regex passes per row."""
+    lat = latin1("cmd")
+    ones = F.regexp_extract_all(lat, F.lit("(?s)(.)"), 1)
+    twos = F.regexp_extract_all(lat, F.lit("(?s)(?=(..))"), 1)
+    grams = F.array_distinct(F.concat(ones, twos))
+    return history.select(F.explode(grams).alias("sgram"), *keep)
+
+
+def _top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """Exact top-n rows per group. ``row_number() <= n`` is planned as a partial
+    WindowGroupLimit before the shuffle, so a group holding a third of all rows
+    sends at most n rows per map task."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def _query_keys(queries: DataFrame) -> DataFrame:
+    """qid, qcwd plus the query's trigram set and 1-2 byte keyword set, each
+    with a canonical string key (queries sharing keywords share the work)."""
+    kws = F.filter(F.col("keywords"), lambda k: k.isNotNull())
+    long_kws = F.filter(kws, lambda k: F.octet_length(k) > 2)
+    grams = F.array_sort(F.array_distinct(F.flatten(F.transform(long_kws, lambda k: trigrams(k)))))
+    short_kws = F.filter(kws, lambda k: (F.octet_length(k) >= 1) & (F.octet_length(k) <= 2))
+    shorts = F.array_sort(F.array_distinct(F.transform(short_kws, lambda k: latin1(k))))
+    q = queries.select("qid", F.coalesce(F.col("cwd"), F.lit("")).alias("qcwd"),
+                       grams.alias("_grams"), shorts.alias("_shorts"))
+    return q.select(
+        "qid", "qcwd", "_grams", "_shorts",
+        F.array_join(F.transform("_grams", lambda g: g.cast("string")), ",").alias("gk"),
+        F.array_join(F.transform("_shorts", lambda x: F.hex(F.encode(x, "ISO-8859-1"))), ",").alias("sk"))
 
 
-def _join_keyed(big: DataFrame, small: DataFrame, key: str, salt_on: str) -> DataFrame:
-    """Join ``small`` (query side) to ``big`` (index side) on ``key``.
+def _join_keyed(big: DataFrame, small: DataFrame, key: str, salt_on: str,
+                small_ok: bool) -> DataFrame:
+    """Join the query-derived side ``small`` to the index side ``big`` on ``key``.
 
-    Broadcast when the query side passes a row-count check; otherwise salt:
-    the index side is spread over SALT_BUCKETS by a hash of ``salt_on`` and the
-    query side is replicated per bucket, so a hot key is split across tasks.
+    Broadcast when the query side is proven small; otherwise salt: the index
+    side is spread over SALT_BUCKETS by a hash of ``salt_on`` and the query
+    side is replicated per bucket, so a hot key is split across tasks.
     """
-    side, is_small = broadcast_if_small(small)
-    if is_small:
-        return big.join(side, key)
+    if small_ok:
+        return big.join(F.broadcast(small), key)
     salted_big = big.withColumn("_salt", salt_column(salt_on, SALT_BUCKETS))
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))))
     return salted_big.join(salted_small, [key, "_salt"]).drop("_salt")
@@ -98,36 +110,64 @@ def batch_search(history: DataFrame, queries: DataFrame, limit: int | None = 5,
 
     ``queries``: qid, keywords array<string>, cwd string ('' or NULL = global).
     Output: qid + hit columns + is_global, rank, pos (1-based per query).
+
+    Only each tier's top ``limit`` rows can be returned, so candidates are
+    the exact top-``limit`` per keyword set (global tiers) and per keyword set
+    and directory (local tiers), computed once per distinct keyword set and
+    then joined to the queries that use it.
     """
     n = normalize_limit(limit)
-    q = queries.select("qid", F.coalesce(F.col("cwd"), F.lit("")).alias("qcwd"),
-                       F.filter(F.col("keywords"), lambda k: k.isNotNull()).alias("keywords"))
+    # the keyed query table feeds six branches: write it once, read it six times
+    q = materialize(_query_keys(queries))
+    queries_small = has_at_most(q, BROADCAST_MAX_ROWS)
+
+    def small(df: DataFrame) -> DataFrame:
+        # bounded by (number of queries x constant): covered by the query-table check
+        return F.broadcast(df) if queries_small else df
+
     hist = scope(history, source=source).select("hash", "cmd", "cwd", "ts_ms", "source")
     if index is None:
-        index = build_index(hist)
+        idx = build_index(hist.select("hash", "cmd", "cwd", "ts_ms"), keep=("hash", "cwd", "ts_ms"))
     else:
-        index = index.join(hist.select("hash"), "hash", "left_semi")
-
-    ranked = (_join_keyed(index, _query_grams(q), "ngram", "hash")
-              .groupBy("qid", "hash").agg(F.count("*").alias("rank")))
-    scans = (_join_keyed(short_gram_index(hist), _query_short(q), "sgram", "hash")
-             .select("qid", "hash").distinct())
-    cand = (ranked.select("qid", "hash", "rank", F.lit(False).alias("scan"))
-            .unionByName(scans.select("qid", "hash", F.lit(0).alias("rank"), F.lit(True).alias("scan")))
-            .groupBy("qid", "hash").agg(F.sum("rank").alias("rank"), F.max("scan").alias("scan")))
-
-    qinfo, _ = broadcast_if_small(q.select("qid", "qcwd"))
-    rows = cand.join(hist, "hash").join(qinfo, "qid")
-    local = (F.col("qcwd") != "") & (F.col("cwd") == F.col("qcwd"))
-    rank, scan = F.col("rank"), F.col("scan")
-    tier = (F.when(local & (rank > 0), 1).when(local & scan, 2)
-            .when(rank > 0, 3).when(scan, 4))
-    scored = (rows.withColumn("tier", tier)
-              .withColumn("rank_key", F.when(F.col("tier").isin(1, 3), rank).otherwise(F.lit(0))))
+        idx = index.select("ngram", "hash").join(hist.select("hash", "cwd", "ts_ms"), "hash")
+
+    # rank = distinct query trigrams present, once per distinct trigram set
+    gsets = q.filter(F.col("gk") != "").select("gk", F.explode("_grams").alias("ngram")).distinct()
+    ranked = (_join_keyed(idx, gsets, "ngram", "hash", queries_small)
+              .groupBy("gk", "hash").agg(F.count("*").alias("rank"),
+                                         F.first("cwd").alias("cwd"), F.first("ts_ms").alias("ts_ms")))
+    rorder = [F.col("rank").desc(), F.col("ts_ms").desc(), F.col("hash").asc()]
+    t3 = _top_per_group(ranked, ["gk"], rorder, n)
+    t1 = _top_per_group(ranked.filter(F.col("cwd") != ""), ["gk", "cwd"], rorder, n)
+
+    # substring hits of 1-2 byte keywords, once per distinct short-keyword set
+    ssets = q.filter(F.col("sk") != "").select("sk", F.explode("_shorts").alias("sgram")).distinct()
+    sidx = short_gram_index(hist, keep=("hash", "cwd", "ts_ms"))
+    scans = _join_keyed(sidx, ssets, "sgram", "hash", queries_small).select(
+        "sk", "hash", "cwd", "ts_ms").distinct()
+    sorder = [F.col("ts_ms").desc(), F.col("hash").asc()]
+    t4 = _top_per_group(scans, ["sk"], sorder, n)
+    t2 = _top_per_group(scans.filter(F.col("cwd") != ""), ["sk", "cwd"], sorder, n)
+
+    qk = q.select("qid", "qcwd", "gk", "sk")
+    local_q = qk.filter(F.col("qcwd") != "")
+    c1 = local_q.join(small(t1.withColumnRenamed("cwd", "qcwd")), ["gk", "qcwd"]).select(
+        "qid", "hash", "rank", F.lit(1).alias("tier"))
+    c2 = local_q.join(small(t2.withColumnRenamed("cwd", "qcwd")), ["sk", "qcwd"]).select(
+        "qid", "hash", F.lit(0).cast("long").alias("rank"), F.lit(2).alias("tier"))
+    c3 = qk.join(small(t3), "gk").select("qid", "hash", "rank", F.lit(3).alias("tier"))
+    c4 = qk.join(small(t4), "sk").select(
+        "qid", "hash", F.lit(0).cast("long").alias("rank"), F.lit(4).alias("tier"))
+    cand = (c1.unionByName(c2).unionByName(c3).unionByName(c4)
+            .groupBy("qid", "hash").agg(F.min("tier").alias("tier"), F.max("rank").alias("rank")))
+
+    # candidates are at most 4 x limit per query: broadcast them, stream history
+    rows = hist.join(small(cand), "hash").join(small(qk.select("qid", "qcwd")), "qid")
+    scored = rows.withColumn(
+        "rank_key", F.when(F.col("tier").isin(1, 3), F.col("rank")).otherwise(F.lit(0)))
     per_q = Window.partitionBy("qid")
-    w = per_q.orderBy(F.col("tier").asc(), F.col("rank_key").desc(), F.col("ts_ms").desc(),
-                      F.col("hash").asc())
-    top = scored.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+    top = _top_per_group(scored, ["qid"], [F.col("tier").asc(), F.col("rank_key").desc(),
+                                           F.col("ts_ms").desc(), F.col("hash").asc()], n)
     top = top.withColumn("_best", F.min("tier").over(per_q)).filter(F.col("tier") == F.col("_best"))
     if annotations is not None:
         ann = annotations.select("hash", F.col("type").alias("_atype"))

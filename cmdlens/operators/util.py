@@ -37,3 +37,16 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder (``spark.checkpoint.dir``)
+    and cut its lineage, for inputs read by several branches of one plan.
+
+    A reliable checkpoint: files on the shared filesystem, so a lost executor
+    costs a re-read, not a recomputation of the whole lineage.
+    """
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

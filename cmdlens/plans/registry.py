@@ -19,7 +19,7 @@ from ..operators import hashlet, index, ingest, maintenance, stats
 from ..operators.phrase import phrase_match
 from ..operators.filters import scope
 from ..operators.squelch import DEFAULT_SQUELCH, squelch
-from ..operators.util import spread
+from ..operators.util import materialize, spread
 from ..sources import fixtures, store, tool_calls
 from ..streaming import ingest as streaming
 from ..session import checkpoint_path
@@ -48,6 +48,12 @@ def history(spark, sf) -> DataFrame:
     return ingest.ingest(fixtures.command_events(events(spark, sf)))
 
 
+def stored_history(spark, sf) -> DataFrame:
+    """The ingested history written once (as a deployment stores it) for
+    queries that read it from several branches."""
+    return materialize(history(spark, sf))
+
+
 def documents(spark, sf):
     return fixtures.load(spark, sf, "documents")
 
@@ -187,7 +193,7 @@ FROM limited"""
 @register("batch_search", BATCH_SQL)
 def batch_search(spark, sf):
     ev = events(spark, sf)
-    h = ingest.ingest(fixtures.command_events(ev))
+    h = stored_history(spark, sf)
     return commands.batch_search(h, fixtures.search_queries(ev), limit=5)
 
 
@@ -195,7 +201,7 @@ def batch_search(spark, sf):
 def batch_search_indexed(spark, sf):
     """Same queries against a prebuilt trigram index table."""
     ev = events(spark, sf)
-    h = ingest.ingest(fixtures.command_events(ev))
+    h = stored_history(spark, sf)
     return commands.batch_search(h, fixtures.search_queries(ev), limit=5, idx=index.build_index(h))
 
 
@@ -341,7 +347,7 @@ SELECT m.prefix,
        h.hash, h.cmd, h.cwd, h.ts_ms, h.source
 FROM m LEFT JOIN history h ON m.n = 1 AND h.hash = m.hh""")
 def resolve_prefixes(spark, sf):
-    h = history(spark, sf)
+    h = stored_history(spark, sf)
     return commands.resolve_prefixes(h, fixtures.hash_prefixes(h))
 
 
@@ -453,7 +459,7 @@ annotations AS (SELECT hash, 1 AS type, 'prune' AS "desc" FROM marks WHERE hash
 
 
 def _marked(spark, sf):
-    h = history(spark, sf)
+    h = stored_history(spark, sf)
     empty = spark.createDataFrame([], "hash string, type int, desc string")
     mark = h.filter(category("cmd") == "containers").select("hash")
     unmark = h.filter(F.col("cmd").contains("view")).select("hash")

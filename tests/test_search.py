@@ -105,7 +105,7 @@ def test_batch_search_salted_path(spark, monkeypatch):
     h = make_history(spark, [(i, f"git status {i}", "/a", i) for i in range(30)])
     q = spark.createDataFrame([("q", ["status", "3"], "")], "qid string, keywords array<string>, cwd string")
     want = [r.cmd for r in batch_search(h, q).orderBy("pos").collect()]
-    monkeypatch.setattr(idx_mod, "broadcast_if_small", lambda df, max_rows=0: (df, False))
+    monkeypatch.setattr(idx_mod, "has_at_most", lambda df, max_rows=0: False)
     got = [r.cmd for r in batch_search(h, q).orderBy("pos").collect()]
     assert got == want and len(got) == 5
 
