@@ -61,12 +61,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     never replaced. Only when it is unset -- local tests -- a scratch folder is
     created and registered.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="cmdlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    sc = spark.sparkContext
+    active = sc.getCheckpointDir()
+    if active:
+        return active
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not configured:
+        configured = tempfile.mkdtemp(prefix="cmdlens-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir() or configured
 
 
 def checkpoint_path(spark: SparkSession, name: str) -> str:
