@@ -146,12 +146,12 @@ def stats_all(base: DataFrame, tz: str | None = "UTC") -> DataFrame:
         F.when(F.col("cwd") != "", F.col("cwd")).alias("dirs"),
         F.hour(t).cast("string").alias("hour"),
         F.date_format(t, "yyyy-MM-dd").alias("day"))
-    rows.createOrReplaceTempView("_cmdlens_stats_rows")
     dims = ["commands", "programs", "categories", "dirs", "hour", "day"]
-    label = "coalesce(" + ", ".join(dims) + ")"
-    which = "CASE " + " ".join(
-        f"WHEN grouping({d}) = 0 THEN '{d}'" for d in dims) + " END"
-    sql = (f"SELECT {which} AS dimension, {label} AS label, count(*) AS count "
-           f"FROM _cmdlens_stats_rows GROUP BY GROUPING SETS ({', '.join('(' + d + ')' for d in dims)})")
-    out = base.sparkSession.sql(sql)
+    which = None
+    for d in dims:
+        cond = F.grouping(d) == 0
+        which = F.when(cond, F.lit(d)) if which is None else which.when(cond, F.lit(d))
+    grouped = rows.groupingSets([[F.col(d)] for d in dims], *dims).agg(
+        which.alias("dimension"), F.count("*").alias("count"))
+    out = grouped.select("dimension", F.coalesce(*[F.col(d) for d in dims]).alias("label"), "count")
     return out.filter(~((F.col("dimension") == "dirs") & F.col("label").isNull()))

@@ -524,3 +524,69 @@ def stream_index(spark, sf):
     qy = streaming.start_index(_event_stream(spark, sf), out)
     qy.awaitTermination()
     return spark.read.parquet(out).select("ngram", "hash")
+
+
+# --------------------------------------------------------------------------- more surface
+@register("stats_grouping_sets", H(STATS_BASE, O.category_map_cte()) + f""",
+rows AS (
+  SELECT cmd AS commands, {O.program_sql()} AS programs, {O.category_sql(O.program_sql())} AS categories,
+         CASE WHEN cwd <> '' THEN cwd END AS dirs,
+         CAST(hour(make_timestamp(ts_ms * 1000)) AS VARCHAR) AS hour,
+         strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS day
+  FROM base)
+SELECT dimension, label, count FROM (
+  SELECT CASE WHEN grouping(commands) = 0 THEN 'commands' WHEN grouping(programs) = 0 THEN 'programs'
+              WHEN grouping(categories) = 0 THEN 'categories' WHEN grouping(dirs) = 0 THEN 'dirs'
+              WHEN grouping(hour) = 0 THEN 'hour' ELSE 'day' END AS dimension,
+         coalesce(commands, programs, categories, dirs, hour, day) AS label, count(*) AS count
+  FROM rows GROUP BY GROUPING SETS ((commands), (programs), (categories), (dirs), (hour), (day)))
+WHERE NOT (dimension = 'dirs' AND label IS NULL)""")
+def stats_grouping_sets(spark, sf):
+    return stats.stats_all(_stats_base(spark, sf))
+
+
+@register("tool_history_category", TOOL_HISTORY_SQL.replace("WHERE source = 'agent' AND tool = 'Read'",
+                                                            "WHERE source = 'agent' AND category = 'search'"))
+def tool_history_category(spark, sf):
+    ev = tool_calls.tool_events(fixtures.tool_call_json(events(spark, sf)))
+    return commands.tool_history(ingest.ingest(ev), category="search", tag="agent")
+
+
+@register("history_tagged", H() + f"\nSELECT {HIST_COLS} FROM history WHERE source = 'agent' AND NOT {DEFAULT_NOISE}")
+def history_tagged(spark, sf):
+    return commands.history(history(spark, sf), source="agent", squelch_patterns=DEFAULT_SQUELCH)
+
+
+@register("find_reversed", O.find_sql(["docker", "view"], 5, "/home/u11/proj").replace(
+    "ORDER BY rank_key DESC, ts_ms DESC, hash) AS INTEGER) AS pos",
+    "ORDER BY rank_key ASC, ts_ms ASC, hash DESC) AS INTEGER) AS pos"))
+def find_reversed(spark, sf):
+    return commands.find(history(spark, sf), ["docker", "view"], limit=5, cwd="/home/u11/proj", reverse=True)
+
+
+CAT_LIMIT_PHRASE = "git statu"
+
+
+@register("cat_limit_phrase", H() + f"""
+SELECT {HIST_COLS}, {O.exact_sql('cmd', CAT_LIMIT_PHRASE)} AS exact,
+       CAST(row_number() OVER (ORDER BY {O.exact_sql('cmd', CAT_LIMIT_PHRASE)} DESC, ts_ms, hash) AS INTEGER) AS pos
+FROM (SELECT * FROM history WHERE source = '' ORDER BY ts_ms DESC, hash DESC LIMIT 300)
+WHERE NOT {DEFAULT_NOISE}
+  AND ({O.exact_sql('cmd', CAT_LIMIT_PHRASE)} OR {O.fuzzy_sql('cmd', CAT_LIMIT_PHRASE)})""")
+def cat_limit_phrase(spark, sf):
+    return commands.cat(history(spark, sf), phrase=CAT_LIMIT_PHRASE, limit=300,
+                        squelch_patterns=DEFAULT_SQUELCH)
+
+
+@register("line_source_ingest", """
+SELECT DISTINCT sha256(cmd) AS hash, cmd, '/docs' AS cwd FROM (
+  SELECT regexp_replace(line, '\\r$', '') AS cmd
+  FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents))
+WHERE cmd <> ''""")
+def line_source_ingest(spark, sf):
+    """Documents written as a plain-text command log to the shared folder,
+    read back one command per line and ingested."""
+    path = checkpoint_path(spark, "line-log")
+    documents(spark, sf).select("text").write.text(path)
+    lines = store.read_lines(spark, path, ts_ms=0)
+    return ingest.ingest(lines, default_cwd="/docs").select("hash", "cmd", "cwd")
