@@ -119,7 +119,9 @@ def batch_search(history: DataFrame, queries: DataFrame, limit: int | None = 5,
     n = normalize_limit(limit)
     # the keyed query table feeds six branches: write it once, read it six times
     q = materialize(_query_keys(queries))
-    queries_small = has_at_most(q, BROADCAST_MAX_ROWS)
+    # Sides derived from the queries: t1..t4 and the candidates hold at most
+    # 4 x n rows per query, so the query-table count bounds all of them.
+    queries_small = has_at_most(q, BROADCAST_MAX_ROWS // (4 * n))
 
     def small(df: DataFrame) -> DataFrame:
         # bounded by (number of queries x constant): covered by the query-table check
@@ -133,7 +135,7 @@ def batch_search(history: DataFrame, queries: DataFrame, limit: int | None = 5,
 
     # rank = distinct query trigrams present, once per distinct trigram set
     gsets = q.filter(F.col("gk") != "").select("gk", F.explode("_grams").alias("ngram")).distinct()
-    ranked = (_join_keyed(idx, gsets, "ngram", "hash", queries_small)
+    ranked = (_join_keyed(idx, gsets, "ngram", "hash", has_at_most(gsets, BROADCAST_MAX_ROWS))
               .groupBy("gk", "hash").agg(F.count("*").alias("rank"),
                                          F.first("cwd").alias("cwd"), F.first("ts_ms").alias("ts_ms")))
     rorder = [F.col("rank").desc(), F.col("ts_ms").desc(), F.col("hash").asc()]
@@ -143,7 +145,7 @@ def batch_search(history: DataFrame, queries: DataFrame, limit: int | None = 5,
     # substring hits of 1-2 byte keywords, once per distinct short-keyword set
     ssets = q.filter(F.col("sk") != "").select("sk", F.explode("_shorts").alias("sgram")).distinct()
     sidx = short_gram_index(hist, keep=("hash", "cwd", "ts_ms"))
-    scans = _join_keyed(sidx, ssets, "sgram", "hash", queries_small).select(
+    scans = _join_keyed(sidx, ssets, "sgram", "hash", has_at_most(ssets, BROADCAST_MAX_ROWS)).select(
         "sk", "hash", "cwd", "ts_ms").distinct()
     sorder = [F.col("ts_ms").desc(), F.col("hash").asc()]
     t4 = _top_per_group(scans, ["sk"], sorder, n)

@@ -137,7 +137,7 @@ def find(history: DataFrame, keywords: list[str], limit: int | None = DEFAULT_LI
     everything = Window.partitionBy(F.lit(1))
     top = (top.withColumn("_best", F.min("tier").over(everything))
            .filter(F.col("tier") == F.col("_best")))
-    hits = with_annotation_type(top, annotations)
+    hits = with_annotation_type(top, annotations, bounded_rows=n)
     hits = squelch(hits, squelch_patterns)
     is_global = F.lit(False) if not cwd else (F.col("tier") >= 3)
     hits = hits.withColumn("is_global", is_global)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest side (rows) we broadcast after counting it; beyond it the join
-# shuffles and AQE's skew handling / salting takes over.
-BROADCAST_MAX_ROWS = 2_000_000
+# Largest side (rows) we broadcast after counting it (or after bounding it by
+# construction); beyond it the join shuffles and AQE's skew handling /
+# salting takes over. Rows here are narrow (keys, ints, a hash).
+BROADCAST_MAX_ROWS = 1_000_000
 
 
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
