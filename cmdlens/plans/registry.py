@@ -513,7 +513,8 @@ def _event_stream(spark, sf):
 @register("stream_latest", ORACLE["ingest_latest"])
 def stream_latest(spark, sf):
     out = checkpoint_path(spark, "stream-latest-table")
-    qy = streaming.start_latest(_event_stream(spark, sf), out)
+    qy = streaming.start_latest(_event_stream(spark, sf), out,
+                                state_partitions=spark.sparkContext.defaultParallelism)
     qy.awaitTermination()
     return streaming.read_latest(spark, out).select("hash", "cmd", "cwd", "ts_ms", "source", "tool", "category")
 
@@ -521,7 +522,8 @@ def stream_latest(spark, sf):
 @register("stream_index", ORACLE["ngram_index"])
 def stream_index(spark, sf):
     out = checkpoint_path(spark, "stream-index-table")
-    qy = streaming.start_index(_event_stream(spark, sf), out)
+    qy = streaming.start_index(_event_stream(spark, sf), out,
+                               state_partitions=spark.sparkContext.defaultParallelism)
     qy.awaitTermination()
     return spark.read.parquet(out).select("ngram", "hash")
 

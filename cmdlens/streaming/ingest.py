@@ -19,6 +19,8 @@ results, so none is set by default.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,6 +38,22 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+@contextmanager
+def _shuffle_partitions(spark: SparkSession, n: int | None):
+    """Fix the number of state partitions a new stream starts with (it is
+    frozen in the checkpoint at first start), restoring the session value."""
+    if not n:
+        yield
+        return
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def latest_stream(events: DataFrame, default_cwd: str | None = None) -> DataFrame:
     """Streaming latest-per-command aggregation (run with outputMode('update'))."""
     ev = normalize_events(events, default_cwd)
@@ -44,7 +62,7 @@ def latest_stream(events: DataFrame, default_cwd: str | None = None) -> DataFram
 
 
 def start_latest(events: DataFrame, path: str, checkpoint: str | None = None,
-                 available_now: bool = True) -> StreamingQuery:
+                 available_now: bool = True, state_partitions: int | None = None) -> StreamingQuery:
     spark = events.sparkSession
     use_rocksdb(spark)
     checkpoint = checkpoint or checkpoint_path(spark, "latest")
@@ -56,7 +74,8 @@ def start_latest(events: DataFrame, path: str, checkpoint: str | None = None,
     writer = (latest_stream(events).writeStream.outputMode("update")
               .option("checkpointLocation", checkpoint).foreachBatch(write_epoch))
     writer = writer.trigger(availableNow=True) if available_now else writer
-    return writer.start()
+    with _shuffle_partitions(spark, state_partitions):
+        return writer.start()
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
@@ -81,11 +100,12 @@ def index_stream(events: DataFrame) -> DataFrame:
 
 
 def start_index(events: DataFrame, path: str, checkpoint: str | None = None,
-                available_now: bool = True) -> StreamingQuery:
+                available_now: bool = True, state_partitions: int | None = None) -> StreamingQuery:
     spark = events.sparkSession
     use_rocksdb(spark)
     checkpoint = checkpoint or checkpoint_path(spark, "index")
     writer = (index_stream(events).writeStream.outputMode("append").format("parquet")
               .option("path", path).option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer
-    return writer.start()
+    with _shuffle_partitions(spark, state_partitions):
+        return writer.start()
