@@ -15,6 +15,7 @@ from ..operators import hashlet, index, maintenance, search, stats
 from ..operators.filters import scope, with_annotation_type
 from ..operators.phrase import phrase_match
 from ..operators.squelch import active_list, squelch
+from ..functions.timefmt import relative_time
 
 HIT_COLS = ["hash", "cmd", "cwd", "ts_ms", "source"]
 
@@ -122,6 +123,19 @@ def prune(hist: DataFrame, idx: DataFrame | None, annotations: DataFrame,
     return candidates, new_hist, new_idx, new_ann
 
 
+def hit_view(hits: DataFrame, as_of_ms=None) -> DataFrame:
+    """The columns behind a result listing: each hit's shortest unique hash
+    prefix *within this result set* (``hashlet``) and a relative-time label.
+
+    The prefix length is one aggregate over the hits (a scalar subquery);
+    ``as_of_ms`` defaults to the newest hit, for reproducible labels.
+    """
+    n = hashlet.min_hashlet_len(hits.select("hash")).scalar()
+    as_of = hits.select(F.max("ts_ms")).scalar() if as_of_ms is None else as_of_ms
+    return hits.withColumn("hashlet", F.substring(F.col("hash"), F.lit(1), n)).withColumn(
+        "when_label", relative_time(F.col("ts_ms"), as_of))
+
+
 def batch_search(hist: DataFrame, queries: DataFrame, limit: int | None = 5,
                  source: str | None = "user", idx: DataFrame | None = None,
                  annotations: DataFrame | None = None, squelch_patterns=None) -> DataFrame:

@@ -592,3 +592,20 @@ def line_source_ingest(spark, sf):
     documents(spark, sf).select("text").write.text(path)
     lines = store.read_lines(spark, path, ts_ms=0)
     return ingest.ingest(lines, default_cwd="/docs").select("hash", "cmd", "cwd")
+
+
+@register("history_view", H(f"""
+hits AS (SELECT {HIST_COLS} FROM history WHERE source = '' AND NOT {DEFAULT_NOISE})""", """
+lens AS (SELECT unnest(generate_series(4, 64)) AS l),
+ok AS (SELECT l FROM lens WHERE (SELECT count(DISTINCT substr(hash, 1, l)) FROM hits) = (SELECT count(*) FROM hits)),
+n AS (SELECT CASE WHEN (SELECT count(*) FROM hits) <= 1 THEN 4 ELSE coalesce((SELECT min(l) FROM ok), 64) END AS n)""") + """
+SELECT hash, cmd, cwd, ts_ms, source, substr(hash, 1, (SELECT n FROM n)) AS hashlet,
+  CASE WHEN d // 86400000 > 0 THEN CASE WHEN d // 86400000 = 1 THEN '1 day ago' ELSE CAST(d // 86400000 AS VARCHAR) || ' days ago' END
+       WHEN d // 3600000 > 0 THEN CASE WHEN d // 3600000 = 1 THEN '1 hour ago' ELSE CAST(d // 3600000 AS VARCHAR) || ' hours ago' END
+       WHEN d // 60000 > 0 THEN CASE WHEN d // 60000 = 1 THEN '1 minute ago' ELSE CAST(d // 60000 AS VARCHAR) || ' minutes ago' END
+       ELSE 'A few moments ago' END AS when_label
+FROM (SELECT *, greatest((SELECT max(ts_ms) FROM hits) - ts_ms, 0) AS d FROM hits)""")
+def history_view(spark, sf):
+    """User history with per-result hash prefixes and relative-time labels."""
+    hits = commands.history(history(spark, sf), squelch_patterns=DEFAULT_SQUELCH)
+    return commands.hit_view(hits)
