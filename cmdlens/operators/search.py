@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ngrams import gram_bytes, trigrams_of
+from ..functions.ngrams import distinct_trigrams, gram_bytes, trigrams_of
 from ..schema import HITS_COLUMNS
 from .filters import scope, with_annotation_type
 from .squelch import squelch
@@ -62,10 +62,18 @@ def _contains_gram(cmd: Column, cmd_bytes: Column, gram: int) -> Column:
     return F.contains(cmd, F.lit(text))
 
 
+# Above this many terms a single array expression replaces the unrolled OR /
+# sum, keeping generated code small for very long queries.
+MAX_UNROLLED_TERMS = 64
+
+
 def rank_column(cmd: Column, grams: list[int]) -> Column:
     """Number of the distinct query trigrams present in ``cmd``."""
     if not grams:
         return F.lit(0)
+    if len(grams) > MAX_UNROLLED_TERMS:
+        query = F.array(*[F.lit(g) for g in grams])
+        return F.size(F.array_intersect(distinct_trigrams(cmd), query))
     cmd_bytes = F.encode(cmd, "UTF-8")
     terms = [_contains_gram(cmd, cmd_bytes, g).cast("int") for g in grams]
     total = terms[0]
@@ -79,6 +87,8 @@ def scan_column(cmd: Column, keywords: list[str]) -> Column:
     kws = [k for k in dict.fromkeys(keywords) if k]
     if not kws:
         return F.lit(False)
+    if len(kws) > MAX_UNROLLED_TERMS:
+        return F.exists(F.array(*[F.lit(k) for k in kws]), lambda k: F.contains(cmd, k))
     pred = F.contains(cmd, F.lit(kws[0]))
     for k in kws[1:]:
         pred = pred | F.contains(cmd, F.lit(k))

@@ -131,3 +131,23 @@ def test_phrase_order(spark):
     assert [(r.cmd, r.exact) for r in got] == [("git comit fix", True), ("gi comt -m fix", False),
                                                ("git commit -m fix", False)]
     assert commands.filtered_history(h, "   ").count() == 0
+
+
+def test_long_queries_use_array_forms(spark):
+    import cmdlens.operators.search as S
+    words = [f"w{i}x" for i in range(80)]
+    rows = [(i, f"echo {w} é{i}", "/a", i) for i, w in enumerate(words)]
+    h = make_history(spark, rows)
+    long_kw = "".join(words)                      # > 64 distinct trigrams
+    want = {r.cmd: r.rank for r in find(h, ["echo", "é3"], limit=10).collect()}
+    got_long = find(h, [long_kw], limit=10).collect()
+    assert len(got_long) == 10 and all(r.rank > 0 for r in got_long)
+    many = find(h, words + ["zz"], limit=100).collect()   # > 64 keywords, all substring-found
+    assert len(many) == 80
+    old = S.MAX_UNROLLED_TERMS
+    try:
+        S.MAX_UNROLLED_TERMS = 0
+        again = {r.cmd: r.rank for r in find(h, ["echo", "é3"], limit=10).collect()}
+    finally:
+        S.MAX_UNROLLED_TERMS = old
+    assert again == want
