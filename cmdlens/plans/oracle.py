@@ -202,12 +202,14 @@ tool_parsed AS (
          CASE WHEN arg <> '' THEN '[' || tool || '] ' || arg ELSE '[' || tool || ']' END AS display,
          coalesce(json_extract_string(js, '$.cwd'), '') AS cwd
   FROM (
-    SELECT event_id, ts_ms, js, json_extract_string(js, '$.tool_name') AS tool,
+    SELECT event_id, ts_ms, js, coalesce(json_extract_string(js, '$.tool_name'), '') AS tool,
            coalesce(regexp_replace(json_extract_string(js, '$.tool_input.' || {_tool_key_case("json_extract_string(js, '$.tool_name')")}),
                                    '^\\s+|\\s+$', '', 'g'), '') AS arg
-    FROM tool_json WHERE json_valid(js)
+    FROM tool_json
+    WHERE json_valid(js) AND json_type(js) = 'OBJECT'
+      AND coalesce(json_type(js, '$.tool_input'), 'OBJECT') = 'OBJECT'
   ) p
-  WHERE tool IS NOT NULL AND tool NOT IN {in_list(SKIPPED_TOOLS)}
+  WHERE tool NOT IN {in_list(SKIPPED_TOOLS)}
 )"""
 
 

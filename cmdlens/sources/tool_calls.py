@@ -3,8 +3,10 @@
 ``{"tool_name": str, "tool_input": {str: str}, "cwd": str}`` becomes a
 display command ``[Tool] arg`` (or ``[Tool]`` when the argument is empty),
 the tool's category and the tool name. Skipped tools and malformed JSON
-produce no row. Fields stay separate columns, so commands holding tabs or
-newlines are carried intact.
+(including non-object payloads) produce no row; a valid object without a
+tool name is the tool ``''`` (display ``[]``, category ``other``). Fields
+stay separate columns, so commands holding tabs or newlines are carried
+intact.
 """
 
 from __future__ import annotations
@@ -22,20 +24,24 @@ _STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 def parse_tool_json(js: Column | str) -> Column:
     c = F.col(js) if isinstance(js, str) else js
-    return F.from_json(c, TOOL_EVENT_JSON, {"mode": "PERMISSIVE"})
+    # malformed text, non-object JSON or a non-object tool_input land in
+    # _corrupt_record; a valid object without a tool name parses with NULL
+    return F.from_json(c, TOOL_EVENT_JSON,
+                       {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
 
 
 def tool_calls(df: DataFrame, json_col: str = "js") -> DataFrame:
     """Parsed tool calls: tool, category, display, cwd (+ all input columns)."""
     parsed = df.withColumn("_tc", parse_tool_json(json_col))
-    tool = F.col("_tc.tool_name")
+    tool = F.coalesce(F.col("_tc.tool_name"), F.lit(""))
     arg_key = F.element_at(literal_map(TOOL_ARG_KEY), tool)
     raw_arg = F.when(arg_key.isNotNull(), F.element_at(F.col("_tc.tool_input"), arg_key))
     arg = F.coalesce(F.regexp_replace(raw_arg, _STRIP, ""), F.lit(""))
     display = F.when(arg != "", F.concat(F.lit("["), tool, F.lit("] "), arg)).otherwise(
         F.concat(F.lit("["), tool, F.lit("]")))
     cat = F.coalesce(F.element_at(literal_map(TOOL_CATEGORY), tool), F.lit(DEFAULT_TOOL_CATEGORY))
-    out = (parsed.filter(tool.isNotNull() & ~tool.isin(SKIPPED_TOOLS))
+    valid = F.col("_tc").isNotNull() & F.col("_tc._corrupt_record").isNull()
+    out = (parsed.filter(valid & ~tool.isin(SKIPPED_TOOLS))
            .withColumn("tool", tool)
            .withColumn("category", cat)
            .withColumn("display", display)

@@ -72,10 +72,14 @@ def test_tool_calls(spark):
         (4, 40, '{"tool_name": "Mystery", "tool_input": {"a": "b"}, "cwd": "/w"}'),
         (5, 50, '{"tool_name": "Grep", "tool_inp'),
         (6, 60, '{"tool_name": "CronList", "tool_input": {}}'),
+        (7, 70, '{}'),
+        (8, 80, '[1, 2]'),
+        (9, 90, '{"tool_name": "Bash", "tool_input": "ls"}'),
     ]
     df = spark.createDataFrame(rows, "event_id long, ts_ms long, js string")
     got = {r.event_id: (r.display, r.category, r.tool, r.tool_cwd) for r in tool_calls(df).collect()}
     assert got == {1: ("[Bash] ls -la", "shell", "Bash", "/w"), 2: ("[Read]", "file", "Read", "/w"),
-                   4: ("[Mystery]", "other", "Mystery", "/w"), 6: ("[CronList]", "cron", "CronList", "")}
+                   4: ("[Mystery]", "other", "Mystery", "/w"), 6: ("[CronList]", "cron", "CronList", ""),
+                   7: ("[]", "other", "", "")}
     ev = tool_events(df, source="agent").filter(F.col("event_id") == 1).first()
     assert (ev.cmd, ev.source, ev.tool, ev.category) == ("[Bash] ls -la", "agent", "Bash", "shell")
