@@ -28,15 +28,21 @@ def salt_column(key_col: str, buckets: int):
     return F.pmod(F.xxhash64(F.col(key_col)), F.lit(buckets)).cast("int")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, pin: bool = False) -> DataFrame:
     """Round-robin a DataFrame whose scan yields fewer partitions than the
     cluster's default parallelism (e.g. one large row group) before CPU-heavy
     per-row work. On a cluster reading many files this is a no-op: no shuffle
     is added when the input is already split at least that finely.
+
+    ``pin``: the optimizer moves a deterministic filter below a repartition,
+    which would put the heavy per-row predicate back into the single scan
+    task; when redistribution happens, the redistributed rows are written once
+    to the shared checkpoint folder so the filter runs on all partitions.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        spread_df = df.repartition(target)
+        return materialize(spread_df) if pin else spread_df
     return df
 
 

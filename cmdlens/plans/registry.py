@@ -256,7 +256,7 @@ DOC_PHRASE = "enchè ouan du"
 SELECT doc_id, {O.exact_sql('text', DOC_PHRASE)} AS exact FROM documents
 WHERE {O.exact_sql('text', DOC_PHRASE)} OR {O.fuzzy_sql('text', DOC_PHRASE)}""")
 def phrase_fuzzy_documents(spark, sf):
-    d = spread(documents(spark, sf).select("doc_id", "text"))
+    d = spread(documents(spark, sf).select("doc_id", "text"), pin=True)
     matched, exact = phrase_match(F.col("text"), DOC_PHRASE)
     return d.select("doc_id", exact.alias("exact"), matched.alias("_m")).filter("_m").drop("_m")
 
