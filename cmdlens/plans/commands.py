@@ -104,6 +104,12 @@ def resolve_prefixes(hist: DataFrame, prefixes: DataFrame) -> DataFrame:
     return hashlet.resolve_prefixes(hist, prefixes)
 
 
+def resolve_prefix(hist: DataFrame, prefix: str) -> DataFrame:
+    """One prefix: a single row with its status (and the command when found)."""
+    one = hist.sparkSession.createDataFrame([(prefix,)], "prefix string")
+    return hashlet.resolve_prefixes(hist, one)
+
+
 def analyze_base(hist: DataFrame, cwd: str | None = None, source: str | None = "user",
                  squelch_patterns=None) -> DataFrame:
     """Statistics scope: global unless a directory is given."""

@@ -30,6 +30,7 @@ from ..functions.ngrams import distinct_trigram_strings, pack_gram
 from ..operators.ingest import latest_aggregates, normalize_events
 from ..schema import META_KEYS
 from ..session import checkpoint_path
+from ..sources.tool_calls import tool_events
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -54,6 +55,35 @@ def _shuffle_partitions(spark: SparkSession, n: int | None):
         spark.conf.set(key, old)
 
 
+def line_stream(spark: SparkSession, path: str, cwd: str = "", source: str = "",
+                tool: str = "", category: str = "") -> DataFrame:
+    """Streaming line log (one command per line, empty lines skipped, one
+    trailing CR stripped) as command events; event time = file modification
+    time. Every line of the stream shares cwd and tags, so the order of
+    equal-time lines cannot change the result (event_id is constant)."""
+    raw = spark.readStream.option("lineSep", "\n").text(path)
+    line = F.regexp_replace(F.col("value"), "\r$", "")
+    return (raw.select(line.alias("cmd"),
+                       F.unix_millis(F.col("_metadata.file_modification_time")).alias("ts_ms"),
+                       F.lit(0).cast("long").alias("event_id"))
+            .filter(F.col("cmd") != "")
+            .select("event_id", "cmd", F.lit(cwd).alias("cwd"), "ts_ms", F.lit(source).alias("source"),
+                    F.lit(tool).alias("tool"), F.lit(category).alias("category")))
+
+
+def tool_call_stream(spark: SparkSession, path: str, source: str = "agent") -> DataFrame:
+    """Streaming hook payloads (one JSON object per line) as tagged command
+    events, parsed exactly like the batch tool-call source. Event time is the
+    file's modification time; equal-time payloads of one command are ordered
+    by a hash of the payload (deterministic; the text source has no line
+    number to recover file order)."""
+    raw = spark.readStream.text(path)
+    df = raw.select(F.col("value").alias("js"),
+                    F.unix_millis(F.col("_metadata.file_modification_time")).alias("ts_ms"),
+                    F.xxhash64(F.col("value")).alias("event_id"))
+    return tool_events(df, json_col="js", source=source)
+
+
 def latest_stream(events: DataFrame, default_cwd: str | None = None) -> DataFrame:
     """Streaming latest-per-command aggregation (run with outputMode('update'))."""
     ev = normalize_events(events, default_cwd)

@@ -61,3 +61,27 @@ def test_some_oracles_match_at_smoke_scale(spark):
                  "activity_heatmap", "resolve_prefixes", "tool_calls_parsed", "phrase_fuzzy", "batch_search"]:
         r = compare(spark, con, name, qs[name], sqls[name], SMOKE_DIR)
         assert r["ok"], r
+
+
+def test_line_and_tool_call_streams(spark, tmp_path):
+    logs, hooks = tmp_path / "logs", tmp_path / "hooks"
+    logs.mkdir(); hooks.mkdir()
+    (logs / "a.txt").write_text("git status\r\n\nls -la\ngit status\n")
+    (hooks / "a.json").write_text('{"tool_name": "Bash", "tool_input": {"command": " make "}, "cwd": "/w"}\n'
+                                  '{"tool_name": "TodoWrite", "tool_input": {}}\nnot json\n')
+    out1, out2 = str(tmp_path / "o1"), str(tmp_path / "o2")
+    streaming.start_latest(streaming.line_stream(spark, str(logs), cwd="/w"), out1,
+                           str(tmp_path / "c1")).awaitTermination()
+    streaming.start_latest(streaming.tool_call_stream(spark, str(hooks)), out2,
+                           str(tmp_path / "c2")).awaitTermination()
+    assert sorted(r.cmd for r in streaming.read_latest(spark, out1).collect()) == ["git status", "ls -la"]
+    got = [(r.cmd, r.cwd, r.source, r.tool, r.category) for r in streaming.read_latest(spark, out2).collect()]
+    assert got == [("[Bash] make", "/w", "agent", "Bash", "shell")]
+
+
+def test_resolve_single_prefix(spark):
+    from cmdlens.plans.commands import resolve_prefix
+    h = ingest(fixtures.command_events(fixtures.load(spark, SMOKE_DIR, "events")))
+    target = h.first().hash
+    assert resolve_prefix(h, target[:10].upper()).first().status == "found"
+    assert resolve_prefix(h, "zz").first().status == "invalid"
