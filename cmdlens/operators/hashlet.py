@@ -54,19 +54,17 @@ def resolve_prefixes(history: DataFrame, prefixes: DataFrame, col: str = "prefix
     cand = p.filter("_valid").select("_p", "_len").distinct()
     h = history.select("hash")
 
-    # Prefixes of 1-4 characters: count hashes per 4-char bucket once (at most
-    # 65,536 rows), roll the buckets up to 1-3 characters, and equi-join.
-    b4 = h.groupBy(F.substring("hash", 1, MIN_LEN).alias("_k")).agg(
-        F.count("*").alias("_n"), F.min("hash").alias("_h"))
-    rolled = [b4.withColumn("_kl", F.lit(MIN_LEN))]
-    for k in range(1, MIN_LEN):
-        rolled.append(b4.groupBy(F.substring("_k", 1, k).alias("_k")).agg(
-            F.sum("_n").alias("_n"), F.min("_h").alias("_h")).withColumn("_kl", F.lit(k)))
-    buckets = rolled[0]
-    for r in rolled[1:]:
-        buckets = buckets.unionByName(r)
+    # Prefixes of 1-4 characters: count hashes per 1..4-character bucket in one
+    # partially aggregated pass (at most 16 + 256 + 4,096 + 65,536 = 69,904
+    # buckets, a structural bound), then broadcast-join on (length, prefix).
+    levels = F.explode(F.array(*[
+        F.struct(F.lit(k).alias("_kl"), F.substring("hash", 1, k).alias("_k"))
+        for k in range(1, MIN_LEN + 1)]))
+    buckets = (h.select("hash", levels.alias("_b"))
+               .groupBy(F.col("_b._kl").alias("_kl"), F.col("_b._k").alias("_k"))
+               .agg(F.count("*").alias("_n"), F.min("hash").alias("_h")))
     short = cand.filter(F.col("_len") <= MIN_LEN).join(
-        buckets, (F.col("_p") == F.col("_k")) & (F.col("_len") == F.col("_kl")))
+        F.broadcast(buckets), (F.col("_p") == F.col("_k")) & (F.col("_len") == F.col("_kl")))
     short = short.select("_p", "_n", "_h")
 
     # Longer prefixes: equi-join on the 4- or 8-character bucket, then the
