@@ -25,7 +25,6 @@ from ..streaming import ingest as streaming
 from ..session import checkpoint_path
 from . import commands
 from . import oracle as O
-from .oracle import q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}

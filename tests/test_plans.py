@@ -1,7 +1,5 @@
 """Physical-plan properties: pushdown, no cross joins, shuffle-free search, partial top-k."""
 
-from pyspark.sql import functions as F
-
 from cmdlens.operators.index import batch_search
 from cmdlens.operators.ingest import ingest
 from cmdlens.operators.search import find
