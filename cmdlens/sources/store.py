@@ -57,3 +57,27 @@ def write_table(df: DataFrame, path: str, sort_cols: list[str] | None = None) ->
     if sort_cols:
         df = df.sortWithinPartitions(*sort_cols)
     df.write.mode("overwrite").parquet(path)
+
+
+def write_history(history: DataFrame, path: str) -> None:
+    """History at rest: partitioned by source tag (the default user scope then
+    reads only the untagged partition), sorted by directory and time inside
+    files so exact-directory filters skip row groups by min/max statistics."""
+    (history.repartition("source", "cwd").sortWithinPartitions("cwd", "ts_ms")
+     .write.mode("overwrite").partitionBy("source").parquet(path))
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """Read a stored history. An empty tag is stored as the default partition
+    (read back as NULL) and restored to ''; predicates on ``source`` still
+    prune partitions because they reference the partition column only."""
+    df = spark.read.parquet(path)
+    return df.select("hash", "cmd", "cwd", "ts_ms", F.coalesce(F.col("source"), F.lit("")).alias("source"),
+                     "tool", "category")
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """Trigram index at rest, range-partitioned and sorted by ``ngram`` so a
+    lookup of a few trigrams reads only the files / row groups holding them."""
+    (index.repartitionByRange("ngram").sortWithinPartitions("ngram", "hash")
+     .write.mode("overwrite").parquet(path))

@@ -55,3 +55,18 @@ def test_no_registered_query_plans_a_cross_join(spark):
     for name, fn in E.queries().items():
         plan = plan_of(fn(spark, SMOKE_DIR))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_stored_layouts_prune(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from cmdlens.operators.index import build_index
+    from cmdlens.sources import store
+    h = ingest(fixtures.command_events(fixtures.load(spark, SMOKE_DIR, "events")))
+    store.write_history(h, str(tmp_path / "h"))
+    back = store.read_history(spark, str(tmp_path / "h"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, h.select(*back.columns).collect()))
+    plan = plan_of(find(back, ["git"]))
+    assert "PartitionFilters: [(coalesce(source" in plan
+    store.write_index(build_index(h), str(tmp_path / "i"))
+    idx = spark.read.parquet(str(tmp_path / "i"))
+    assert "PushedFilters: [In(ngram" in plan_of(idx.filter(F.col("ngram").isin(1, 2, 3)))
