@@ -608,3 +608,33 @@ def history_view(spark, sf):
     """User history with per-result hash prefixes and relative-time labels."""
     hits = commands.history(history(spark, sf), squelch_patterns=DEFAULT_SQUELCH)
     return commands.hit_view(hits)
+
+
+# --------------------------------------------------------------------------- occurrence mode
+EVENTS_BASE = f"\nbase AS (SELECT * FROM command_events WHERE source = '' AND NOT {DEFAULT_NOISE})"
+
+
+def _event_base(spark, sf):
+    """Statistics over the raw event log (true frequencies): same operators,
+    the occurrence table as input."""
+    ev = fixtures.command_events(events(spark, sf))
+    return commands.analyze_base(ev, squelch_patterns=DEFAULT_SQUELCH)
+
+
+@register("stats_overview_events", "WITH " + O.COMMAND_EVENTS + "," + EVENTS_BASE + f"""
+SELECT count(*) AS total_commands, count(DISTINCT cmd) AS unique_commands,
+       count(DISTINCT {O.program_sql()}) AS unique_programs,
+       min(ts_ms) AS first_ts_ms, max(ts_ms) AS last_ts_ms,
+       CAST(CASE WHEN count(*) > 0 THEN count(*) / greatest(1.0, (max(ts_ms) - min(ts_ms)) / 86400000.0) ELSE 0.0 END
+         AS DOUBLE) AS avg_per_day
+FROM base""")
+def stats_overview_events(spark, sf):
+    return stats.overview(_event_base(spark, sf))
+
+
+@register("top_programs_events", "WITH " + O.COMMAND_EVENTS + "," + EVENTS_BASE + f"""
+SELECT label, count FROM (
+  SELECT {O.program_sql()} AS label, count(*) AS count FROM base GROUP BY 1)
+ORDER BY count DESC, label LIMIT 15""")
+def top_programs_events(spark, sf):
+    return stats.top_list(_event_base(spark, sf), "programs")
