@@ -103,3 +103,99 @@ def test_min_len_matches_brute_force(spark, hashes):
         return 64
     df = spark.createDataFrame([(h,) for h in hashes], "hash string")
     assert min_hashlet_len(df).first().min_len == brute(hashes)
+
+
+class BadGlob(Exception):
+    pass
+
+
+def glob_model(pat: str, s: str) -> bool:
+    """Backtracking model of path-glob matching: '*' = run of non-'/', '?' = one
+    non-'/', classes with '^' negation, ranges and escapes, '\\' escapes; a
+    malformed pattern raises BadGlob (checked over the whole pattern)."""
+    def esc(i):
+        if i >= len(pat) or pat[i] in "-]":
+            raise BadGlob
+        if pat[i] == "\\":
+            i += 1
+            if i >= len(pat):
+                raise BadGlob
+        c, i = pat[i], i + 1
+        if i >= len(pat):
+            raise BadGlob
+        return c, i
+
+    def parse_class(i):
+        i += 1
+        neg = i < len(pat) and pat[i] == "^"
+        i += neg
+        ranges = []
+        while True:
+            if i < len(pat) and pat[i] == "]" and ranges:
+                return neg, ranges, i + 1
+            lo, i = esc(i)
+            hi = lo
+            if pat[i] == "-":
+                hi, i = esc(i + 1)
+            ranges.append((lo, hi))
+
+    def validate():
+        i = 0
+        while i < len(pat):
+            if pat[i] == "[":
+                i = parse_class(i)[2]
+            elif pat[i] == "\\":
+                if i + 1 >= len(pat):
+                    raise BadGlob
+                i += 2
+            else:
+                i += 1
+
+    def m(pi, si):
+        if pi == len(pat):
+            return si == len(s)
+        c = pat[pi]
+        if c == "*":
+            j = si
+            while True:
+                if m(pi + 1, j):
+                    return True
+                if j < len(s) and s[j] != "/":
+                    j += 1
+                else:
+                    return False
+        if si >= len(s):
+            return False
+        if c == "?":
+            return s[si] != "/" and m(pi + 1, si + 1)
+        if c == "[":
+            neg, ranges, nxt = parse_class(pi)
+            hit = any(lo <= s[si] <= hi for lo, hi in ranges)
+            return hit != neg and m(nxt, si + 1)
+        if c == "\\":
+            return s[si] == pat[pi + 1] and m(pi + 2, si + 1)
+        return s[si] == c and m(pi + 1, si + 1)
+
+    validate()
+    return m(0, 0)
+
+
+GLOB_PAT = st.lists(st.sampled_from(list("ab/*?[]^-\\.") + ["[a-b]", "[^/]", "\\*"]), max_size=7).map("".join)
+GLOB_STR = st.lists(st.sampled_from(list("ab/-]^*.?\\[")), max_size=7).map("".join)
+
+
+@settings(max_examples=40, deadline=None)
+@given(GLOB_PAT, st.lists(GLOB_STR, min_size=1, max_size=12))
+def test_glob_translation_matches_model(spark, pat, strings):
+    import pytest
+    from cmdlens.functions.patterns import PatternError, glob_to_regex
+    try:
+        want = {s: glob_model(pat, s) for s in strings}
+    except BadGlob:
+        with pytest.raises(PatternError):
+            glob_to_regex(pat)
+        return
+    rx = glob_to_regex(pat)
+    df = spark.createDataFrame([(s,) for s in strings], "s string")
+    got = {r.s: r.m for r in df.select("s", F.col("s").rlike(rx).alias("m")).collect()}
+    assert got == want, (pat, rx)
