@@ -199,3 +199,29 @@ def test_glob_translation_matches_model(spark, pat, strings):
     df = spark.createDataFrame([(s,) for s in strings], "s string")
     got = {r.s: r.m for r in df.select("s", F.col("s").rlike(rx).alias("m")).collect()}
     assert got == want, (pat, rx)
+
+
+RX_PIECES = ["a", "b", "A", ".", "\\s", "\\S", "\\d", "[ab]", "[^a]", "[[:alpha:]]", "(a|b)", "*", "+", "?",
+             "^", "$", "(?i)", "(?m)", "\\.", " "]
+RX = st.lists(st.sampled_from(RX_PIECES), min_size=1, max_size=6).map("".join)
+RX_STR = st.lists(st.sampled_from(list("aAb.1 \n\r\x0b\t")), max_size=6).map("".join)
+
+
+@settings(max_examples=60, deadline=None)
+@given(RX, st.lists(RX_STR, min_size=1, max_size=10))
+def test_regex_translation_matches_re2(spark, rx, strings):
+    """Spark rlike on the translated pattern agrees with RE2 (DuckDB's engine)."""
+    import duckdb
+    from cmdlens.functions.patterns import PatternError, re2_to_java
+    con = duckdb.connect()
+    try:
+        want = {s: con.execute("SELECT regexp_matches(?, ?)", [s, rx]).fetchone()[0] for s in strings}
+    except duckdb.Error:
+        return                                   # RE2 rejects the pattern
+    try:
+        java = re2_to_java(rx)
+    except PatternError:
+        return                                   # rejected up front: reported as a warning
+    df = spark.createDataFrame([(s,) for s in strings], "s string")
+    got = {r.s: r.m for r in df.select("s", F.col("s").rlike(java).alias("m")).collect()}
+    assert got == want, (rx, java)
