@@ -15,6 +15,7 @@ from ..operators import hashlet, index, maintenance, search, stats
 from ..operators.filters import scope, with_annotation_type
 from ..operators.phrase import phrase_match
 from ..operators.squelch import active_list, squelch
+from ..functions.text import split_keywords
 from ..functions.timefmt import relative_time
 
 HIT_COLS = ["hash", "cmd", "cwd", "ts_ms", "source"]
@@ -142,6 +143,13 @@ def hit_view(hits: DataFrame, as_of_ms=None) -> DataFrame:
         "when_label", relative_time(F.col("ts_ms"), as_of))
 
 
+def keyword_queries(df: DataFrame, qid_col: str, text_col: str, cwd_col: str | None = None) -> DataFrame:
+    """Typed query strings -> batch-search queries (keywords split on white space)."""
+    cwd = F.col(cwd_col) if cwd_col else F.lit("")
+    return df.select(F.col(qid_col).alias("qid"), split_keywords(F.col(text_col)).alias("keywords"),
+                     cwd.alias("cwd"))
+
+
 def batch_search(hist: DataFrame, queries: DataFrame, limit: int | None = 5,
                  source: str | None = "user", idx: DataFrame | None = None,
                  annotations: DataFrame | None = None, squelch_patterns=None) -> DataFrame:

@@ -151,3 +151,14 @@ def test_long_queries_use_array_forms(spark):
     finally:
         S.MAX_UNROLLED_TERMS = old
     assert again == want
+
+
+def test_keyword_queries_from_text(spark):
+    h = make_history(spark, [(1, "git status", "/a", 1000), (2, "make build", "/b", 2000),
+                             (3, "git log", "/b", 3000)])
+    typed = spark.createDataFrame([("1", "  git   st ", "/b"), ("2", "", "/a")], "id string, q string, d string")
+    q = commands.keyword_queries(typed, "id", "q", "d")
+    assert [r.keywords for r in q.orderBy("qid").collect()] == [["git", "st"], []]
+    got = [(r.qid, r.cmd) for r in batch_search(h, q).orderBy("qid", "pos").collect()]
+    want = [("1", r.cmd) for r in find(h, ["git", "st"], cwd="/b").collect()]
+    assert got == want
