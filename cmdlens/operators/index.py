@@ -1,17 +1,19 @@
 """Inverted trigram index and the batch (many-queries) search that uses it.
 
 The index is one row per distinct (trigram, command): ``explode`` of the
-per-row ``array_distinct`` trigram set, so building it is a narrow
-transformation (no shuffle) on already de-duplicated history.
-
-Batch search ranks every query against the index with joins instead of one
-scan per query: query trigrams join the index (broadcast when the query side
-has a checked size bound, otherwise salted so a hot trigram shared by a third
-of all commands is spread over many tasks), counts per (query, command) give
-the rank, and per-query top-k uses a window whose ``row_number() <= k`` filter
-Spark turns into a partial top-k before the shuffle. Keywords of one or two
-bytes (the reference's substring-scan path) join a small index of 1- and
-2-byte substrings, so no query ever scans the whole history by itself.
+per-row set of 3-byte windows, so building it is a narrow transformation (no
+shuffle) on already de-duplicated history.
+
+Batch search ranks with joins instead of one scan per query. Queries sharing
+a keyword set share the work: the distinct trigram sets join the index
+(broadcast when their row count passes a check, otherwise salted so a hot
+trigram shared by a third of all commands is spread over many tasks) and a
+count per (trigram set, command) gives the rank. Only each tier's top-k can be
+returned, so exact top-k per set and per (set, directory) are kept with
+``row_number() <= k`` windows, which Spark plans as a partial top-k before the
+shuffle. Keywords of one or two bytes (the substring-scan path) join a small
+index of 1- and 2-byte substrings the same way, so no query ever scans the
+whole history by itself.
 """
 
 from __future__ import annotations
