@@ -47,10 +47,11 @@ def _java_compiles(regex: str) -> str | None:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
-    if spark is None:
+    jvm = getattr(spark, "_jvm", None) if spark is not None else None
+    if jvm is None:  # no local JVM handle (e.g. Spark Connect): checked at query time
         return None
     try:
-        spark._jvm.java.util.regex.Pattern.compile(regex)
+        jvm.java.util.regex.Pattern.compile(regex)
     except Exception as exc:  # py4j wraps the PatternSyntaxException
         return str(exc).splitlines()[0]
     return None

@@ -39,8 +39,12 @@ def spread(df: DataFrame, pin: bool = False) -> DataFrame:
     task; when redistribution happens, the redistributed rows are written once
     to the shared checkpoint folder so the filter runs on all partitions.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Spark Connect session): leave the plan alone
+        return df
+    if current < target:
         spread_df = df.repartition(target)
         return materialize(spread_df) if pin else spread_df
     return df

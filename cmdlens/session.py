@@ -61,14 +61,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     never replaced. Only when it is unset -- local tests -- a scratch folder is
     created and registered.
     """
-    sc = spark.sparkContext
-    active = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint directory
+        sc = None
+    active = sc.getCheckpointDir() if sc is not None else None
     if active:
         return active
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and sc is not None:
+        configured = sc.getConf().get("spark.checkpoint.dir")
     if not configured:
         configured = tempfile.mkdtemp(prefix="cmdlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
+    if sc is None:
+        return configured
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
