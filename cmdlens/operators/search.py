@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ngrams import distinct_trigrams, gram_bytes, trigrams_of
+from ..functions.text import split_keywords_py
 from ..schema import HITS_COLUMNS
 from .filters import scope, with_annotation_type
 from .squelch import squelch
@@ -116,7 +117,7 @@ def empty_hits(history: DataFrame) -> DataFrame:
         F.lit(False).alias("is_global"), F.lit(0).alias("rank"), F.lit(0).alias("pos")).limit(0)
 
 
-def find(history: DataFrame, keywords: list[str], limit: int | None = DEFAULT_LIMIT,
+def find(history: DataFrame, keywords: list[str] | str, limit: int | None = DEFAULT_LIMIT,
          cwd: str | None = None, source: str | None = "user",
          annotations: DataFrame | None = None, squelch_patterns=None,
          reverse: bool = False, clear_cwd: bool = True) -> DataFrame:
@@ -125,6 +126,8 @@ def find(history: DataFrame, keywords: list[str], limit: int | None = DEFAULT_LI
     Columns: hash, cmd, cwd, ts_ms, annotation_type, source, is_global, rank, pos
     (pos = 1-based output position; ``reverse`` flips it).
     """
+    if isinstance(keywords, str):          # a typed query string: split on white space
+        keywords = split_keywords_py(keywords)
     n = normalize_limit(limit)
     if not any(keywords):
         return empty_hits(history)

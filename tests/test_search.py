@@ -162,3 +162,9 @@ def test_keyword_queries_from_text(spark):
     got = [(r.qid, r.cmd) for r in batch_search(h, q).orderBy("qid", "pos").collect()]
     want = [("1", r.cmd) for r in find(h, ["git", "st"], cwd="/b").collect()]
     assert got == want
+
+
+def test_find_accepts_query_string(spark):
+    h = make_history(spark, [(1, "git status", "/a", 1000), (2, "git log", "/a", 2000)])
+    assert cmds(find(h, "  git   status ")) == cmds(find(h, ["git", "status"]))
+    assert find(h, "   ").count() == 0
