@@ -26,10 +26,12 @@ def default_noise():
 
 
 def history(hist: DataFrame, cwd: str | None = None, source: str | None = "user",
-            squelch_patterns=None, reverse: bool = False) -> DataFrame:
+            squelch_patterns=None, reverse: bool = False, tool: str | None = None,
+            category: str | None = None) -> DataFrame:
     """Full history, newest first (``reverse``: oldest first); the directory
     column is cleared when scoped to one directory."""
-    rows = squelch(scope(hist, cwd=cwd, source=source), squelch_patterns)
+    rows = squelch(scope(hist, cwd=cwd, source=source, tool=tool, category=category),
+                   squelch_patterns)
     if cwd:
         rows = rows.withColumn("cwd", F.lit(""))
     order = [F.col("ts_ms").asc(), F.col("hash").asc()] if reverse else \
@@ -63,13 +65,14 @@ def find(hist: DataFrame, keywords: list[str], limit: int | None = 5, cwd: str |
 
 
 def cat(hist: DataFrame, phrase: str | None = None, limit: int = 0, cwd: str | None = None,
-        source: str | None = "user", squelch_patterns=None, reverse: bool = False) -> DataFrame:
+        source: str | None = "user", squelch_patterns=None, reverse: bool = False,
+        tool: str | None = None, category: str | None = None) -> DataFrame:
     """Dump oldest first. ``limit`` > 0 keeps the newest ``limit`` rows *before*
     noise and phrase filtering (a top-k, then re-ordered oldest first).
 
     Output adds ``exact`` (phrase given) and, when limited, ``pos``.
     """
-    rows = scope(hist, cwd=cwd, source=source)
+    rows = scope(hist, cwd=cwd, source=source, tool=tool, category=category)
     if limit and limit > 0:
         rows = rows.orderBy(F.col("ts_ms").desc(), F.col("hash").desc()).limit(limit)
     rows = squelch(rows, squelch_patterns)

@@ -168,3 +168,12 @@ def test_find_accepts_query_string(spark):
     h = make_history(spark, [(1, "git status", "/a", 1000), (2, "git log", "/a", 2000)])
     assert cmds(find(h, "  git   status ")) == cmds(find(h, ["git", "status"]))
     assert find(h, "   ").count() == 0
+
+
+def test_cat_tool_and_category_filters(spark):
+    h = make_history(spark, [(1, "[Read] a.go", "/w", 1000, "agent", "Read", "file"),
+                             (2, "[Bash] ls", "/w", 2000, "agent", "Bash", "shell"),
+                             (3, "[Read] b.go", "/w", 3000, "agent", "Read", "file")])
+    assert [r.cmd for r in commands.cat(h, source="agent", tool="Read").collect()] == ["[Read] a.go", "[Read] b.go"]
+    assert [r.cmd for r in commands.cat(h, source="agent", category="shell", limit=5).collect()] == ["[Bash] ls"]
+    assert [r.cmd for r in commands.history(h, source="all", tool="Read").collect()] == ["[Read] b.go", "[Read] a.go"]
