@@ -13,9 +13,12 @@ def one(spark, col, value, schema="s string"):
     return spark.createDataFrame([(value,)], schema).select(col.alias("r")).first().r
 
 
-def test_hash_vector(spark):
-    h = one(spark, command_hash("s"), "histx test hash")
-    assert h.startswith("06afb70a") and h.endswith("52d1") and len(h) == 64
+def test_hash_matches_sha256_of_utf8(spark):
+    import hashlib
+    texts = ["git status", "", "ünïcode ✓ cmd", "a" * 10_000]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = {r.s: r.h for r in df.select("s", command_hash("s").alias("h")).collect()}
+    assert got == {t: hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts}
 
 
 @pytest.mark.parametrize("text,expected", [
