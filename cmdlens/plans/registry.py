@@ -642,3 +642,14 @@ SELECT label, count FROM (
 ORDER BY count DESC, label LIMIT 15""")
 def top_programs_events(spark, sf):
     return stats.top_list(_event_base(spark, sf), "programs")
+
+
+@register("ingest_incremental", ORACLE["ingest_latest"])
+def ingest_incremental(spark, sf):
+    """Ingest the older half of the event log (by time), then merge the newer
+    half into that history with the upsert rules; equals a full ingest."""
+    ev = fixtures.command_events(events(spark, sf))
+    mid = ev.select(((F.min("ts_ms") + F.max("ts_ms")) / 2).alias("m")).scalar()
+    older = ingest.ingest(ev.filter(F.col("ts_ms") <= mid))
+    newer = ingest.ingest(ev.filter(F.col("ts_ms") > mid))
+    return ingest.merge_history(older, newer)
