@@ -653,3 +653,14 @@ def ingest_incremental(spark, sf):
     older = ingest.ingest(ev.filter(F.col("ts_ms") <= mid))
     newer = ingest.ingest(ev.filter(F.col("ts_ms") > mid))
     return ingest.merge_history(older, newer)
+
+
+@register("find_marked", H(MARKS_SQL) + """
+SELECT f.hash, f.cmd, f.cwd, f.ts_ms,
+       CASE WHEN f.hash IN (SELECT hash FROM annotations) THEN 1 ELSE 0 END AS annotation_type,
+       f.source, f.is_global, f.rank, f.pos
+FROM (""" + O.find_sql(["docker", "ps"], 8, None, "user") + ") f")
+def find_marked(spark, sf):
+    """Ranked search over a history with prune marks: hits carry the mark."""
+    h, ann = _marked(spark, sf)
+    return commands.find(h, ["docker", "ps"], limit=8, annotations=ann)
