@@ -205,6 +205,9 @@ def re2_to_java(expr: str) -> str:
                 while j < len(rest) and rest[j] not in ":)":
                     flags += rest[j]
                     j += 1
+                if j < len(rest) and rest[j] == ")" and rest[j + 1:j + 2] in ("*", "+", "?", "{"):
+                    # RE2 lets a repetition follow a bare flag group; Java does not
+                    raise PatternError("repetition after a flag group is not supported")
                 on = flags.split("-")[0]
                 if "m" in on:
                     multiline = True
