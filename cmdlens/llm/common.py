@@ -8,7 +8,10 @@ need no special path.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +21,16 @@ from ..session import checkpoint_path
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """Arrow batches bounded by bytes: few long texts or many narrow rows each."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return spark
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``documents`` table; Arrow batches are kept small because texts are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The ``documents`` table."""
+    return tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -69,3 +78,28 @@ def keep_rows(docs: DataFrame, keepers: DataFrame) -> DataFrame:
 def bucket_count(rows: int, per_bucket: int) -> int:
     """Number of buckets that keeps an average bucket at ``per_bucket`` rows."""
     return max(1, math.ceil(rows / per_bucket))
+
+
+def key_runs(batches: Iterator[pa.RecordBatch], n_keys: int = 1) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted Arrow batches as numpy arrays, regrouped so that rows equal
+    in the first ``n_keys`` columns come together."""
+    def same(x, i, y, j):
+        return all(x[k][i] == y[k][j] for k in range(n_keys))
+
+    hold: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        hold.append(cols)
+        if same(cols, 0, cols, -1) and same(hold[0], 0, cols, 0):
+            continue
+        cols = [np.concatenate(c) for c in zip(*hold)]
+        change = np.zeros(len(cols[0]) - 1, bool)
+        for k in range(n_keys):
+            change |= cols[k][1:] != cols[k][:-1]
+        last = int(np.flatnonzero(change)[-1]) + 1
+        yield [c[:last] for c in cols]
+        hold = [[c[last:] for c in cols]]
+    if hold:
+        yield [np.concatenate(c) for c in zip(*hold)]

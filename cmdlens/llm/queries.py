@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, feistel_pii, harmonic_pack, kd_shard, simhash_dedup, suffix_quality
+from . import (anchor_dedup, chunk_dedup, feistel_pii, harmonic_pack, hd_langid, kd_shard, line_spread, piece_fst,
+               simhash_dedup, suffix_quality)
 from .common import documents
 
 # A deployment passes a secret of its own.
@@ -25,6 +26,35 @@ def op2_suffix_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_quality.assess(documents(spark, sf_dir))
 
 
+def op3_piece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document by the transducer (count, byte-fallback count, checksum) and the decoded
+    text's length and digest: those of the document itself, unless it holds the blank mark."""
+    rows = piece_fst.encode_documents(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_ids", "n_bytes", "ids_crc32", F.char_length("decoded").cast("bigint").alias("decoded_chars"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, removed words and digest of the kept words of each document."""
+    return anchor_dedup.digests(documents(spark, sf_dir))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, p, w[p:p + 19] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d WHERE len(w) >= 20)),
+later AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM win) WHERE n > 1),
+gone AS (
+  SELECT doc_id, list(DISTINCT i) AS g FROM (SELECT doc_id, unnest(range(p, p + 20)) AS i FROM later) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(
+         CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+""".replace("\\", "\")
+
+
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group and kept row of each document, equal up to ASCII white space."""
     return chunk_dedup.deduplicate(documents(spark, sf_dir)).select(
@@ -43,6 +73,27 @@ FROM d JOIN g USING (norm)
 """
 
 
+def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, removed cross-site boilerplate lines and digest of the rest of each document."""
+    return line_spread.remove_boilerplate(documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH l AS (
+  SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+bad AS (
+  SELECT list(x) AS bad FROM (
+    SELECT x FROM (SELECT source, trim(unnest(lines), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM l)
+    WHERE x <> '' GROUP BY x HAVING count(DISTINCT source) >= 8)),
+k AS (
+  SELECT doc_id, len(lines)::BIGINT AS n_lines, list_filter(lines, lambda x:
+    NOT list_contains(coalesce((SELECT bad FROM bad), []), trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS kept
+  FROM l)
+SELECT doc_id, n_lines, (n_lines - len(kept))::BIGINT AS n_removed, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM k
+"""
+
+
 def op7_kd_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard 0..23 of nearly equal bytes and slot of each document."""
     return kd_shard.shard(documents(spark, sf_dir), 24).select(
@@ -56,6 +107,11 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "fingerprint", "component_id")
 
 
+def op9_hd_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language and cosine of each document, learned from three of four folds."""
+    return hd_langid.identify(documents(spark, sf_dir))
+
+
 def op10_harmonic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all tokenised documents packed into sequences of 1024 ids."""
     return harmonic_pack.pack(documents(spark, sf_dir)).select(
@@ -63,6 +119,7 @@ def op10_harmonic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_feistel_pii, op2_suffix_quality, op5_chunk_dedup, op7_kd_shard, op8_simhash_dedup, op10_harmonic_pack)}
+    op1_feistel_pii, op2_suffix_quality, op3_piece_fst, op4_anchor_dedup, op5_chunk_dedup, op6_line_spread,
+    op7_kd_shard, op8_simhash_dedup, op9_hd_langid, op10_harmonic_pack)}
 
-ORACLE = {"op5_chunk_dedup": OP5_SQL}
+ORACLE = {"op4_anchor_dedup": OP4_SQL, "op5_chunk_dedup": OP5_SQL, "op6_line_spread": OP6_SQL}

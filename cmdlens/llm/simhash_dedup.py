@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, keep_rows, stored, text_key
+from .common import discard, keep_rows, key_runs, stored, text_key
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -130,24 +130,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        hold: list[tuple[np.ndarray, np.ndarray]] = []  # the last group may go on in the next batch
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = batch.column(0).to_numpy(zero_copy_only=False)
-            fp = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            if v[0] == v[-1] and (not hold or hold[0][0][0] == v[0]):
-                hold.append((v, fp))
-                continue
-            hold.append((v, fp))
-            v, fp = (np.concatenate(c) for c in zip(*hold))
-            last = int(np.searchsorted(v, v[-1], "left"))
-            if last:
-                yield edges_of(v[:last], fp[:last])
-            hold = [(v[last:], fp[last:])]
-        if hold:
-            v, fp = (np.concatenate(c) for c in zip(*hold))
-            yield edges_of(v, fp)
+        for v, fp in key_runs(batches):
+            yield edges_of(v, fp.view(np.uint64))
 
     index = variants(fps.select("fp").distinct(), max_bits)
     dealt = index.repartition("v").sortWithinPartitions("v")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cmdlens.llm import chunk_dedup, feistel_pii, harmonic_pack, simhash_dedup, suffix_quality
-from cmdlens.llm.common import documents, stored
+from cmdlens.llm.common import documents, stored, tuned
 from cmdlens.llm.queries import PSEUDONYM_KEY
 
 
@@ -40,7 +40,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _tuned(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    tuned(spark)
     return docs
 
 
