@@ -52,7 +52,7 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_rem
        sha256(array_to_string(
          CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id)
-""".replace("\\", "\")
+"""
 
 
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +88,8 @@ bad AS (
     WHERE x <> '' GROUP BY x HAVING count(DISTINCT source) >= 8)),
 k AS (
   SELECT doc_id, len(lines)::BIGINT AS n_lines, list_filter(lines, lambda x:
-    NOT list_contains(coalesce((SELECT bad FROM bad), []), trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS kept
-  FROM l)
+    NOT list_contains(coalesce(bad, []), trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS kept
+  FROM l, bad)
 SELECT doc_id, n_lines, (n_lines - len(kept))::BIGINT AS n_removed, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM k
 """
 
