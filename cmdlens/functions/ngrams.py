@@ -1,6 +1,6 @@
 """Byte trigrams packed into 24-bit integers.
 
-Three consecutive bytes b0 b1 b2 of the UTF-8 encoding become
+Three consecutive bytes b0 b1 b2 of a string become
 ``b0 << 16 | b1 << 8 | b2``. Inputs shorter than three bytes have none.
 """
 
@@ -9,33 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .hashing import byte_view
+
 
 def _as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def byte_codes(text: Column | str) -> Column:
-    """array<int> of the UTF-8 byte values of ``text`` (0-255), in order.
-
-    The Latin-1 view has one character per byte, ``split`` on the empty
-    pattern yields them in one pass and ``ascii`` reads each code. Only the
-    lambda variable is used inside ``transform``: referencing an outer
-    expression there would re-evaluate it per element (quadratic).
-    """
-    latin1 = F.decode(F.encode(_as_col(text), "UTF-8"), "ISO-8859-1")
-    return F.transform(F.split(latin1, ""), lambda ch: F.ascii(ch))
-
-
-def pack_trigrams(codes: Column) -> Column:
-    """Pack consecutive byte codes b0 b1 b2 into ints with shifted slices:
-    whole-array ``zip_with`` steps, linear in the input length."""
-    n = F.size(codes)
-    m = n - 2
-    pairs = F.zip_with(F.slice(codes, 1, m), F.slice(codes, 2, m), lambda x, y: x * 256 + y)
-    grams = F.zip_with(pairs, F.slice(codes, 3, m), lambda p, z: p * 256 + z)
-    return F.when(n >= 3, grams).otherwise(F.array().cast("array<int>"))
-
-
 def trigrams(text: Column | str) -> Column:
     """array<int> of every byte trigram of ``text`` in order (duplicates kept);
     empty for inputs under three bytes."""
@@ -47,18 +27,13 @@ def distinct_trigrams(text: Column | str) -> Column:
     return F.transform(distinct_trigram_strings(text), lambda g: pack_gram(g))
 
 
-def latin1_view(text: Column | str) -> Column:
-    """One character per UTF-8 byte (so character slices are byte slices)."""
-    return F.decode(F.encode(_as_col(text), "UTF-8"), "ISO-8859-1")
-
-
 def trigram_windows(text: Column | str) -> Column:
     """Every 3-byte window of ``text`` as a 3-character Latin-1 string, in order.
 
     One native regex pass: a zero-width lookahead captures every overlapping
     window (DOTALL, so line breaks count as bytes too).
     """
-    return F.regexp_extract_all(latin1_view(text), F.lit("(?s)(?=(.{3}))"), 1)
+    return F.regexp_extract_all(byte_view(text), F.lit("(?s)(?=(.{3}))"), 1)
 
 
 def distinct_trigram_strings(text: Column | str) -> Column:

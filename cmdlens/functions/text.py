@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .hashing import byte_view
+
 
 def _as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def byte_view(text: Column | str) -> Column:
-    """One character per UTF-8 byte (Latin-1 view), so lengths, substrings and
-    edit distances count bytes rather than code points."""
-    return F.decode(F.encode(_as_col(text), "UTF-8"), "ISO-8859-1")
-
-
 def byte_length(text: Column | str) -> Column:
     return F.octet_length(_as_col(text))
 

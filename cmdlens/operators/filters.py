@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import BROADCAST_MAX_ROWS
-
 ALL_SOURCES = "all"
 USER_SOURCE = "user"
 
@@ -38,19 +36,14 @@ def scope(df: DataFrame, cwd: str | None = None, source: str | None = USER_SOURC
     return df
 
 
-def with_annotation_type(hits: DataFrame, annotations: DataFrame | None,
-                         bounded_rows: int | None = None) -> DataFrame:
+def with_annotation_type(hits: DataFrame, annotations: DataFrame | None) -> DataFrame:
     """Attach ``annotation_type`` (0 normal, 1 marked for prune) to a hit list.
 
-    ``hits`` is a limited result of at most ``bounded_rows`` rows; within the
-    broadcast bound it is the broadcast side of a right outer join, so the
-    annotations table is streamed, never shuffled; above it, a plain join.
+    ``hits`` is the outer side of a join that Spark plans from the sizes it
+    measures: a short hit list is sent to the annotations, not the other way.
     """
     if annotations is None:
         return hits.withColumn("annotation_type", F.lit(0))
     ann = annotations.select("hash", F.col("type").alias("_atype"))
-    if bounded_rows is not None and bounded_rows > BROADCAST_MAX_ROWS:
-        joined = hits.join(ann, "hash", "left")
-    else:
-        joined = ann.join(F.broadcast(hits), "hash", "right")
+    joined = ann.join(hits, "hash", "right")
     return joined.withColumn("annotation_type", F.coalesce(F.col("_atype"), F.lit(0))).drop("_atype")

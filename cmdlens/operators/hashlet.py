@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 MIN_LEN = 4
 MAX_LEN = 64
+PROBE_LEN = 8                 # longest prefix that is joined by equality
 
 
 def _lcp(a, b):
@@ -67,16 +68,15 @@ def resolve_prefixes(history: DataFrame, prefixes: DataFrame, col: str = "prefix
         F.broadcast(buckets), (F.col("_p") == F.col("_k")) & (F.col("_len") == F.col("_kl")))
     short = short.select("_p", "_n", "_h")
 
-    # Longer prefixes: equi-join on the 4- or 8-character bucket, then the
-    # residual prefix test; a prefix meets only its own bucket's hashes.
-    longs = []
-    for lo, hi, klen in ((MIN_LEN + 1, 7, 4), (8, MAX_LEN, 8)):
-        part = cand.filter((F.col("_len") >= lo) & (F.col("_len") <= hi)).withColumn(
-            "_k", F.substring("_p", 1, klen))
-        hk = h.withColumn("_k", F.substring("hash", 1, klen))
-        m = part.join(hk, "_k").filter(F.col("hash").startswith(F.col("_p")))
-        longs.append(m.groupBy("_p").agg(F.count("*").alias("_n"), F.min("hash").alias("_h")))
-    matched = short.unionByName(longs[0]).unionByName(longs[1])
+    # Longer prefixes: one equi-join on the prefix itself up to 8 characters
+    # (each hash offers its prefixes of 5 to 8), then the residual test of what
+    # is longer; a prefix meets only hashes that share its first 5 to 8.
+    offered = h.select("hash", F.explode(F.array(*[
+        F.substring("hash", 1, k) for k in range(MIN_LEN + 1, PROBE_LEN + 1)])).alias("_k"))
+    part = cand.filter(F.col("_len") > MIN_LEN).withColumn("_k", F.substring("_p", 1, PROBE_LEN))
+    m = part.join(offered, "_k").filter(F.col("hash").startswith(F.col("_p")))
+    long = m.groupBy("_p").agg(F.count("*").alias("_n"), F.min("hash").alias("_h"))
+    matched = short.unionByName(long)
 
     res = p.join(matched, "_p", "left")
     status = (F.when(F.col("_len") == 0, "empty")
@@ -84,8 +84,11 @@ def resolve_prefixes(history: DataFrame, prefixes: DataFrame, col: str = "prefix
               .when(F.coalesce(F.col("_n"), F.lit(0)) == 0, "not_found")
               .when(F.col("_n") > 1, "ambiguous")
               .otherwise("found"))
-    res = res.withColumn("status", status).withColumn(
-        "_fh", F.when(F.col("status") == "found", F.col("_h")))
-    detail = history.select(F.col("hash").alias("_fh"), "cmd", "cwd", "ts_ms", "source")
-    out = res.join(detail, "_fh", "left")
-    return out.select("prefix", "status", F.col("_fh").alias("hash"), "cmd", "cwd", "ts_ms", "source")
+    res = res.withColumn("status", status)
+    # rows without a hash get a key of their own that no hash equals, so they
+    # spread over the join's partitions instead of meeting at one NULL
+    found = F.col("status") == "found"
+    res = res.withColumn("_fh", F.when(found, F.col("_h")).otherwise(F.concat(F.lit("-"), F.col("_p"))))
+    detail = history.select(F.col("hash").alias("_fh"), "hash", "cmd", "cwd", "ts_ms", "source")
+    out = res.select("prefix", "status", "_fh").join(detail, "_fh", "left")
+    return out.select("prefix", "status", "hash", "cmd", "cwd", "ts_ms", "source")

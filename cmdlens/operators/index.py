@@ -5,15 +5,15 @@ per-row set of 3-byte windows, so building it is a narrow transformation (no
 shuffle) on already de-duplicated history.
 
 Batch search ranks with joins instead of one scan per query. Queries sharing
-a keyword set share the work: the distinct trigram sets join the index
-(broadcast when their row count passes a check, otherwise salted so a hot
-trigram shared by a third of all commands is spread over many tasks) and a
-count per (trigram set, command) gives the rank. Only each tier's top-k can be
-returned, so exact top-k per set and per (set, directory) are kept with
-``row_number() <= k`` windows, which Spark plans as a partial top-k before the
-shuffle. Keywords of one or two bytes (the substring-scan path) join a small
-index of 1- and 2-byte substrings the same way, so no query ever scans the
-whole history by itself.
+a keyword set share the work. The distinct (set, trigram) pairs meet the index
+first, on the trigram, so only the trigrams that are asked for leave it; a count
+per (set, command) gives the rank, and only then the history's columns are
+joined. Keywords of one or two bytes (the substring-scan path) meet a small
+index of 1- and 2-byte substrings; the newest n of a set are among the newest n
+of its substrings, so each substring is cut to its newest n before sets are
+formed. Local tiers are restricted to the (set, directory) pairs that some query
+asks for. Joins carry no broadcast hints: Spark plans them from measured sizes
+and splits skewed partitions.
 """
 
 from __future__ import annotations
@@ -21,14 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import byte_view, raw_bytes
 from ..functions.ngrams import distinct_trigram_strings, pack_gram, trigrams
 from ..schema import HITS_COLUMNS
 from .filters import scope
 from .search import normalize_limit
 from .squelch import squelch
-from .util import BROADCAST_MAX_ROWS, has_at_most, materialize, salt_column, spread
-
-SALT_BUCKETS = 32
+from .util import materialize
 
 
 def build_index(history: DataFrame, text_col: str = "cmd", key_col: str = "hash",
@@ -40,7 +39,7 @@ def build_index(history: DataFrame, text_col: str = "cmd", key_col: str = "hash"
     is not carried -- and the int packing runs in whole-stage codegen.
     """
     cols = list(keep) if keep else [key_col]
-    rows = spread(history.select(*dict.fromkeys([*cols, text_col])))
+    rows = history.select(*dict.fromkeys([*cols, text_col]))
     windows = rows.select(*cols, F.explode(distinct_trigram_strings(F.col(text_col))).alias("_g"))
     return windows.select(pack_gram("_g").alias("ngram"), *cols)
 
@@ -50,16 +49,10 @@ def gram_doc_freq(index: DataFrame, key_col: str = "hash") -> DataFrame:
     return index.groupBy("ngram").agg(F.count(key_col).alias("doc_freq"))
 
 
-def latin1(text) -> Column:
-    """One character per UTF-8 byte, so 1- and 2-character pieces are bytes."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
-
-
 def short_gram_index(history: DataFrame, keep: tuple[str, ...] = ("hash",)) -> DataFrame:
     """(sgram, *keep): every distinct 1- and 2-byte substring of ``cmd``
     (Latin-1 byte strings), from two native regex passes per row."""
-    lat = latin1("cmd")
+    lat = byte_view("cmd")
     ones = F.regexp_extract_all(lat, F.lit("(?s)(.)"), 1)
     twos = F.regexp_extract_all(lat, F.lit("(?s)(?=(..))"), 1)
     grams = F.array_distinct(F.concat(ones, twos))
@@ -75,34 +68,24 @@ def _top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int)
 
 
 def _query_keys(queries: DataFrame) -> DataFrame:
-    """qid, qcwd plus the query's trigram set and 1-2 byte keyword set, each
-    with a canonical string key (queries sharing keywords share the work)."""
+    """qid, qcwd plus the query's trigram set and 1-2 byte keyword set, each with
+    a 128-bit digest as key (queries sharing keywords share the work); an empty
+    set has an empty key."""
     kws = F.filter(F.col("keywords"), lambda k: k.isNotNull())
     long_kws = F.filter(kws, lambda k: F.octet_length(k) > 2)
     grams = F.array_sort(F.array_distinct(F.flatten(F.transform(long_kws, lambda k: trigrams(k)))))
     short_kws = F.filter(kws, lambda k: (F.octet_length(k) >= 1) & (F.octet_length(k) <= 2))
-    shorts = F.array_sort(F.array_distinct(F.transform(short_kws, lambda k: latin1(k))))
+    shorts = F.array_sort(F.array_distinct(F.transform(short_kws, lambda k: byte_view(k))))
     q = queries.select("qid", F.coalesce(F.col("cwd"), F.lit("")).alias("qcwd"),
                        grams.alias("_grams"), shorts.alias("_shorts"))
-    return q.select(
-        "qid", "qcwd", "_grams", "_shorts",
-        F.array_join(F.transform("_grams", lambda g: g.cast("string")), ",").alias("gk"),
-        F.array_join(F.transform("_shorts", lambda x: F.hex(F.encode(x, "ISO-8859-1"))), ",").alias("sk"))
 
+    def digest(items: Column) -> Column:
+        return F.when(F.size(items) > 0, F.md5(F.array_join(items, ","))).otherwise(F.lit(""))
 
-def _join_keyed(big: DataFrame, small: DataFrame, key: str, salt_on: str,
-                small_ok: bool) -> DataFrame:
-    """Join the query-derived side ``small`` to the index side ``big`` on ``key``.
-
-    Broadcast when the query side is proven small; otherwise salt: the index
-    side is spread over SALT_BUCKETS by a hash of ``salt_on`` and the query
-    side is replicated per bucket, so a hot key is split across tasks.
-    """
-    if small_ok:
-        return big.join(F.broadcast(small), key)
-    salted_big = big.withColumn("_salt", salt_column(salt_on, SALT_BUCKETS))
-    salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))))
-    return salted_big.join(salted_small, [key, "_salt"]).drop("_salt")
+    return q.select(
+        "qid", "qcwd", "_grams", "_shorts",
+        digest(F.transform("_grams", lambda g: g.cast("string"))).alias("gk"),
+        digest(F.transform("_shorts", lambda x: F.hex(F.encode(x, "ISO-8859-1")))).alias("sk"))
 
 
 def batch_search(history: DataFrame, queries: DataFrame, limit: int | None = 5,
@@ -119,54 +102,49 @@ def batch_search(history: DataFrame, queries: DataFrame, limit: int | None = 5,
     then joined to the queries that use it.
     """
     n = normalize_limit(limit)
-    # the keyed query table feeds six branches: write it once, read it six times
-    q = materialize(_query_keys(queries))
-    # Sides derived from the queries: t1..t4 and the candidates hold at most
-    # 4 x n rows per query, so the query-table count bounds all of them.
-    queries_small = has_at_most(q, BROADCAST_MAX_ROWS // (4 * n))
-
-    def small(df: DataFrame) -> DataFrame:
-        # bounded by (number of queries x constant): covered by the query-table check
-        return F.broadcast(df) if queries_small else df
-
+    # the keyed query table feeds six branches: written once, read six times
+    q = materialize(_query_keys(queries), "batch-queries")
+    qk = q.select("qid", "qcwd", "gk", "sk")
+    local_q = qk.filter(F.col("qcwd") != "")
     hist = scope(history, source=source).select("hash", "cmd", "cwd", "ts_ms", "source")
-    if index is None:
-        idx = build_index(hist.select("hash", "cmd", "cwd", "ts_ms"), keep=("hash", "cwd", "ts_ms"))
-    else:
-        idx = index.select("ngram", "hash").join(hist.select("hash", "cwd", "ts_ms"), "hash")
+    places = hist.select("hash", "cwd", "ts_ms")
 
     # rank = distinct query trigrams present, once per distinct trigram set
+    idx = build_index(hist.select("hash", "cmd")) if index is None else index.select("ngram", "hash")
     gsets = q.filter(F.col("gk") != "").select("gk", F.explode("_grams").alias("ngram")).distinct()
-    ranked = (_join_keyed(idx, gsets, "ngram", "hash", has_at_most(gsets, BROADCAST_MAX_ROWS))
-              .groupBy("gk", "hash").agg(F.count("*").alias("rank"),
-                                         F.first("cwd").alias("cwd"), F.first("ts_ms").alias("ts_ms")))
+    counts = idx.join(gsets, "ngram").groupBy("gk", "hash").agg(F.count("*").alias("rank"))
+    ranked = counts.join(places, "hash")
     rorder = [F.col("rank").desc(), F.col("ts_ms").desc(), F.col("hash").asc()]
     t3 = _top_per_group(ranked, ["gk"], rorder, n)
-    t1 = _top_per_group(ranked.filter(F.col("cwd") != ""), ["gk", "cwd"], rorder, n)
+    asked_g = local_q.filter(F.col("gk") != "").select("gk", F.col("qcwd").alias("cwd")).distinct()
+    t1 = _top_per_group(ranked.join(asked_g, ["gk", "cwd"], "left_semi"), ["gk", "cwd"], rorder, n)
 
-    # substring hits of 1-2 byte keywords, once per distinct short-keyword set
+    # substring hits of 1-2 byte keywords: cut per substring, then per distinct set
     ssets = q.filter(F.col("sk") != "").select("sk", F.explode("_shorts").alias("sgram")).distinct()
-    sidx = short_gram_index(hist, keep=("hash", "cwd", "ts_ms"))
-    scans = _join_keyed(sidx, ssets, "sgram", "hash", has_at_most(ssets, BROADCAST_MAX_ROWS)).select(
-        "sk", "hash", "cwd", "ts_ms").distinct()
+    sidx = short_gram_index(hist, keep=("hash", "cwd", "ts_ms")).join(
+        ssets.select("sgram").distinct(), "sgram", "left_semi")
     sorder = [F.col("ts_ms").desc(), F.col("hash").asc()]
-    t4 = _top_per_group(scans, ["sk"], sorder, n)
-    t2 = _top_per_group(scans.filter(F.col("cwd") != ""), ["sk", "cwd"], sorder, n)
-
-    qk = q.select("qid", "qcwd", "gk", "sk")
-    local_q = qk.filter(F.col("qcwd") != "")
-    c1 = local_q.join(small(t1.withColumnRenamed("cwd", "qcwd")), ["gk", "qcwd"]).select(
-        "qid", "hash", "rank", F.lit(1).alias("tier"))
-    c2 = local_q.join(small(t2.withColumnRenamed("cwd", "qcwd")), ["sk", "qcwd"]).select(
-        "qid", "hash", F.lit(0).cast("long").alias("rank"), F.lit(2).alias("tier"))
-    c3 = qk.join(small(t3), "gk").select("qid", "hash", "rank", F.lit(3).alias("tier"))
-    c4 = qk.join(small(t4), "sk").select(
-        "qid", "hash", F.lit(0).cast("long").alias("rank"), F.lit(4).alias("tier"))
+    newest = _top_per_group(sidx, ["sgram"], sorder, n).select("sgram", "hash", "ts_ms")
+    t4 = _top_per_group(newest.join(ssets, "sgram").select("sk", "hash", "ts_ms").distinct(), ["sk"], sorder, n)
+    asked_s = (local_q.filter(F.col("sk") != "").select("sk", F.col("qcwd").alias("cwd")).distinct()
+               .join(ssets, "sk"))
+    near = _top_per_group(sidx.join(asked_s.select("sgram", "cwd").distinct(), ["sgram", "cwd"], "left_semi"),
+                          ["sgram", "cwd"], sorder, n)
+    t2 = _top_per_group(near.join(asked_s, ["sgram", "cwd"]).select("sk", "cwd", "hash", "ts_ms").distinct(),
+                        ["sk", "cwd"], sorder, n)
+
+    c1 = local_q.join(t1.withColumnRenamed("cwd", "qcwd"), ["gk", "qcwd"]).select(
+        "qid", "qcwd", "hash", "rank", F.lit(1).alias("tier"))
+    c2 = local_q.join(t2.withColumnRenamed("cwd", "qcwd"), ["sk", "qcwd"]).select(
+        "qid", "qcwd", "hash", F.lit(0).cast("long").alias("rank"), F.lit(2).alias("tier"))
+    c3 = qk.join(t3, "gk").select("qid", "qcwd", "hash", "rank", F.lit(3).alias("tier"))
+    c4 = qk.join(t4, "sk").select(
+        "qid", "qcwd", "hash", F.lit(0).cast("long").alias("rank"), F.lit(4).alias("tier"))
     cand = (c1.unionByName(c2).unionByName(c3).unionByName(c4)
-            .groupBy("qid", "hash").agg(F.min("tier").alias("tier"), F.max("rank").alias("rank")))
+            .groupBy("qid", "qcwd", "hash").agg(F.min("tier").alias("tier"), F.max("rank").alias("rank")))
 
-    # candidates are at most 4 x limit per query: broadcast them, stream history
-    rows = hist.join(small(cand), "hash").join(small(qk.select("qid", "qcwd")), "qid")
+    # at most 4 x limit candidates per query get the history's text
+    rows = cand.join(hist, "hash")
     scored = rows.withColumn(
         "rank_key", F.when(F.col("tier").isin(1, 3), F.col("rank")).otherwise(F.lit(0)))
     per_q = Window.partitionBy("qid")

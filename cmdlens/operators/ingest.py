@@ -1,7 +1,7 @@
 """Latest-per-command upsert with sticky tags (batch form; streaming reuses it).
 
-``INSERT OR REPLACE`` keyed by content hash becomes one hash aggregation keyed
-by the command text: partial (map-side) aggregation collapses repeats of a hot
+``INSERT OR REPLACE`` keyed by content hash becomes one aggregation keyed by the
+command text (sort-based, as its buffers hold strings): partial (map-side) aggregation collapses repeats of a hot
 command before the shuffle, so a command that is a third of all events costs
 one row per map task. SHA-256 is computed once per distinct command, after the
 aggregation, not once per event.
@@ -52,26 +52,62 @@ def normalize_events(events: DataFrame, default_cwd: str | None = None) -> DataF
         *[F.coalesce(F.col(k), F.lit("")).alias(k) for k in META_KEYS])
 
 
-def ingest(events: DataFrame, default_cwd: str | None = None) -> DataFrame:
+def _tag_at(col: str) -> Column:
+    """When a tag was last set, as (ts_ms, event_id); NULL if never."""
+    return F.max(F.when(F.col(col) != "", _order())).alias(f"{col}_at")
+
+
+def ingest(events: DataFrame, default_cwd: str | None = None, prior_meta: DataFrame | None = None,
+           with_order: bool = False) -> DataFrame:
     """Events (cmd, cwd, ts_ms, event_id, tags) -> history, one row per command.
 
     Latest ``ts_ms`` and latest ``cwd`` win; each tag keeps its latest
-    non-empty value.
+    non-empty value. ``prior_meta`` (hash, key, value): metadata kept from an
+    earlier history, e.g. through a prune; it fills tags that no event sets.
+    ``with_order``: also return when the row and each tag were set (``row_at``,
+    ``source_at``, ...), which lets batches that overlap in time be merged.
     """
     ev = normalize_events(events, default_cwd)
-    latest = ev.groupBy("cmd").agg(*latest_aggregates())
-    return latest.select(command_hash("cmd").alias("hash"), "cmd", "cwd", "ts_ms", *META_KEYS)
+    order = [F.max(_order()).alias("row_at"), *[_tag_at(k) for k in META_KEYS]] if with_order else []
+    latest = ev.groupBy("cmd").agg(*latest_aggregates(), *order)
+    out = latest.select(command_hash("cmd").alias("hash"), "cmd", "cwd", "ts_ms", *META_KEYS,
+                        *(["row_at", *[f"{k}_at" for k in META_KEYS]] if with_order else []))
+    return out if prior_meta is None else apply_prior_meta(out, prior_meta)
+
+
+def apply_prior_meta(history: DataFrame, meta: DataFrame) -> DataFrame:
+    """Fill empty tags from kept metadata rows (hash, key, value)."""
+    kept = meta.groupBy("hash").agg(*[
+        F.max(F.when(F.col("key") == k, F.col("value"))).alias(f"_kept_{k}") for k in META_KEYS])
+    filled = history.join(kept, "hash", "left")
+    for k in META_KEYS:
+        filled = filled.withColumn(k, F.when(F.col(k) != "", F.col(k)).otherwise(
+            F.coalesce(F.col(f"_kept_{k}"), F.lit(""))))
+    return filled.select(*history.columns)
 
 
-def merge_history(current: DataFrame, updates: DataFrame) -> DataFrame:
+def merge_history(current: DataFrame, updates: DataFrame, prior_meta: DataFrame | None = None) -> DataFrame:
     """Upsert already-ingested rows into an existing history (same rules).
 
-    Both inputs are history-shaped; the later ``ts_ms`` wins and tags stay sticky.
+    Where both inputs carry order columns (``ingest(..., with_order=True)``), each
+    tag is ordered by when it was set and batches may overlap in time; they are
+    kept in the result. Without them a tag counts as set at its row's ``ts_ms``
+    and ``updates`` must hold later events only.
     """
-    both = current.withColumn("event_id", F.lit(0).cast("long")).unionByName(
-        updates.withColumn("event_id", F.lit(1).cast("long")))
-    merged = both.groupBy("hash").agg(F.any_value("cmd").alias("cmd"), *latest_aggregates())
-    return merged.select("hash", "cmd", "cwd", "ts_ms", *META_KEYS)
+    ordered = "row_at" in current.columns and "row_at" in updates.columns
+    cols = ["hash", "cmd", "cwd", "ts_ms", *META_KEYS]
+    if ordered:
+        marks = ["row_at", *[f"{k}_at" for k in META_KEYS]]
+        both = current.select(*cols, *marks).unionByName(updates.select(*cols, *marks))
+        merged = both.groupBy("hash").agg(
+            F.any_value("cmd").alias("cmd"), F.max_by("cwd", "row_at").alias("cwd"), F.max("ts_ms").alias("ts_ms"),
+            *[F.coalesce(F.max_by(k, f"{k}_at"), F.lit("")).alias(k) for k in META_KEYS],
+            *[F.max(m).alias(m) for m in marks]).select(*cols, *marks)
+    else:
+        both = current.select(*cols).withColumn("event_id", F.lit(0).cast("long")).unionByName(
+            updates.select(*cols).withColumn("event_id", F.lit(1).cast("long")))
+        merged = both.groupBy("hash").agg(F.any_value("cmd").alias("cmd"), *latest_aggregates()).select(*cols)
+    return merged if prior_meta is None else apply_prior_meta(merged, prior_meta)
 
 
 def meta_table(history: DataFrame) -> DataFrame:

@@ -67,9 +67,3 @@ def phrase_match(cmd: Column, phrase: str) -> tuple[Column, Column]:
     exact = phrase_exact(cmd, phrase)
     fuzzy = phrase_fuzzy(cmd, phrase)
     return exact | fuzzy, exact
-
-
-def filter_phrase(df: DataFrame, phrase: str, col: str = "cmd") -> DataFrame:
-    """Keep matching rows and add ``exact`` (bool): sort exact first downstream."""
-    matched, exact = phrase_match(F.col(col), phrase)
-    return df.withColumn("exact", exact).filter(matched)

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import raw_bytes
 from ..functions.ngrams import distinct_trigrams, gram_bytes, trigrams_of
 from ..functions.text import split_keywords_py
 from ..schema import HITS_COLUMNS
@@ -75,7 +76,7 @@ def rank_column(cmd: Column, grams: list[int]) -> Column:
     if len(grams) > MAX_UNROLLED_TERMS:
         query = F.array(*[F.lit(g) for g in grams])
         return F.size(F.array_intersect(distinct_trigrams(cmd), query))
-    cmd_bytes = F.encode(cmd, "UTF-8")
+    cmd_bytes = raw_bytes(cmd)
     terms = [_contains_gram(cmd, cmd_bytes, g).cast("int") for g in grams]
     total = terms[0]
     for t in terms[1:]:
@@ -150,7 +151,7 @@ def find(history: DataFrame, keywords: list[str] | str, limit: int | None = DEFA
     everything = Window.partitionBy(F.lit(1))
     top = (top.withColumn("_best", F.min("tier").over(everything))
            .filter(F.col("tier") == F.col("_best")))
-    hits = with_annotation_type(top, annotations, bounded_rows=n)
+    hits = with_annotation_type(top, annotations)
     hits = squelch(hits, squelch_patterns)
     is_global = F.lit(False) if not cwd else (F.col("tier") >= 3)
     hits = hits.withColumn("is_global", is_global)

@@ -107,7 +107,3 @@ def squelch(df: DataFrame, patterns: list[str] | CompiledPatterns | None,
         return df
     # NULL never matches, so it is kept
     return df.filter(~F.coalesce(pred, F.lit(False)))
-
-
-def default_patterns() -> CompiledPatterns:
-    return compile_patterns(active_list())

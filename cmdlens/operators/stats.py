@@ -22,7 +22,7 @@ TOP_COMMANDS = 15
 TOP_PROGRAMS = 15
 TOP_CATEGORIES = 10
 TOP_DIRS = 10
-MAX_HEATMAP_WEEKS = 52
+DEFAULT_HEATMAP_WEEKS = 52
 MS_PER_DAY = 86_400_000
 
 
@@ -103,14 +103,15 @@ def daily_distribution(base: DataFrame, tz: str | None = "UTC") -> DataFrame:
     return base.groupBy(day.alias("day")).agg(F.count("*").alias("count"))
 
 
-def activity_heatmap(base: DataFrame, weeks: int = MAX_HEATMAP_WEEKS, as_of: str | None = None,
+def activity_heatmap(base: DataFrame, weeks: int = DEFAULT_HEATMAP_WEEKS, as_of: str | None = None,
                      tz: str | None = "UTC") -> DataFrame:
     """Monday-aligned calendar of ``weeks`` weeks ending in the week of ``as_of``.
 
     ``as_of`` ('yyyy-MM-dd'); None = the latest activity day in ``base``.
     Output: week (0 = oldest), dow (0 = Monday), day, count, level (0-5).
     """
-    weeks = max(1, min(MAX_HEATMAP_WEEKS, weeks))
+    if weeks < 1:
+        raise ValueError("weeks must be at least 1")
     spark = base.sparkSession
     local_day = F.to_date(local_time(F.col("ts_ms"), tz))
     if as_of is None:

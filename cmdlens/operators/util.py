@@ -2,62 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest side (rows) we broadcast after counting it (or after bounding it by
-# construction); beyond it the join shuffles and AQE's skew handling /
-# salting takes over. Rows here are narrow (keys, ints, a hash).
-BROADCAST_MAX_ROWS = 1_000_000
 
-
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """Proven size bound: counts at most ``max_rows + 1`` rows (a bounded job)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast hint only behind a checked row bound; otherwise leave the plan alone."""
-    if has_at_most(df, max_rows):
-        return F.broadcast(df), True
-    return df, False
-
-
-def salt_column(key_col: str, buckets: int):
-    """Deterministic salt in [0, buckets) from a high-cardinality column."""
-    return F.pmod(F.xxhash64(F.col(key_col)), F.lit(buckets)).cast("int")
-
-
-def spread(df: DataFrame, pin: bool = False) -> DataFrame:
-    """Round-robin a DataFrame whose scan yields fewer partitions than the
-    cluster's default parallelism (e.g. one large row group) before CPU-heavy
-    per-row work. On a cluster reading many files this is a no-op: no shuffle
-    is added when the input is already split at least that finely.
-
-    ``pin``: the optimizer moves a deterministic filter below a repartition,
-    which would put the heavy per-row predicate back into the single scan
-    task; when redistribution happens, the redistributed rows are written once
-    to the shared checkpoint folder so the filter runs on all partitions.
+def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
+    """Write ``df`` once, as Parquet, to the shared checkpoint folder
+    (``spark.checkpoint.dir``) and read it back: inputs read by several branches
+    of one plan keep column pruning and filter pushdown, and a lost executor
+    costs a re-read, not a recomputation of the whole lineage.
     """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a Spark Connect session): leave the plan alone
-        return df
-    if current < target:
-        spread_df = df.repartition(target)
-        return materialize(spread_df) if pin else spread_df
-    return df
+    from ..session import checkpoint_path
 
+    spark = df.sparkSession
+    path = checkpoint_path(spark, tag)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder (``spark.checkpoint.dir``)
-    and cut its lineage, for inputs read by several branches of one plan.
 
-    A reliable checkpoint: files on the shared filesystem, so a lost executor
-    costs a re-read, not a recomputation of the whole lineage.
+def with_position(df: DataFrame, order: list[Column], name: str = "pos", tag: str = "ordered") -> DataFrame:
+    """Add the 1-based position of each row under ``order`` without a
+    single-partition window: rows are range-partitioned and written once, the
+    partitions' sizes give each its offset, and ranks are taken inside them.
     """
-    from ..session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parted = materialize(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), tag)
+    sizes = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per range partition
+    before = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    return (parted.withColumn("_rank", F.row_number().over(inside)).join(offsets, "_part")
+            .withColumn(name, F.col("_offset") + F.col("_rank")).drop("_part", "_rank", "_offset"))

@@ -15,9 +15,12 @@ from ..operators import hashlet, index, maintenance, search, stats
 from ..operators.filters import scope, with_annotation_type
 from ..operators.phrase import phrase_match
 from ..operators.squelch import active_list, squelch
+from ..operators.util import with_position
 from ..functions.text import split_keywords
 from ..functions.timefmt import relative_time
 
+# Largest limit that one task takes as a top-k; the limit is the caller's.
+TOP_K_REACH = 100_000
 HIT_COLS = ["hash", "cmd", "cwd", "ts_ms", "source"]
 
 
@@ -68,13 +71,19 @@ def cat(hist: DataFrame, phrase: str | None = None, limit: int = 0, cwd: str | N
         source: str | None = "user", squelch_patterns=None, reverse: bool = False,
         tool: str | None = None, category: str | None = None) -> DataFrame:
     """Dump oldest first. ``limit`` > 0 keeps the newest ``limit`` rows *before*
-    noise and phrase filtering (a top-k, then re-ordered oldest first).
+    noise and phrase filtering: up to ``TOP_K_REACH`` by a top-k, beyond it by
+    positions in a distributed order.
 
     Output adds ``exact`` (phrase given) and, when limited, ``pos``.
     """
     rows = scope(hist, cwd=cwd, source=source, tool=tool, category=category)
-    if limit and limit > 0:
-        rows = rows.orderBy(F.col("ts_ms").desc(), F.col("hash").desc()).limit(limit)
+    newest = [F.col("ts_ms").desc(), F.col("hash").desc()]
+    limit = limit or 0
+    large = limit > TOP_K_REACH
+    if large:
+        rows = with_position(rows, newest, "_newest").filter(F.col("_newest") <= limit).drop("_newest")
+    elif limit > 0:
+        rows = rows.orderBy(*newest).limit(limit)
     rows = squelch(rows, squelch_patterns)
     if phrase is not None and phrase != "":
         matched, exact = phrase_match(F.col("cmd"), phrase)
@@ -86,8 +95,11 @@ def cat(hist: DataFrame, phrase: str | None = None, limit: int = 0, cwd: str | N
     order = [F.col("exact").desc(), F.col("ts_ms").asc(), F.col("hash").asc()]
     if reverse:
         order = [F.col("exact").asc(), F.col("ts_ms").desc(), F.col("hash").desc()]
-    if limit and limit > 0:
-        # at most ``limit`` rows: a single-partition window is bounded
+    if large:
+        return with_position(rows, order).select(
+            *HIT_COLS, "exact", F.col("pos").cast("int").alias("pos")).orderBy("pos")
+    if limit > 0:
+        # at most TOP_K_REACH rows: a single-partition window is bounded
         rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
         return rows.select(*HIT_COLS, "exact", "pos").orderBy("pos")
     return rows.select(*HIT_COLS, "exact").orderBy(*order)

@@ -32,7 +32,7 @@ COMMAND_EVENTS = f"""
 command_events AS (
   SELECT event_id,
          CASE WHEN event_id % 12 IN (1, 8) THEN base
-              ELSE base || ' ' || event_type || ' ' || CAST(event_id % 50 AS VARCHAR) END AS cmd,
+              ELSE base || ' ' || event_type || ' ' || CAST(event_id // 120 AS VARCHAR) END AS cmd,
          CASE WHEN event_id % 17 = 0 THEN ''
               ELSE '/home/u' || CAST(user_id AS VARCHAR) || '/proj' END AS cwd,
          epoch_us(ts) // 1000 AS ts_ms,
@@ -190,7 +190,7 @@ tool_json AS (
                           CASE tool WHEN 'Read' THEN 'file_path' WHEN 'Bash' THEN 'command'
                                     WHEN 'WebFetch' THEN 'url' WHEN 'Grep' THEN 'pattern' ELSE 'x' END,
                           CASE WHEN event_id % 11 = 0 THEN '   '
-                               ELSE '  src/u' || CAST(user_id AS VARCHAR) || '/f' || CAST(event_id % 40 AS VARCHAR) || '.go ' END),
+                               ELSE '  src/u' || CAST(user_id AS VARCHAR) || '/f' || CAST(event_id // 40 AS VARCHAR) || '.go ' END),
                        'cwd', '/home/u' || CAST(user_id AS VARCHAR) || '/proj')::VARCHAR AS js
     FROM (SELECT *, CASE WHEN event_id % 9 = 0 THEN 'CronList' ELSE element_at({tool_map}, event_type)[1] END AS tool
           FROM events) e

@@ -19,7 +19,7 @@ from ..operators import hashlet, index, ingest, maintenance, stats
 from ..operators.phrase import phrase_match
 from ..operators.filters import scope
 from ..operators.squelch import DEFAULT_SQUELCH, squelch
-from ..operators.util import materialize, spread
+from ..operators.util import materialize
 from ..sources import fixtures, store, tool_calls
 from ..streaming import ingest as streaming
 from ..session import checkpoint_path
@@ -144,7 +144,7 @@ BATCH_SQL = H(
     """
 queries AS (
   SELECT DISTINCT CAST(user_id AS VARCHAR) || ':' || event_type AS qid,
-         [event_type, CAST(user_id % 50 AS VARCHAR)] AS keywords,
+         [event_type, CAST(user_id AS VARCHAR)] AS keywords,
          CASE WHEN user_id % 3 = 0 THEN '' ELSE '/home/u' || CAST(user_id AS VARCHAR) || '/proj' END AS qcwd
   FROM events)""",
     "\nidx AS (" + O.trigram_rows("history", "hash", "cmd") + ")",
@@ -259,7 +259,7 @@ DOC_PHRASE = "enchè ouan du"
 SELECT doc_id, {O.exact_sql('text', DOC_PHRASE)} AS exact FROM documents
 WHERE {O.exact_sql('text', DOC_PHRASE)} OR {O.fuzzy_sql('text', DOC_PHRASE)}""")
 def phrase_fuzzy_documents(spark, sf):
-    d = spread(documents(spark, sf).select("doc_id", "text"), pin=True)
+    d = documents(spark, sf).select("doc_id", "text")
     matched, exact = phrase_match(F.col("text"), DOC_PHRASE)
     return d.select("doc_id", exact.alias("exact"), matched.alias("_m")).filter("_m").drop("_m")
 
@@ -508,8 +508,9 @@ def prune_index(spark, sf):
 # --------------------------------------------------------------------------- streaming
 def _event_stream(spark, sf):
     schema = fixtures.load(spark, sf, "events").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf))
+    # the table may be one file or a folder of part files; a glob path reads either
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .parquet(f"{sf.rstrip('/')}/events.parque[t]"))
     return fixtures.command_events(stream)
 
 
@@ -664,3 +665,221 @@ def find_marked(spark, sf):
     """Ranked search over a history with prune marks: hits carry the mark."""
     h, ann = _marked(spark, sf)
     return commands.find(h, ["docker", "ps"], limit=8, annotations=ann)
+
+
+# --------------------------------------------------------------------------- byte strings
+_BAD_BYTES = "encode(text) || '\\xFF\\xFE\\x41'::BLOB"
+
+
+def _byte_commands(spark, sf) -> DataFrame:
+    """Documents as commands that end in bytes that form no UTF-8."""
+    raw = F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FFFE41")))
+    return documents(spark, sf).select("doc_id", raw.cast("string").alias("cmd"))
+
+
+@register("command_hash_bytes", f"SELECT doc_id, sha256({_BAD_BYTES}) AS hash FROM documents")
+def command_hash_bytes(spark, sf):
+    return _byte_commands(spark, sf).select("doc_id", command_hash("cmd").alias("hash"))
+
+
+@register("decode_bad_bytes", f"""
+SELECT doc_id, hex({_BAD_BYTES}) AS cmd_hex, CAST(doc_id AS BIGINT) AS ts_ms FROM documents""")
+def decode_bad_bytes(spark, sf):
+    """Stored rows of such commands, written, read back and decoded: every byte stays."""
+    c = _byte_commands(spark, sf)
+    raw = store.encode_history(c.select(F.col("doc_id").cast("string").alias("hash"), "cmd", F.lit("").alias("cwd"),
+                                        F.col("doc_id").alias("ts_ms")))
+    path = checkpoint_path(spark, "raw-bytes")
+    raw.write.parquet(path)
+    back = store.decode_history(store.read_history_raw(spark, path))
+    return back.select(F.col("hash").cast("long").alias("doc_id"), F.hex(F.col("cmd").cast("binary")).alias("cmd_hex"), "ts_ms")
+
+
+@register("ngram_index_bytes", f"""
+SELECT ngram, count(*) AS doc_freq FROM (
+  SELECT DISTINCT ('0x' || substr(hex(b), 2 * i - 1, 6))::INTEGER AS ngram, doc_id
+  FROM (SELECT doc_id, b, unnest(generate_series(1, octet_length(b) - 2)) AS i
+        FROM (SELECT doc_id, {_BAD_BYTES} AS b FROM documents)))
+GROUP BY ngram""")
+def ngram_index_bytes(spark, sf):
+    idx = index.build_index(_byte_commands(spark, sf), key_col="doc_id")
+    return index.gram_doc_freq(idx, key_col="doc_id")
+
+
+# --------------------------------------------------------------------------- tool-call payloads
+# (event_id % 12 -> payload); the last four yield a row. Each kind's text is fixed but for the event id.
+_PAYLOADS = [
+    '{"tool_name":"Bash","tool_input":{"command":null},"cwd":"/w"}',
+    '{"tool_name":"Bash","tool_input":{"command":7},"cwd":"/w"}',
+    '{"tool_name":null,"tool_input":{},"cwd":"/w"}',
+    '{"tool_name":"Bash","tool_input":{"command":"ls"},"cwd":null}',
+    '{"tool_name":"Bash","tool_input":null,"cwd":"/w"}',
+    "{'tool_name':'Bash','tool_input':{'command':'ls'},'cwd':'/w'}",
+    '{"tool_name":"Bash","tool_input":{"command":"ls"},"cwd":"/w"} trailing',
+    '["tool_name"]',
+    '{"tool_name":"CronList","tool_input":5,"cwd":"/w"}',
+    '{"tool_name":"Bash","tool_input":{"command":" ls # "},"cwd":"/w"}',
+    '{"tool_name":"Grep"}',
+    '{"tool_input":{"command":"x"}}',
+]
+
+
+@register("tool_calls_malformed", """
+SELECT event_id,
+  CASE k WHEN 8 THEN 'CronList' WHEN 9 THEN 'Bash' WHEN 10 THEN 'Grep' ELSE '' END AS tool,
+  CASE k WHEN 8 THEN 'cron' WHEN 9 THEN 'shell' WHEN 10 THEN 'search' ELSE 'other' END AS category,
+  CASE k WHEN 8 THEN '[CronList]' WHEN 9 THEN '[Bash] ls ' || event_id WHEN 10 THEN '[Grep]' ELSE '[]' END AS display,
+  CASE k WHEN 8 THEN '/w' WHEN 9 THEN '/w' ELSE '' END AS cwd
+FROM (SELECT event_id, event_id % 12 AS k FROM events) WHERE k >= 8""")
+def tool_calls_malformed(spark, sf):
+    e = events(spark, sf)
+    kind = F.element_at(F.array(*[F.lit(x) for x in _PAYLOADS]), (F.col("event_id") % len(_PAYLOADS) + 1).cast("int"))
+    js = F.replace(kind, F.lit("#"), F.col("event_id").cast("string"))
+    tc = tool_calls.tool_calls(e.select("event_id", js.alias("js")))
+    return tc.select("event_id", "tool", "category", "display", F.col("tool_cwd").alias("cwd"))
+
+
+# --------------------------------------------------------------------------- metadata through prune and merge
+@register("prune_reindex_tag", "WITH " + O.COMMAND_EVENTS + "," + O.history_cte("(SELECT * FROM command_events WHERE event_id % 2 = 0)", "older").lstrip()
+          + "," + O.history_cte("(SELECT event_id, cmd, cwd, ts_ms, '' AS source, '' AS tool, '' AS category FROM command_events)", "again").lstrip() + """
+SELECT a.hash, a.cmd, a.ts_ms, coalesce(o.source, '') AS source, coalesce(o.tool, '') AS tool,
+       coalesce(o.category, '') AS category
+FROM again a LEFT JOIN older o USING (hash)""")
+def prune_reindex_tag(spark, sf):
+    """Half of the log is ingested and pruned; its metadata rows stay, so the whole log, indexed again without
+    tags, gets the old tags back."""
+    ev = fixtures.command_events(events(spark, sf))
+    older = ingest.ingest(ev.filter(F.col("event_id") % 2 == 0))
+    marks = maintenance.mark_prune(spark.createDataFrame([], "hash string, type int, desc string"), older.select("hash"))
+    _, _, _, meta = maintenance.prune_apply(older, None, marks, ingest.meta_table(older))
+    bare = ev.select("event_id", "cmd", "cwd", "ts_ms")
+    return ingest.ingest(bare, prior_meta=meta).select("hash", "cmd", "ts_ms", "source", "tool", "category")
+
+
+@register("ingest_incremental_overlap", ORACLE["ingest_latest"])
+def ingest_incremental_overlap(spark, sf):
+    """Two batches interleaved in time, merged by each tag's own order; equals a full ingest."""
+    ev = fixtures.command_events(events(spark, sf))
+    parts = [ingest.ingest(ev.filter(F.col("event_id") % 3 == 0), with_order=True),
+             ingest.ingest(ev.filter(F.col("event_id") % 3 != 0), with_order=True)]
+    return ingest.merge_history(*parts).select("hash", "cmd", "cwd", "ts_ms", "source", "tool", "category")
+
+
+# --------------------------------------------------------------------------- stored layout
+def _read_back(spark, sf) -> DataFrame:
+    path = checkpoint_path(spark, "history-layout")
+    store.write_history(history(spark, sf), path)
+    return store.read_history(spark, path)
+
+
+@register("find_stored", ORACLE["find_local"])
+def find_stored(spark, sf):
+    case = FIND_CASES["find_local"]
+    return commands.find(_read_back(spark, sf), case["keywords"], cwd=case["cwd"])
+
+
+@register("history_stored_local", ORACLE["history_local"])
+def history_stored_local(spark, sf):
+    return commands.history(_read_back(spark, sf), cwd="/home/u7/proj", squelch_patterns=DEFAULT_SQUELCH)
+
+
+@register("stored_missing_cwd", H() + "\nSELECT hash, cmd, '' AS cwd, ts_ms FROM history")
+def stored_missing_cwd(spark, sf):
+    """Rows stored before the directory column existed read it as empty."""
+    path = checkpoint_path(spark, "raw-old")
+    store.encode_history(history(spark, sf)).drop("cwd").write.parquet(path)
+    return store.decode_history(store.read_history_raw(spark, path))
+
+
+# --------------------------------------------------------------------------- arguments
+@register("build_meta", H() + """
+SELECT hash, CAST(length(list_filter([source, tool, category], lambda x: x <> '')) AS INTEGER) AS n_tags,
+       source AS meta_source, tool AS meta_tool, category AS meta_category FROM history""")
+def build_meta_q(spark, sf):
+    m = ingest.build_meta("source", "tool", "category")
+    h = history(spark, sf).select("hash", m.alias("m"))
+
+    def tag(key):
+        return F.coalesce(F.col("m")[key], F.lit("")).alias(f"meta_{key}")
+    return h.select("hash", F.size("m").alias("n_tags"), tag("source"), tag("tool"), tag("category"))
+
+
+@register("split_keywords", """
+SELECT doc_id, list_filter(string_split_regex(text, '[ \n]+'), lambda x: x <> '') AS keywords FROM documents""")
+def split_keywords_q(spark, sf):
+    from ..functions.text import split_keywords
+    return documents(spark, sf).select("doc_id", split_keywords("text").alias("keywords"))
+
+
+@register("find_blank", H() + """
+SELECT hash, cmd, cwd, ts_ms, 0 AS annotation_type, source, FALSE AS is_global, 0 AS rank, 0 AS pos
+FROM history WHERE FALSE""")
+def find_blank(spark, sf):
+    return commands.find(history(spark, sf), ["", ""])
+
+
+@register("find_default_limit", O.find_sql(["git", "status"], 5))
+def find_default_limit(spark, sf):
+    """A limit of 0 or less means 5."""
+    return commands.find(history(spark, sf), ["git", "status"], limit=-3)
+
+
+@register("squelch_user_list", _squelch_sql(O.noise_sql(DEFAULT_SQUELCH + ["make build", "fzf"], [SQ_GLOB_RE2[0]])))
+def squelch_user_list(spark, sf):
+    """The built-in list and the user's patterns, concatenated."""
+    from ..operators.squelch import active_list
+    return _squelch_q(active_list(user_patterns=["make build", "fzf", SQ_GLOB[0]]))(spark, sf)
+
+
+@register("activity_heatmap_104w", ORACLE["activity_heatmap"].replace("(51 * 7)", "(103 * 7)").replace("52 * 7 - 1", "104 * 7 - 1"))
+def activity_heatmap_104w(spark, sf):
+    return stats.activity_heatmap(_stats_base(spark, sf), weeks=104)
+
+
+@register("cat_limit_large", H() + f"""
+SELECT {HIST_COLS}, FALSE AS exact, CAST(row_number() OVER (ORDER BY ts_ms, hash) AS INTEGER) AS pos
+FROM (SELECT * FROM history WHERE source = '' ORDER BY ts_ms DESC, hash DESC LIMIT 5000000)
+WHERE NOT {DEFAULT_NOISE}""")
+def cat_limit_large(spark, sf):
+    """A limit beyond a top-k's reach: positions come from a distributed order."""
+    return commands.cat(history(spark, sf), limit=5_000_000, squelch_patterns=DEFAULT_SQUELCH)
+
+
+# --------------------------------------------------------------------------- streaming sources
+def _drained(stream: DataFrame, spark, tag: str) -> DataFrame:
+    out = checkpoint_path(spark, tag)
+    streaming.start_latest(stream, out, state_partitions=spark.sparkContext.defaultParallelism).awaitTermination()
+    return streaming.read_latest(spark, out)
+
+
+@register("stream_lines", ORACLE["line_source_ingest"].replace("'/docs'", "'/stream'"))
+def stream_lines(spark, sf):
+    """Documents written as line logs in several files, streamed one file per micro-batch."""
+    path = checkpoint_path(spark, "line-stream")
+    documents(spark, sf).select("text").repartition(4).write.text(path)
+    lines = streaming.line_stream(spark, path, cwd="/stream", files_per_batch=1)
+    return _drained(lines, spark, "line-stream-table").select("hash", "cmd", "cwd")
+
+
+@register("stream_tool_calls", "WITH " + O.tool_json_cte() + """
+SELECT DISTINCT sha256(display) AS hash, display AS cmd, 'agent' AS source, tool, category FROM tool_parsed""")
+def stream_tool_calls(spark, sf):
+    """Hook payloads in several files, streamed one file per micro-batch."""
+    path = checkpoint_path(spark, "tool-stream")
+    fixtures.tool_call_json(events(spark, sf)).select("js").repartition(4).write.text(path)
+    calls = streaming.tool_call_stream(spark, path, files_per_batch=1)
+    return _drained(calls, spark, "tool-stream-table").select("hash", "cmd", "source", "tool", "category")
+
+
+# --------------------------------------------------------------------------- regex dialect
+DIALECT = ["a\\vb", "(?U)\\w{3,}\\.", "(?m:on$)|the$", "(?P<my_name>\\.)$", "{.*}", "a{,2}", "\\p{Greek}", "\\12The",
+           "[[:^alpha:]]{4}", "[\\S]{30}", "(?i)É\\b", "\\bTh[^e]", "(?s)an.in", "^The.and", "\\Qof.\\E", "[\\x41-\\x43]\\D+\\z"]
+
+
+@register("squelch_regex_dialect", "SELECT doc_id, " + ", ".join(
+    f"regexp_matches(text, {O.q(p)}) AS m{i}" for i, p in enumerate(DIALECT)) + " FROM documents")
+def squelch_regex_dialect(spark, sf):
+    """Constructs on which the JVM's dialect differs, one column each, over whole documents."""
+    from ..functions.patterns import re2_to_java
+    return documents(spark, sf).select(
+        "doc_id", *[F.col("text").rlike(re2_to_java(p)).alias(f"m{i}") for i, p in enumerate(DIALECT)])

@@ -53,8 +53,4 @@ META = T.StructType([
 # Search result rows.
 HITS_COLUMNS = ["hash", "cmd", "cwd", "ts_ms", "annotation_type", "source"]
 
-# Tool-call hook payload.
-TOOL_EVENT_JSON = ("tool_name string, tool_input map<string,string>, cwd string, "
-                   "_corrupt_record string")
-
 META_KEYS = ("source", "tool", "category")

@@ -19,6 +19,8 @@ REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # base64() must not insert line breaks every 76 characters.
     "spark.sql.chunkBase64String.enabled": "false",
+    # A JSON key given twice means its last value.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Runtime re-planning: coalesce small shuffles, split skewed join partitions,
     # and demote/promote join strategies from real shuffle sizes.
     "spark.sql.adaptive.enabled": "true",
@@ -58,8 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the platform (a shared filesystem); it is read,
-    never replaced. Only when it is unset -- local tests -- a scratch folder is
-    created and registered.
+    never replaced. Only when it is unset and the master is local (tests) a
+    scratch folder is created and registered; elsewhere its absence is an error.
     """
     try:
         sc = spark.sparkContext
@@ -72,6 +74,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not configured and sc is not None:
         configured = sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if sc is None or not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="cmdlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if sc is None:

@@ -17,6 +17,9 @@ BASE_COMMANDS = [
     "/usr/bin/python3 run.py", "curl http://h/x", "kubectl get pods", "ls",
     "vim main.go", "fzf", "git commit -m fix",
 ]
+# Commands carry the number of their run of so many events: some repeat, and new
+# ones appear for as long as the log goes on.
+EVENTS_PER_NUMBER = 120
 # residues that keep the bare command (so the default noise list drops them)
 BARE_RESIDUES = (1, 8)
 AGENT_TAG = ("agent", "Bash", "shell")
@@ -35,7 +38,7 @@ def command_events(events: DataFrame) -> DataFrame:
     eid = F.col("event_id")
     base = F.element_at(F.array(*[F.lit(c) for c in BASE_COMMANDS]), (eid % 12 + 1).cast("int"))
     cmd = F.when((eid % 12).isin(*BARE_RESIDUES), base).otherwise(
-        F.concat(base, F.lit(" "), F.col("event_type"), F.lit(" "), (eid % 50).cast("string")))
+        F.concat(base, F.lit(" "), F.col("event_type"), F.lit(" "), F.floor(eid / EVENTS_PER_NUMBER).cast("string")))
     cwd = F.when(eid % 17 == 0, F.lit("")).otherwise(
         F.concat(F.lit("/home/u"), F.col("user_id").cast("string"), F.lit("/proj")))
     ts_ms = F.unix_millis(F.col("ts").cast("timestamp"))
@@ -58,7 +61,7 @@ def tool_call_json(events: DataFrame) -> DataFrame:
            .otherwise(F.lit("x")))
     arg = F.when(eid % 11 == 0, F.lit("   ")).otherwise(
         F.concat(F.lit("  src/u"), F.col("user_id").cast("string"), F.lit("/f"),
-                 (eid % 40).cast("string"), F.lit(".go ")))
+                 F.floor(eid / 40).cast("string"), F.lit(".go ")))
     cwd = F.concat(F.lit("/home/u"), F.col("user_id").cast("string"), F.lit("/proj"))
     js = F.to_json(F.struct(tool.alias("tool_name"), F.create_map(key, arg).alias("tool_input"),
                             cwd.alias("cwd")))
@@ -68,14 +71,13 @@ def tool_call_json(events: DataFrame) -> DataFrame:
 
 
 def search_queries(events: DataFrame) -> DataFrame:
-    """One keyword query per (user, event type): [event_type, user_id % 50],
-    scoped to the user's directory (global for every third user)."""
+    """One keyword query per (user, event type): [event_type, user_id], scoped to the user's directory (global for every third user)."""
     pairs = events.select("user_id", "event_type").distinct()
     cwd = F.when(F.col("user_id") % 3 == 0, F.lit("")).otherwise(
         F.concat(F.lit("/home/u"), F.col("user_id").cast("string"), F.lit("/proj")))
     return pairs.select(
         F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("event_type")).alias("qid"),
-        F.array(F.col("event_type"), (F.col("user_id") % 50).cast("string")).alias("keywords"),
+        F.array(F.col("event_type"), F.col("user_id").cast("string")).alias("keywords"),
         cwd.alias("cwd"))
 
 

@@ -48,17 +48,6 @@ def read_history_raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HISTORY_RAW).parquet(path)
 
 
-def write_table(df: DataFrame, path: str, sort_cols: list[str] | None = None) -> None:
-    """Write a new version of a table (readers switch to ``path`` afterwards).
-
-    Sorting within partitions keeps Parquet min/max statistics tight on the
-    given columns (e.g. ``ngram`` for the index, ``ts_ms`` for history).
-    """
-    if sort_cols:
-        df = df.sortWithinPartitions(*sort_cols)
-    df.write.mode("overwrite").parquet(path)
-
-
 def write_history(history: DataFrame, path: str) -> None:
     """History at rest: partitioned by source tag (the default user scope then
     reads only the untagged partition), sorted by directory and time inside

@@ -55,13 +55,18 @@ def _shuffle_partitions(spark: SparkSession, n: int | None):
         spark.conf.set(key, old)
 
 
+def _text_stream(spark: SparkSession, path: str, files_per_batch: int | None):
+    reader = spark.readStream.option("lineSep", "\n")
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).text(path)
+
+
 def line_stream(spark: SparkSession, path: str, cwd: str = "", source: str = "",
-                tool: str = "", category: str = "") -> DataFrame:
+                tool: str = "", category: str = "", files_per_batch: int | None = None) -> DataFrame:
     """Streaming line log (one command per line, empty lines skipped, one
     trailing CR stripped) as command events; event time = file modification
     time. Every line of the stream shares cwd and tags, so the order of
     equal-time lines cannot change the result (event_id is constant)."""
-    raw = spark.readStream.option("lineSep", "\n").text(path)
+    raw = _text_stream(spark, path, files_per_batch)
     line = F.regexp_replace(F.col("value"), "\r$", "")
     return (raw.select(line.alias("cmd"),
                        F.unix_millis(F.col("_metadata.file_modification_time")).alias("ts_ms"),
@@ -71,13 +76,14 @@ def line_stream(spark: SparkSession, path: str, cwd: str = "", source: str = "",
                     F.lit(tool).alias("tool"), F.lit(category).alias("category")))
 
 
-def tool_call_stream(spark: SparkSession, path: str, source: str = "agent") -> DataFrame:
+def tool_call_stream(spark: SparkSession, path: str, source: str = "agent",
+                     files_per_batch: int | None = None) -> DataFrame:
     """Streaming hook payloads (one JSON object per line) as tagged command
     events, parsed exactly like the batch tool-call source. Event time is the
     file's modification time; equal-time payloads of one command are ordered
     by a hash of the payload (deterministic; the text source has no line
     number to recover file order)."""
-    raw = spark.readStream.text(path)
+    raw = _text_stream(spark, path, files_per_batch)
     df = raw.select(F.col("value").alias("js"),
                     F.unix_millis(F.col("_metadata.file_modification_time")).alias("ts_ms"),
                     F.xxhash64(F.col("value")).alias("event_id"))

@@ -126,3 +126,22 @@ def test_regex_dialect(spark):
     for bad in ["(a)\\1", "a(?=b)", "(?<!x)y", "a(", "[a"]:
         with pytest.raises(PatternError):
             re2_to_java(bad)
+
+
+def test_regex_dialect_corner_cases(spark):
+    """Named groups, scoped flags, escapes and rejected forms, one by one."""
+    import pytest
+    from pyspark.sql import functions as F
+
+    # (pattern, text, RE2's answer)
+    cases = [("a\\vb", "a\nb", False), ("a\\vb", "a\x0bb", True), ("(?U)\\w", "é", False), ("(?m:a$)|b$", "b\n", False),
+             ("(?m:a$)|b$", "a\n", True), ("(?<time>x)$", "x\n", False), ("(?P<my_name>x)$", "x", True),
+             ("{.*}", "{ab}", True), ("a{,2}", "a{,2}", True), ("\\p{Greek}", "λ", True), ("\\12", "\n", True),
+             ("[[:^alpha:]]", "a", False), ("[\\S]", "\x0b", True), ("(?U)a+", "aa", True), ("(?i)É", "é", True)]
+    df = spark.createDataFrame([(t,) for _, t, _ in cases], "t string")
+    for pattern, text, want in cases:
+        got = df.filter(F.col("t") == text).select(F.col("t").rlike(re2_to_java(pattern)).alias("m")).first().m
+        assert got == want, pattern
+    for pattern in ["a++", "a{2}{3}", "\\e", "(?x)", "(?u)", "a**", "(?=a)", "\\1", "a{2,1}", "[b-a]", "(a{1000}){2}", "*a"]:
+        with pytest.raises(PatternError):
+            re2_to_java(pattern)

@@ -51,8 +51,8 @@ def test_top_list_combines_map_side(spark, tmp_path):
 
 
 def test_no_registered_query_plans_a_cross_join(spark):
-    import __spark_entry__ as E
-    for name, fn in E.queries().items():
+    from cmdlens.plans import registry
+    for name, fn in registry.QUERIES.items():
         plan = plan_of(fn(spark, SMOKE_DIR))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
@@ -70,3 +70,25 @@ def test_stored_layouts_prune(spark, tmp_path):
     store.write_index(build_index(h), str(tmp_path / "i"))
     idx = spark.read.parquet(str(tmp_path / "i"))
     assert "PushedFilters: [In(ngram" in plan_of(idx.filter(F.col("ngram").isin(1, 2, 3)))
+
+
+def test_history_is_joined_after_the_trigram_join(spark, tmp_path):
+    """The prebuilt index meets the asked trigrams first; the history joins their counts."""
+    from cmdlens.operators.index import build_index
+    h = stored_history(spark, tmp_path)
+    build_index(h).write.parquet(str(tmp_path / "idx"))
+    q = spark.createDataFrame([("a", ["git", "status"], "/home/u7/proj")], "qid string, keywords array<string>, cwd string")
+    plan = batch_search(h, q, index=spark.read.parquet(str(tmp_path / "idx")))._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.split("\n")
+    joins = [i for i, x in enumerate(lines) if "Join Inner, (hash" in x]
+    grams = [i for i, x in enumerate(lines) if "Join Inner, (ngram" in x]
+    # an outer join is printed above what it reads
+    assert joins and grams and all(any(j < g for j in joins) for g in grams)
+
+
+def test_resolve_prefixes_reads_the_history_three_times(spark, tmp_path):
+    from cmdlens.operators.hashlet import resolve_prefixes
+    h = stored_history(spark, tmp_path)
+    p = spark.createDataFrame([("ab",), ("abcdef12",), ("zz",)], "prefix string")
+    plan = plan_of(resolve_prefixes(h, p))
+    assert plan.count("FileScan parquet") <= 3

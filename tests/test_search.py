@@ -100,14 +100,34 @@ def test_batch_equals_single_queries(spark):
             assert sorted(got.get(str(i), [])) == sorted(want), (kws, d)
 
 
-def test_batch_search_salted_path(spark, monkeypatch):
-    import cmdlens.operators.index as idx_mod
-    h = make_history(spark, [(i, f"git status {i}", "/a", i) for i in range(30)])
-    q = spark.createDataFrame([("q", ["status", "3"], "")], "qid string, keywords array<string>, cwd string")
-    want = [r.cmd for r in batch_search(h, q).orderBy("pos").collect()]
-    monkeypatch.setattr(idx_mod, "has_at_most", lambda df, max_rows=0: False)
-    got = [r.cmd for r in batch_search(h, q).orderBy("pos").collect()]
-    assert got == want and len(got) == 5
+def test_unrolled_and_array_forms_agree_around_the_limit(spark):
+    """63-66 terms, multi-byte trigrams included: both forms of rank and scan, same answers."""
+    import cmdlens.operators.search as S
+    words = [f"é{i:02d}ü" for i in range(70)]
+    df = spark.createDataFrame([(" ".join(words[i::7]),) for i in range(7)] + [("",), ("é",)], "cmd string")
+    grams = S.query_grams(words)
+    old = S.MAX_UNROLLED_TERMS
+    try:
+        for n in (63, 64, 65, 66):
+            got = []
+            for limit in (0, 1000):
+                S.MAX_UNROLLED_TERMS = limit
+                got.append(df.select("cmd", S.rank_column(F.col("cmd"), grams[:n]).alias("r"),
+                                     S.scan_column(F.col("cmd"), words[:n]).alias("s")).collect())
+            assert got[0] == got[1], n
+    finally:
+        S.MAX_UNROLLED_TERMS = old
+
+
+def test_cat_limit_beyond_top_k(spark, monkeypatch):
+    h = make_history(spark, [(i, f"cmd {i % 37}", "/a", 1000 + i) for i in range(200)])
+    want = [(r.cmd, r.pos) for r in commands.cat(h, limit=30).collect()]
+    monkeypatch.setattr(commands, "TOP_K_REACH", 3)
+    large = commands.cat(h, limit=30)
+    assert [(r.cmd, r.pos) for r in large.collect()] == want
+    # the only single-partition window is over the partitions' sizes
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in plan
 
 
 def test_history_and_cat(spark):

@@ -1,23 +1,8 @@
-from cmdlens.operators.util import broadcast_if_small, has_at_most, materialize, spread
-from cmdlens.session import ensure_checkpoint_dir
-
-
-def test_bounded_row_check(spark):
-    df = spark.range(10)
-    assert has_at_most(df, 10) and not has_at_most(df, 9)
-    side, ok = broadcast_if_small(df, 10)
-    assert ok and side.count() == 10
-    side, ok = broadcast_if_small(df, 3)
-    assert not ok
-
+import pytest
+from pyspark.sql import functions as F
 
-def test_spread_only_when_under_split(spark):
-    wide = spark.range(0, 1000, 1, spark.sparkContext.defaultParallelism)
-    assert spread(wide) is wide                                  # already split: no shuffle added
-    narrow = spark.range(0, 1000, 1, 1)
-    spread_df = spread(narrow)
-    assert spread_df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert sorted(r.id for r in spread_df.collect()) == list(range(1000))
+from cmdlens.operators.util import materialize, with_position
+from cmdlens.session import ensure_checkpoint_dir
 
 
 def test_materialize_cuts_lineage(spark):
@@ -25,7 +10,36 @@ def test_materialize_cuts_lineage(spark):
     df = spark.range(100).selectExpr("id", "id * 2 AS twice").filter("id % 3 = 0")
     m = materialize(df)
     plan = m._jdf.queryExecution().optimizedPlan().toString()
-    assert "Filter" not in plan and "Range" not in plan           # reads the checkpoint, not the lineage
+    assert "Filter" not in plan and "Range" not in plan           # reads the files, not the lineage
     assert sorted(tuple(r) for r in m.collect()) == sorted(tuple(r) for r in df.collect())
-    pinned = spread(spark.range(0, 50, 1, 1), pin=True)
-    assert "Repartition" not in pinned._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_with_position_numbers_rows_in_order(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") * 7919 % 1000).alias("k"))
+    got = {r.k: r.pos for r in with_position(df, [F.col("k").desc()]).collect()}
+    assert got == {k: 1000 - k for k in range(1000)}
+    assert with_position(df.limit(0), [F.col("k").asc()]).count() == 0
+
+
+def test_checkpoint_folder_is_required_off_local(spark, monkeypatch):
+    import cmdlens.session as S
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError):
+        S.ensure_checkpoint_dir(Session())
