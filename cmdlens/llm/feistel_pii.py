@@ -297,12 +297,12 @@ def _phone(m: Column, key: str) -> Column:
 _MAKERS = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ipv4": _ipv4, "phone": _phone, "card": _card}
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data in ``text_col`` pseudonymised, plus ``pii`` (an array
-    of struct(kind, pseudonym) in order of appearance).
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: str = "pii") -> DataFrame:
+    """``docs`` with personal data in ``text_col`` pseudonymised, plus ``found_col`` (an
+    array of struct(kind, pseudonym) in order of appearance).
 
-    All rows and other columns stay as they are (a column already named ``pii``
-    is replaced). Null text stays null with an empty array; empty text has none;
+    All rows and other columns stay as they are (a column already named as
+    ``found_col`` is replaced). Null text stays null with an empty array; empty text has none;
     candidates that fail validation are left as written; repeated rows get equal
     results. A value may, as under any permutation, map to itself: 1 chance in
     the size of its format.
@@ -321,9 +321,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
             return expr.otherwise(m)
         return _let(kind, lambda k: F.struct(k.alias("kind"), pseudonym(k).alias("pseudonym")))
 
-    t = docs.withColumn("pii", F.transform(found, made))
+    t = docs.withColumn(found_col, F.transform(found, made))
     pieces = F.split(text, CANDIDATE, -1)
     joined = F.array_join(F.zip_with(
-        pieces, F.col("pii"), lambda p, m: F.concat(p, F.coalesce(m["pseudonym"], F.lit("")))), "")
-    t = t.withColumn(text_col, F.when(F.size("pii") == 0, text).otherwise(joined))
-    return t.withColumn("pii", F.filter("pii", lambda m: m["kind"].isNotNull()))
+        pieces, F.col(found_col), lambda p, m: F.concat(p, F.coalesce(m["pseudonym"], F.lit("")))), "")
+    t = t.withColumn(text_col, F.when(F.size(found_col) == 0, text).otherwise(joined))
+    return t.withColumn(found_col, F.filter(found_col, lambda m: m["kind"].isNotNull()))

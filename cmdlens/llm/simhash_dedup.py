@@ -67,10 +67,11 @@ def variants(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     rows = []
     for s in range(n_seg):
         lo, width = cuts[s], cuts[s + 1] - cuts[s]
-        seg = F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << width) - 1))
+        seg = F.shiftrightunsigned("fp", lo)
+        seg = seg.bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else seg
         for j in range(width):
             below = seg.bitwiseAND(F.lit((1 << j) - 1))
-            above = F.shiftleft(F.shiftrightunsigned(seg, j + 1), j)
+            above = F.shiftleft(F.shiftrightunsigned(seg, j + 1), j) if j < 63 else F.lit(0).cast("bigint")
             # the variant, its segment and its deleted bit, in one number
             rows.append(F.xxhash64(above.bitwiseOR(below), F.lit(cuts[s] + j)) if width > 50 else
                         above.bitwiseOR(below).bitwiseOR(F.lit((cuts[s] + j) << (width - 1))))

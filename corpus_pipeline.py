@@ -31,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in ``text`` replaced by format-preserving pseudonyms."""
-    return feistel_pii.pseudonymise(_tuned(spark, docs), PSEUDONYM_KEY).select(*docs.columns)
+    return feistel_pii.pseudonymise(_tuned(spark, docs), PSEUDONYM_KEY, found_col="_pseudonyms").drop("_pseudonyms")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
