@@ -71,11 +71,11 @@ def compile_patterns(raw_patterns: list[str]) -> CompiledPatterns:
         try:
             java = re2_to_java(body) if kind == "regex" else glob_to_regex(body)
         except PatternError as exc:
-            out.warnings.append(f"squelch: invalid {kind} {raw!r}: {exc}")
+            out.warnings.append(f"noise pattern {raw!r} skipped, its {kind} is malformed: {exc}")
             continue
         err = _java_compiles(java)
         if err:
-            out.warnings.append(f"squelch: invalid {kind} {raw!r}: {err}")
+            out.warnings.append(f"noise pattern {raw!r} skipped, its {kind} is malformed: {err}")
             continue
         out.regexes.append(java)
     return out

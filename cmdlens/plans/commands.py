@@ -15,7 +15,7 @@ from ..operators import hashlet, index, maintenance, search, stats
 from ..operators.filters import scope, with_annotation_type
 from ..operators.phrase import phrase_match
 from ..operators.squelch import active_list, squelch
-from ..operators.util import with_position
+from ..operators.util import materialize, with_position
 from ..functions.text import split_keywords
 from ..functions.timefmt import relative_time
 
@@ -149,9 +149,11 @@ def hit_view(hits: DataFrame, as_of_ms=None) -> DataFrame:
     """The columns behind a result listing: each hit's shortest unique hash
     prefix *within this result set* (``hashlet``) and a relative-time label.
 
-    The prefix length is one aggregate over the hits (a scalar subquery);
-    ``as_of_ms`` defaults to the newest hit, for reproducible labels.
+    The hits are written once, so what produced them runs once; the prefix
+    length and the newest time are aggregates over that table (scalar
+    subqueries). ``as_of_ms`` defaults to the newest hit, for reproducible labels.
     """
+    hits = materialize(hits, "hits")
     n = hashlet.min_hashlet_len(hits.select("hash")).scalar()
     as_of = hits.select(F.max("ts_ms")).scalar() if as_of_ms is None else as_of_ms
     return hits.withColumn("hashlet", F.substring(F.col("hash"), F.lit(1), n)).withColumn(

@@ -7,7 +7,9 @@ operators need and never overrides a checkpoint directory that is already set.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -77,6 +79,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc is None or not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="cmdlens-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", configured)
     if sc is None:
         return configured
@@ -87,4 +90,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint directory (streams, tables)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+# Scratch tables made by this process, for release_scratch.
+_SCRATCH: list[str] = []
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables this process made in the shared folder; returns their number.
+
+    Call it when no DataFrame that reads them is needed any more: results are
+    lazy, so a query cannot delete what its own result still reads.
+    """
+    n = 0
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

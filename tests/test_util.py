@@ -43,3 +43,14 @@ def test_checkpoint_folder_is_required_off_local(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         S.ensure_checkpoint_dir(Session())
+
+
+def test_release_scratch_deletes_own_tables(spark):
+    import os
+
+    import cmdlens.session as S
+    m = materialize(spark.range(5), "gone")
+    folder = m.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    kept, S._SCRATCH[:] = S._SCRATCH[:-1], S._SCRATCH[-1:]
+    assert os.path.isdir(folder) and S.release_scratch(spark) == 1 and not os.path.exists(folder)
+    S._SCRATCH[:] = kept
