@@ -58,13 +58,15 @@ class PieceTransducer:
         self.unk_cost = 10.0 - min(self.scores.values(), default=0.0)
         # pieces' prefixes: the states of the piece transducer
         self.states = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self.inside = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
         # a cut is safe where no piece runs from another character into a blank
         self.cuttable = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
         # an id's text as bytes; control and unknown ids write nothing of their own
         self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else p.encode() if t == NORMAL else b" \xe2\x81\x87 " if t == UNKNOWN else b""
                     for p, t in zip(self.pieces, self.types)]
         self.memo: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
         self.whole: dict[str, bool] = {}  # bounded by the vocabulary and single characters
 
     def normalise(self, text: str) -> str:
@@ -99,12 +101,29 @@ class PieceTransducer:
         for s in segments:
             ids = memo.get(s)
             if ids is None:
-                ids = self._shortest(s)
+                ids = b"".join([self._part(x) for x in self._cut(s)])
                 if len(s) <= 64:
                     memo[s] = ids
             out.append(ids)
         return b"".join(out)
 
+    def _cut(self, s: str) -> list[str]:
+        """Parts of a segment: no piece holds the two characters around a cut, so every
+        path of the lattice passes there and the parts' shortest paths join up."""
+        inside = self.inside
+        if not self.fallback:  # unknown characters in a row share one id, wherever they stand
+            return [s]
+        cuts = [i for i in range(1, len(s)) if s[i - 1:i + 1] not in inside]
+        return [s[a:b] for a, b in zip([0, *cuts], [*cuts, len(s)])] if cuts else [s]
+
+    def _part(self, s: str) -> bytes:
+        ids = self.memo.get(s)
+        if ids is None:
+            ids = self._shortest(s)
+            if len(s) <= 64:
+                self.memo[s] = ids
+        return ids
+
     def _shortest(self, s: str) -> bytes:
         path = self._stable_path(s) if self.bpe else self._lightest_path(s)
         out: list[int] = []
@@ -135,11 +154,12 @@ class PieceTransducer:
         """One survivor per position: the last piece of the encoding of the text up to it."""
         n = len(s)
         start, last = [-1] * (n + 1), [""] * (n + 1)  # the last piece that ends at a position
-        pairs, states, ids, longest = self.pairs, self.states, self.ids, self.longest
+        states, ids, longest = self.states, self.ids, self.longest
         for a in range(n):
             if a and start[a] < 0:
                 continue
             left = last[a]
+            known = self._after(left)
             for b in range(a + 1, min(n, a + longest) + 1):
                 piece = s[a:b]
                 if b > a + 1:
@@ -148,21 +168,27 @@ class PieceTransducer:
                     if piece not in ids:
                         continue
                 if start[b] < 0:
-                    key = (left, piece)
-                    stable = pairs.get(key)
+                    stable = known.get(piece)
                     if stable is None:
-                        stable = self._stable(left, piece)
+                        stable = known[piece] = self._stable(left, piece)
                     if stable:
                         start[b], last[b] = a, piece
         return _backtrack(start, n)
 
+    def _after(self, left: str) -> dict[str, bool]:
+        """The memo of which pieces are stable after ``left``; all memos are bounded together."""
+        known = self.pairs.get(left)
+        if known is None:
+            if self.n_pairs > MEMO_PAIRS:
+                self.pairs.clear()
+                self.n_pairs = 0
+            known = self.pairs[left] = {}
+        return known
+
     def _stable(self, left: str, right: str) -> bool:
         """Whether merging ``left + right`` ends with these two pieces (weight 0)."""
-        if len(self.pairs) > MEMO_PAIRS:
-            self.pairs.clear()
-        known = self.pairs[left, right] = (
-            (not left or self._whole(right)) and self._merge(left + right) == ([left, right] if left else [right]))
-        return known
+        self.n_pairs += 1
+        return (not left or self._whole(right)) and self._merge(left + right) == ([left, right] if left else [right])
 
     def _whole(self, piece: str) -> bool:
         """Whether a piece's own characters merge to it."""
