@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 1024
 BLOCK_CHARS = 1 << 19         # characters counted together
+BLOCK_TEXTS = 512             # texts counted together: bounds the count matrix
 BIND = 4096                   # trigrams bound at a time
 MAX_LANGUAGES = 2000          # prototypes sent to every task: 2000 x 1024 x 4 bytes at most
 UNKNOWN = "und"
@@ -97,7 +98,7 @@ def bundle(texts: list[str], group: np.ndarray, n_groups: int, dims: int = DIMEN
 def _text_blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
     start, size = 0, 0
     for i, t in enumerate(texts):
-        if i > start and size + len(t) > BLOCK_CHARS:
+        if i > start and (size + len(t) > BLOCK_CHARS or i - start >= BLOCK_TEXTS):
             yield start, i
             start, size = i, 0
         size += len(t)

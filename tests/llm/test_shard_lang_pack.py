@@ -67,9 +67,20 @@ def test_bundles_are_bound_trigrams():
     assert (got[2] == tri(" ", "é", "a") + tri("é", "a", " ") + tri(" ", "b", " ")).all()
 
 
-def test_language_awkward_rows(spark, monkeypatch):
+def test_blocks_do_not_matter(monkeypatch):
+    texts = ["abc def", "", "xyz", "a" * 50, "éa"] * 4
+    blocks = list(hd_langid._text_blocks(texts))
+    assert blocks == [(0, 20)]
+    monkeypatch.setattr(hd_langid, "BLOCK_TEXTS", 3)
+    assert [b - a for a, b in hd_langid._text_blocks(texts)] == [3] * 6 + [2]
+    monkeypatch.setattr(hd_langid, "BLOCK_CHARS", 5)
+    blocks = list(hd_langid._text_blocks(texts))
+    assert [i for a, b in blocks for i in range(a, b)] == list(range(20))
+
+
+def test_language_awkward_rows(spark):
     rows = awkward()
-    whole = sorted(map(str, hd_langid.identify(frame(spark, rows)).collect()))
+    whole = hd_langid.identify(frame(spark, rows)).collect()
     assert len(whole) == len(rows) and hd_langid.identify(frame(spark, [])).count() == 0
     unlabelled = [(*r[:2], None, *r[3:]) for r in rows]
     assert {x.lang_pred for x in hd_langid.identify(frame(spark, unlabelled)).collect()} == {"und"}
