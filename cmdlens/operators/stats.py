@@ -37,12 +37,20 @@ def local_time(ts_ms: Column, tz: str | None) -> Column:
     return t if tz in (None, "UTC") else F.from_utc_timestamp(t, tz)
 
 
-def overview(base: DataFrame) -> DataFrame:
-    """One row: total, unique commands / programs, first / last seen, average per day."""
+def overview(base: DataFrame, approximate: float | None = None) -> DataFrame:
+    """One row: total, unique commands / programs, first / last seen, average per day.
+
+    ``approximate``: relative error at which the two distinct counts are
+    estimated by sketches instead of being counted exactly (one pass, no
+    exchange of commands).
+    """
+    def distinct(c: Column) -> Column:
+        return F.count_distinct(c) if approximate is None else F.approx_count_distinct(c, approximate)
+
     agg = base.agg(
         F.count("*").alias("total_commands"),
-        F.count_distinct("cmd").alias("unique_commands"),
-        F.count_distinct(program_name("cmd")).alias("unique_programs"),
+        distinct(F.col("cmd")).alias("unique_commands"),
+        distinct(program_name("cmd")).alias("unique_programs"),
         F.min("ts_ms").alias("first_ts_ms"),
         F.max("ts_ms").alias("last_ts_ms"),
     )

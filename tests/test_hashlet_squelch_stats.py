@@ -13,6 +13,7 @@ def min_len(spark, hashes):
 
 
 def test_min_len_vectors(spark):
+    # fixed values: the floor is 4, equal hashes need all 64 characters
     assert min_len(spark, []) == 4
     assert min_len(spark, ["a" * 64]) == 4
     assert min_len(spark, ["aaa0" + "0" * 60, "aaa1" + "0" * 60]) == 4
@@ -46,16 +47,16 @@ def test_resolve_prefix_statuses(spark):
 
 
 def test_squelch_kinds(spark):
-    df = spark.createDataFrame([(c,) for c in ["ls", "ls -la", "ls /tmp", "lsof", "git status", "git diff x"]],
-                               "cmd string")
+    commands = ["df", "df -h", "df /srv", "dfx", "hg update", "hg merge tip"]
+    df = spark.createDataFrame([(c,) for c in commands], "cmd string")
 
-    def kept(patterns):
-        return sorted(r.cmd for r in squelch(df, patterns).collect())
-    assert kept(["ls"]) == ["git diff x", "git status", "ls -la", "ls /tmp", "lsof"]
-    assert kept(["glob:ls *"]) == ["git diff x", "git status", "ls", "ls /tmp", "lsof"]
-    assert kept(["regex:^git diff"]) == ["git status", "ls", "ls -la", "ls /tmp", "lsof"]
-    assert kept(["ls", "glob:ls *", "regex:^git"]) == ["ls /tmp", "lsof"]
-    assert kept([]) == sorted(r.cmd for r in df.collect())
+    def gone(patterns):
+        return sorted(set(commands) - {r.cmd for r in squelch(df, patterns).collect()})
+    assert gone(["df"]) == ["df"]
+    assert gone(["glob:df *"]) == ["df -h"]
+    assert gone(["regex:^hg [a-m]"]) == ["hg merge tip"]
+    assert gone(["dfx", "glob:df ?*", "regex:e$"]) == ["df -h", "dfx", "hg update"]
+    assert gone([]) == []
 
 
 def test_squelch_bad_patterns_warn_and_skip(spark):
@@ -87,6 +88,8 @@ def test_stats(spark):
     assert view[0].rank == 1 and abs(sum(r.share_pct for r in view) - 100.0) < 1e-9
     hm = stats.activity_heatmap(base, weeks=2).collect()
     assert len(hm) == 14 and sum(r["count"] for r in hm) == 4
+    rough = stats.overview(base, approximate=0.02).first()
+    assert (rough.unique_commands, rough.unique_programs) == (4, 3) and rough.avg_per_day == ov.avg_per_day
     empty = stats.overview(base.limit(0)).first()
     assert empty.total_commands == 0 and empty.avg_per_day == 0.0
 
