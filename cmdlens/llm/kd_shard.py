@@ -132,8 +132,9 @@ def shard(docs: DataFrame, n_shards: int = 24, dims: dict[str, Column] | None =
     ``size`` is the text's UTF-8 bytes plus 8; shards hold nearly equal bytes.
     ``slot`` counts a shard's rows without gaps from 0. A null text counts as
     empty (size 8, checksum 0); null metadata sorts first. Repeated rows get
-    slots of their own: ties are broken by a number drawn for each row once the
-    metadata is written, so no group of equal rows must stay in one shard.
+    slots of their own: ties are broken by a hash of the document, then by a number
+    drawn for each row once the metadata is written, so no group of equal rows
+    must stay in one shard.
     """
     dims = dims or default_dimensions()
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -141,7 +142,9 @@ def shard(docs: DataFrame, n_shards: int = 24, dims: dict[str, Column] | None =
                        (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
     meta = meta.select("doc_id", "size", "text_crc32", *[c.alias(f"_d_{d}") for d, c in dims.items()],
                        F.monotonically_increasing_id().alias("_row"))
-    meta = stored(meta, "kd-metadata").withColumn("_tie", F.xxhash64("_row", "doc_id"))
+    # 52 bits of the document, the same in every run, and 12 of the row, to part equal rows
+    tie = F.xxhash64("doc_id", "text_crc32").bitwiseAND(F.lit(-4096)).bitwiseOR(F.xxhash64("_row").bitwiseAND(F.lit(4095)))
+    meta = stored(meta, "kd-metadata").withColumn("_tie", tie)
     placed = kd_leaves(meta, n_shards, [f"_d_{d}" for d in dims])
     # gapless slots without one task per shard: rank inside small buckets plus the buckets' offsets
     n_buckets = bucket_count(placed.count(), per_task)
