@@ -4,7 +4,7 @@ Two equal stretches of ``WINDOW`` words share, whatever their positions, an
 aligned place whose position in both documents lies in the difference cover
 modulo ``PERIOD``. Only short windows (*anchors*) at cover positions are hashed
 and exchanged. A repeated anchor is extended: the full windows that contain it
-get 128-bit fingerprints, and every occurrence but the first of a fingerprint is
+get 95-bit fingerprints, and every occurrence but the first of a fingerprint is
 removed, so no pair of occurrences is ever formed.
 
 Both exchanges first look inside their own batch: of rows with one hash only the
@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_runs, text_key
+from .common import key_runs, stored, text_key
 
 WINDOW = 20
 PERIOD = 13
 COVER = (0, 1, 3, 9)          # every difference modulo 13 occurs between two of these
+FILTER_BITS = 1 << 24         # of the membership filters sent to every task
 NO_ID = -(1 << 63)            # a null doc_id comes before all others
 
-_RANGES = "h long, h2 long, doc long, kh long, lo long, hi long, kind int"
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -77,21 +77,31 @@ def _marked(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(delta[:-1]) > 0
 
 
-def _batch(h, h2, doc, kh, lo, hi, kind) -> pa.RecordBatch:
-    cols = [np.ascontiguousarray(c).view(np.int64) for c in (h, h2)] + [doc, kh, lo, hi]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols] + [pa.array(kind, pa.int32())],
-                                      ["h", "h2", "doc", "kh", "lo", "hi", "kind"])
+# Exchanged rows are narrow. Anchors: h holds 48 hash bits, then the kind; p a position, or a range's
+# first position and length. Windows: h holds 63 hash bits, the last bit marks a range; c holds 32 more
+# hash bits and the position, or a range's length and first position.
+_ANCHOR = "h long, doc long, kh long, p long"
+_WINDOW = "h long, c long, doc long, kh long"
+# A range of positions in one text: r holds the first and the last, 32 bits each.
+_RANGE = "doc long, kh long, r long"
+_LOW = (1 << 32) - 1
 
 
-def _range_rows(owner: np.ndarray, pos: np.ndarray, doc: np.ndarray, kh: np.ndarray) -> pa.RecordBatch:
-    """Known positions as range rows, dealt by a key of their own."""
+def _rows(names: str, *cols) -> pa.RecordBatch:
+    arrays = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in cols]
+    return pa.RecordBatch.from_arrays(arrays, [n.split()[0] for n in names.split(", ")])
+
+
+def _known_ranges(owner: np.ndarray, pos: np.ndarray, doc: np.ndarray, kh: np.ndarray):
+    """Known positions as ranges: (a key of their own, doc, kh, first, length)."""
     docs, starts = np.unique(owner, return_index=True)
     parts = [(d, *_ranges(p)) for d, p in zip(docs.tolist(), np.split(pos, starts[1:]))]
     lo = np.concatenate([p[1] for p in parts])
-    hi = np.concatenate([p[2] for p in parts])
+    size = np.concatenate([p[2] for p in parts]) - lo + 1
     who = np.concatenate([np.full(len(p[1]), p[0]) for p in parts])
-    spread = _mix(kh[who].view(np.uint64) + lo.astype(np.uint64) * np.uint64(_MULT[0]))
-    return _batch(spread, spread, doc[who], kh[who], lo, hi, np.full(len(lo), 2, np.int32))
+    spread = _mix(doc[who].view(np.uint64) * np.uint64(_MULT[1]) + kh[who].view(np.uint64)
+                  + lo.astype(np.uint64) * np.uint64(_MULT[0]))
+    return spread, doc[who], kh[who], lo, size
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], limit: int = 24 << 20) -> Iterator[pa.Table]:
@@ -107,30 +117,51 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int = 24 << 20) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def _prepared(docs: DataFrame) -> DataFrame:
-    """(doc, kh, z): sort id, row hash, compressed text. ``doc`` and ``kh`` name a text."""
-    key = text_key(F.col("doc_id"), F.col("text"))
+def _named(docs: DataFrame) -> DataFrame:
+    """(doc, kh, text): sort id and, where doc_ids are not unique, a hash of the row."""
+    some = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = some.filter((F.col("n") > 1) | F.col("doc_id").isNull() | (F.col("doc_id") == NO_ID)).limit(1).count() > 0
+    kh = F.xxhash64(text_key(F.col("doc_id"), F.col("text"))) if repeated else F.lit(0).cast("bigint")
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), kh.alias("kh"), "text")
+
+
+def _membership(ranges: DataFrame) -> np.ndarray:
+    """Bits of the texts that occur in ``ranges``: a filter of fixed size (2 MB) that never misses one."""
+    slot = F.pmod(F.xxhash64("doc", "kh"), F.lit(FILTER_BITS)) + 1
+    rows = (ranges.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect())
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows:
+        at = (r["b"] - 1) * len(r["bits"])
+        out[at:at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
+
+def _texts(named: DataFrame, member: np.ndarray) -> DataFrame:
+    """(doc, kh, z): compressed texts of the documents that may occur in the ranges."""
     def run(batches):
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
+            slot = b.column(3).to_numpy()
+            b = b.take(pa.array(np.flatnonzero(member[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)))
             z = pa.array([pack((t or "").encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), z], ["doc", "kh", "z"])
 
-    return docs.select(*_names(key), "text").mapInArrow(run, "doc long, kh long, z binary")
+    return named.select("*", _slot()).mapInArrow(run, "doc long, kh long, z binary")
 
 
-def _names(key: Column) -> list[Column]:
-    return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(key).alias("kh")]
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("doc", "kh"), F.lit(FILTER_BITS)).alias("slot")
 
 
-def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def anchors(named: DataFrame, window: int = WINDOW) -> DataFrame:
     """Anchor rows of all documents; see the module text for the kinds.
 
     kind 0: a hash seen once in its block; 1: the first of several there;
-    2: a range of anchor positions already known to repeat.
+    2: a range of anchor positions already known to repeat. 48 hash bits filter:
+    at 10^13 anchors one in thirty passes for a repeat by chance, and is verified.
     """
     width = window - PERIOD + 1
     cover = np.array(COVER)
@@ -152,47 +183,51 @@ def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 owner.append(np.full(len(at), d))
             if not hs:
                 continue
-            h, owner, pos = np.concatenate(hs), np.concatenate(owner), np.concatenate(pos)
+            h, owner, pos = np.concatenate(hs) >> np.uint64(16), np.concatenate(owner), np.concatenate(pos)
             _, first, number, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            yield _batch(h[first], h[first], doc[owner[first]], kh[owner[first]], pos[first], pos[first],
-                         (count > 1).astype(np.int32))
+            key = h[first] << np.uint64(16) | (count > 1).astype(np.uint64)
+            yield _rows(_ANCHOR, key, doc[owner[first]], kh[owner[first]], pos[first])
             known = count[number] > 1
             if known.any():
-                yield _range_rows(owner[known], pos[known], doc, kh)
+                spread, d, k, lo, size = _known_ranges(owner[known], pos[known], doc, kh)
+                yield _rows(_ANCHOR, spread & ~np.uint64(0xFFFF) | np.uint64(2), d, k, size << 32 | lo)
 
-    key = text_key(F.col("doc_id"), F.col("text"))
-    return docs.select(*_names(key), "text").mapInArrow(run, _RANGES)
+    return named.mapInArrow(run, _ANCHOR)
 
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """(doc, kh, lo, hi): ranges of anchor positions whose hash occurs more than once."""
+    """Ranges of anchor positions whose hash occurs more than once."""
     def run(batches):
-        for h, doc, kh, lo, hi, kind in key_runs(batches):
-            own = kind < 2
+        for h, doc, kh, p in key_runs(batches, shift=16):
+            kind = h & 0xFFFF
             same = np.zeros(len(h), bool)
-            i = np.flatnonzero(own)  # range rows may fall between equal hashes only by chance; compare the rest
-            eq = h[i][1:] == h[i][:-1]
+            i = np.flatnonzero(kind < 2)  # range rows share a hash with others only by chance
+            eq = h[i][1:] >> 16 == h[i][:-1] >> 16
             same[i[1:]] |= eq
             same[i[:-1]] |= eq
             # the first of several in its block is in a range row already
             out = (kind == 2) | (same & (kind == 0))
-            yield pa.RecordBatch.from_arrays([pa.array(c[out], pa.int64()) for c in (doc, kh, lo, hi)], ["doc", "kh", "lo", "hi"])
+            lo = p & _LOW
+            hi = lo + np.where(kind == 2, (p >> 32) - 1, 0)
+            yield _rows(_RANGE, doc[out], kh[out], (lo << 32 | hi)[out])
 
-    dealt = rows.select("h", "doc", "kh", "lo", "hi", "kind").repartition("h").sortWithinPartitions("h")
-    return dealt.mapInArrow(run, "doc long, kh long, lo long, hi long")
+    key = F.shiftright("h", 16)
+    return rows.repartition(key).sortWithinPartitions("h").mapInArrow(run, _RANGE)
 
 
 def _per_text(ranges: DataFrame) -> DataFrame:
     """One row per text with its distinct ranges (at most its length)."""
-    return ranges.groupBy("doc", "kh").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    return ranges.groupBy("doc", "kh").agg(F.collect_set("r").alias("ranges"))
 
 
-def candidate_windows(texts: DataFrame, ranges: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Full windows that contain a repeated anchor.
+def _bounds(ranges: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
+    r = np.array(ranges or [], np.int64)
+    return r >> 32, r & _LOW
 
-    kind 0: the first occurrence in its block of a window; 2: a range of window
-    starts that have an earlier occurrence in their block.
-    """
+
+def candidate_windows(texts: DataFrame, ranges: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Full windows that contain a repeated anchor: of those equal in a block the
+    first, and ranges of window starts that have an earlier occurrence in it."""
     def run(batches):
         import zstandard
 
@@ -208,8 +243,7 @@ def candidate_windows(texts: DataFrame, ranges: DataFrame, window: int = WINDOW)
                     continue  # a repeated row is the same place in the order
                 words = _words(unpack(z[d], max_output_size=1 << 31))
                 n = len(words) - window + 1
-                lo = np.array([r["lo"] for r in found[d]], np.int64)
-                hi = np.array([r["hi"] for r in found[d]], np.int64)
+                lo, hi = _bounds(found[d])
                 at = np.flatnonzero(_marked(np.maximum(lo - PERIOD + 1, 0), np.minimum(hi, n - 1), n))
                 h = _word_hashes(words)
                 h1.append(_window_hash(h, at, window, 0))
@@ -219,30 +253,34 @@ def candidate_windows(texts: DataFrame, ranges: DataFrame, window: int = WINDOW)
             if not h1:
                 continue
             a, b, owner, pos = (np.concatenate(c) for c in (h1, h2, owner, pos))
+            a, b = a & ~np.uint64(1), b >> np.uint64(32)
             order = np.lexsort((np.arange(len(a)), b, a))
             repeat = np.zeros(len(a), bool)
             repeat[order[1:]] = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
             f = ~repeat
-            yield _batch(a[f], b[f], doc[owner[f]], kh[owner[f]], pos[f], pos[f], np.zeros(f.sum(), np.int32))
+            yield _rows(_WINDOW, a[f], b[f] << np.uint64(32) | pos[f].astype(np.uint64), doc[owner[f]], kh[owner[f]])
             if repeat.any():
-                yield _range_rows(owner[repeat], pos[repeat], doc, kh)
+                spread, d, k, lo, size = _known_ranges(owner[repeat], pos[repeat], doc, kh)
+                yield _rows(_WINDOW, spread | np.uint64(1), size << 32 | lo, d, k)
 
-    return texts.join(ranges, ["doc", "kh"]).mapInArrow(run, _RANGES)
+    return texts.join(_per_text(ranges), ["doc", "kh"]).mapInArrow(run, _WINDOW)
 
 
 def later_windows(rows: DataFrame) -> DataFrame:
-    """(doc, kh, lo, hi): ranges of window starts whose words also start earlier."""
+    """Ranges of window starts whose words also start earlier."""
     def run(batches):
-        for h, h2, doc, kh, lo, hi, kind in key_runs(batches, 2):
+        for h, c, doc, kh in key_runs(batches):
+            lo, high, known = c & _LOW, c >> 32, h & 1 == 1
             new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]) | (kind[1:] == 2) | (kind[:-1] == 2)
+            new[1:] = (h[1:] != h[:-1]) | (high[1:] != high[:-1]) | known[1:]
             first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-            moved = (doc != doc[first]) | (kh != kh[first]) | (lo != lo[first])
-            out = (kind == 2) | moved
-            yield pa.RecordBatch.from_arrays([pa.array(c[out], pa.int64()) for c in (doc, kh, lo, hi)], ["doc", "kh", "lo", "hi"])
+            out = known | (doc != doc[first]) | (kh != kh[first]) | (lo != lo[first])
+            hi = lo + np.where(known, high - 1, 0)
+            yield _rows(_RANGE, doc[out], kh[out], (lo << 32 | hi)[out])
 
-    dealt = rows.repartition("h", "h2").sortWithinPartitions("h", "h2", "kind", "doc", "kh", "lo")
-    return dealt.mapInArrow(run, "doc long, kh long, lo long, hi long")
+    dealt = rows.repartition("h").sortWithinPartitions(
+        "h", F.shiftright("c", 32), "doc", "kh", F.col("c").bitwiseAND(F.lit(_LOW)))
+    return dealt.mapInArrow(run, _RANGE)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -254,38 +292,53 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     doc_id and text, all but one lose every word that any window covers. Null,
     empty and shorter texts lose nothing. Kept words are joined by one blank.
     """
-    texts = _prepared(docs)
-    repeats = _per_text(repeated_anchors(anchors(docs, window)))
-    later = _per_text(later_windows(candidate_windows(texts, repeats, window)))
+    named = _named(docs)
+    # written without grouping: the filter needs them first, and the join groups and meets them in one exchange
+    repeats = stored(repeated_anchors(anchors(named, window)), "repeated-anchors")
+    windows = candidate_windows(_texts(named, _membership(repeats)), repeats, window)
+    later = stored(later_windows(windows), "later-windows")
+    member = _membership(later)
+
+    def whole(batches):
+        """Texts that no range concerns: nothing is removed, nothing is exchanged."""
+        for b in batches:
+            slot = b.column(3).to_numpy()
+            b = b.take(pa.array(np.flatnonzero(~(member[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)))
+            words = [_words((t or "").encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([len(w) for w in words], pa.int64()),
+                 pa.array(np.zeros(len(words), np.int64)), _joined(words)], ["doc", "kh", "n_words", "n_removed", "kept_text"])
 
-    def run(batches):
+    def cut(batches):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            doc, kh = b.column(0), b.column(1)
             n_words, n_removed, kept = [], [], []
             for z, found in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 words = _words(unpack(z, max_output_size=1 << 31))
                 n_words.append(len(words))
+                gone = np.zeros(len(words), bool)
                 if found:
-                    lo, hi = (np.array([r[k] for r in found], np.int64) for k in ("lo", "hi"))
+                    lo, hi = _bounds(found)
                     gone = _marked(lo, hi + window - 1, len(words))
-                    n_removed.append(int(gone.sum()))
-                    words = [w for w, g in zip(words, gone.tolist()) if not g]
-                else:
-                    n_removed.append(0)
-                kept.append(b" ".join(words).decode("utf-8", "replace"))
+                n_removed.append(int(gone.sum()))
+                kept.append([w for w, g in zip(words, gone.tolist()) if not g])
             yield pa.RecordBatch.from_arrays(
-                [doc, kh, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
+                [b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), _joined(kept)],
                 ["doc", "kh", "n_words", "n_removed", "kept_text"])
 
-    out = texts.join(later, ["doc", "kh"], "left").mapInArrow(
-        run, "doc long, kh long, n_words long, n_removed long, kept_text string")
+    schema = "doc long, kh long, n_words long, n_removed long, kept_text string"
+    out = (named.select("*", _slot()).mapInArrow(whole, schema)
+           .union(_texts(named, member).join(_per_text(later), ["doc", "kh"], "left").mapInArrow(cut, schema)))
     return out.withColumn("doc_id", F.when(F.col("doc") != NO_ID, F.col("doc"))).select(
         "doc_id", "n_words", "n_removed", "kept_text", "kh")
 
 
+def _joined(texts: list[list[bytes]]) -> pa.Array:
+    return pa.array([b" ".join(w).decode("utf-8", "replace") for w in texts], pa.string())
+
+
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the kept words, one row per row of ``docs``."""
     rows = remove_repeats(docs, window).withColumn("kept_sha256", F.sha2("kept_text", 256))

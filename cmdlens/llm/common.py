@@ -80,11 +80,11 @@ def bucket_count(rows: int, per_bucket: int) -> int:
     return max(1, math.ceil(rows / per_bucket))
 
 
-def key_runs(batches: Iterator[pa.RecordBatch], n_keys: int = 1) -> Iterator[list[np.ndarray]]:
+def key_runs(batches: Iterator[pa.RecordBatch], shift: int = 0) -> Iterator[list[np.ndarray]]:
     """Columns of sorted Arrow batches as numpy arrays, regrouped so that rows equal
-    in the first ``n_keys`` columns come together."""
+    in the first column (without its last ``shift`` bits) come together."""
     def same(x, i, y, j):
-        return all(x[k][i] == y[k][j] for k in range(n_keys))
+        return x[0][i] >> shift == y[0][j] >> shift
 
     hold: list[list[np.ndarray]] = []
     for batch in batches:
@@ -95,10 +95,8 @@ def key_runs(batches: Iterator[pa.RecordBatch], n_keys: int = 1) -> Iterator[lis
         if same(cols, 0, cols, -1) and same(hold[0], 0, cols, 0):
             continue
         cols = [np.concatenate(c) for c in zip(*hold)]
-        change = np.zeros(len(cols[0]) - 1, bool)
-        for k in range(n_keys):
-            change |= cols[k][1:] != cols[k][:-1]
-        last = int(np.flatnonzero(change)[-1]) + 1
+        key = cols[0] >> shift
+        last = int(np.flatnonzero(key[1:] != key[:-1])[-1]) + 1
         yield [c[:last] for c in cols]
         hold = [[c[last:] for c in cols]]
     if hold:
