@@ -10,7 +10,9 @@ shorter than C/``CLASSES`` form one last class that is filled next-fit.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +25,8 @@ from .common import ASCII_SPACE, bucket_count, stored
 CAPACITY = 1024
 CLASSES = 32
 MAX_WASTE = 0.03
-PER_WORKER = 200_000          # pieces that one worker packs by itself
-MEMO_WORDS = 400_000          # cached words of a tokenising worker
+PER_WORKER = 20_000           # pieces that one worker packs by itself (half a sequence per class stays open)
+MEMO_WORDS = 600_000          # cached words of a tokenising worker
 END_ID = 0
 
 _SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, _order string")
@@ -45,12 +47,14 @@ def cut_lengths(n: int, capacity: int = CAPACITY, classes: int = CLASSES, max_wa
     return out
 
 
-class _Tokens:
-    """Token ids of texts, as little-endian bytes, through a memo of words.
+class _Tokens(dict):
+    """Token ids of texts, as little-endian bytes, through a bounded memo of words.
 
-    The tokenizer's pieces never run from a non-blank into white space, so a text
-    may be cut before any blank that follows a non-white character: the parts'
-    ids, joined, are the text's ids.
+    The tokenizer's pre-tokens never run from a non-white character into white
+    space, so a text may be cut before any blank or line feed that follows one;
+    the parts' ids, joined, are the text's ids. The memo maps a word to the ids of
+    a blank and the word. Plain words are one pre-token and go to the tokenizer's
+    model directly, anything else through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -60,22 +64,70 @@ class _Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
+        assert array("I").itemsize == 4 and sys.byteorder == "little"
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = re.compile(r"(?<=\S)(?= )").split
-        self.memo: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.unsafe = re.compile(r"\s ").search
+        self.cut = re.compile(r"(?<=\S)(?=[ \n])").split
+        self.feed = self._encoded("\n")
+        # Latin letters; ASCII signs; and, from a line feed on, the rest
+        self.word = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)(\n(?s:.)*)?").fullmatch
+        # the byte-level alphabet: printable Latin-1 stands for itself, the other bytes for 256, 257, ...
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: 256 + i for i, b in enumerate(others)}
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
         for text in texts:
-            parts = self.split(text)
-            missing = [w for w in set(parts) if w not in memo]
-            for at in range(0, len(missing), 4096):
-                some = missing[at:at + 4096]
-                for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                    memo[w] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join([memo[w] for w in parts])
+            if len(self) > MEMO_WORDS:
+                self.clear()
+            if self.unsafe(text):  # a blank after white space: no cut before it
+                yield b"".join([self[p[1:]] if p[0] == " " and len(p) > 1 else self._whole(p) for p in self.cut(text) if p])
+            else:
+                first, *words = text.split(" ")
+                yield self._whole(first) + b"".join(map(self.__getitem__, words))
+
+    def __missing__(self, word: str) -> bytes:
+        m = self.word(word)
+        if m:
+            body, tail, rest = m.groups()
+            # letters, then signs: two pre-tokens; a line feed after them opens a new part
+            ids = self._letters(" ", body)
+            if tail:
+                ids += self.tail(tail)
+            if rest:
+                ids += self._whole(rest)
+        else:
+            ids = self._whole(" " + word)
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+    def tail(self, signs: str) -> bytes:
+        key = "\0" + signs  # no word of one cut part and a tail share a key: a tail has no letter
+        ids = self.get(key)
+        if ids is None:
+            ids = self._encoded(signs)
+            if len(signs) <= 64:
+                self[key] = ids
+        return ids
+
+    def _whole(self, text: str) -> bytes:
+        if text[:1] == "\n" and text[1:].isalpha() and text.isascii():
+            return self.feed + self._letters("", text[1:])
+        return self._encoded(text)
+
+    def _encoded(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, before: str, letters: str) -> bytes:
+        """Ids of a pre-token: letters of the Latin blocks, after a blank or nothing."""
+        if letters.isascii():
+            symbols = "\u0120" + letters if before else letters
+        else:
+            symbols = (before + letters).encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
 
 def _tokenizer_path(path: str | None) -> str:
