@@ -91,7 +91,9 @@ def deduplicate(docs: DataFrame, digest_chars: int = 32) -> DataFrame:
                     .agg(F.count(F.lit(1)).alias("copies")), "chunk-recipes")
     order = F.struct((-F.col("n_cp")).alias("n"), F.col("doc_id").isNull().alias("z"),
                      F.col("doc_id").alias("doc_id"), F.col("_key").alias("_key"))
-    groups = tuples.groupBy("recipe").agg(F.min(order).alias("first"), F.sum("copies").alias("group_size"))
+    # written, so that the join has an exchange on either side and may split a large group of copies
+    groups = stored(tuples.groupBy("recipe").agg(F.min(order).alias("first"), F.sum("copies").alias("group_size")),
+                    "recipe-groups")
     joined = tuples.join(groups, "recipe")
     return joined.select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", "text_sha256",
