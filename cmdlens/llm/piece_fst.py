@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-MEMO_SEGMENTS = 400_000
+MEMO_SEGMENTS = 1_000_000     # some 150 MB of a worker
 MEMO_PAIRS = 400_000
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -265,8 +265,9 @@ def _model_path(path: str | None) -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode_documents(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_ids, n_bytes (fallback ids), ids (array), decoded.
+def encode_documents(docs: DataFrame, model_path: str | None = None, with_ids: bool = True) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_ids, n_bytes (fallback ids), ids_crc32,
+    ids (array; null unless ``with_ids``), decoded.
 
     Null and empty texts have no ids and decode to the empty text. Texts of any
     length are encoded whole: memory grows with one text and the bounded memos.
@@ -283,12 +284,15 @@ def encode_documents(docs: DataFrame, model_path: str | None = None) -> DataFram
                 n_bytes.append(int(is_byte[ids[-1]].sum()))
                 decoded.append(machine.decode(raw))
             sizes = np.array([len(x) for x in ids], np.int64)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-            flat = pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32), pa.int32())
+            arrays = pa.nulls(len(ids), pa.list_(pa.int32()))
+            if with_ids:
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                arrays = pa.ListArray.from_arrays(
+                    offsets, pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32), pa.int32()))
             crc = [zlib.crc32(x.tobytes()) for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes), pa.array(n_bytes, pa.int64()), pa.array(crc, pa.int64()),
-                 pa.ListArray.from_arrays(offsets, flat), pa.array(decoded, pa.string())],
+                 arrays, pa.array(decoded, pa.string())],
                 ["doc_id", "n_ids", "n_bytes", "ids_crc32", "ids", "decoded"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
