@@ -130,3 +130,19 @@ def test_quality_awkward_rows_keep_columns(spark):
                                        ("buy now cheap deal " * 30, False)])
 def test_verdicts(text, kept):
     assert bool(assess_texts([text]).kept[0]) is kept
+
+
+def test_each_repetition_limit_decides_alone():
+    r = random.Random(5)
+
+    def fresh(n):
+        return [f"{r.randrange(10**5):05d}" for _ in range(n)]
+    phrases = [fresh(9) for _ in range(5)]  # 53 characters each
+    spread = [w for p in phrases + phrases for w in p + fresh(37)]
+    passage = fresh(25)
+    one_long = fresh(400) + passage + fresh(800) + passage + fresh(400)
+    out = assess_texts([" ".join(x) for x in (spread, one_long, fresh(400), fresh(400) + passage[:9] + fresh(40) + passage[:9])])
+    limits = Limits()
+    assert not out.base_failed.any() and list(out.kept) == [False, False, True, True]
+    assert list(out.covered_fraction > limits.max_covered) == [True, False, False, False]
+    assert list(out.longest_repeat > limits.max_longest) == [False, True, False, False]
