@@ -1,9 +1,11 @@
 """Format-preserving Feistel pseudonyms for personal data (DataFrame functions only).
 
-One regular expression finds candidates (e-mail addresses, payment-card and
-social-security numbers, IBANs, IPv4 addresses, phone numbers, calendar dates).
-A candidate is replaced only if it *validates* (Luhn, mod 97, octet range, a
-real calendar day, ...). Its value is permuted by a keyed Feistel network over
+One regular expression finds every place where a candidate starts (e-mail
+addresses, payment-card and social-security numbers, IBANs, IPv4 addresses, phone
+numbers, calendar dates). From the left, the formats that match at a place are
+tried in turn, and the first value that *validates* (Luhn, mod 97, octet range, a
+real calendar day, ...) is replaced; places inside it are passed over, while
+those inside a candidate that fails are tried themselves. A value is permuted by a keyed Feistel network over
 exactly the values of its format, so the pseudonym validates too, the text keeps
 its length and layout, distinct values stay distinct, and one value gets one
 pseudonym in every document.
@@ -24,27 +26,44 @@ ROUNDS = 8
 
 # --- candidate patterns (Java regex) -------------------------------------------
 _EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"
-_IBAN = r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)"
 _SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 _IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
-_TAIL = r"(?![0-9A-Za-z])"
-
-
-def _candidate() -> str:
-    """The alternatives with their back references numbered in order."""
-    date = r"(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})"
-    card = (r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{1,7}"
-            r"|[0-9]{4}([ -])[0-9]{6}\4[0-9]{5})")
-    phone = (r"(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
-             r"|\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}"
-             r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([ .-])[0-9]{3}\5[0-9]{4})")
-    numbers = "|".join([_IBAN, date, card, _SSN, _IPV4, phone])
-    # a candidate starts at a token start, so prose costs one class test per character
-    return (r"(?:(?<![0-9A-Za-z._%+@-])" + _EMAIL + r"|(?<![0-9A-Za-z])(?<![0-9][.,-])(?:" + numbers + ")"
-            + _TAIL + r"(?![.][0-9]))")
-
-
-CANDIDATE = _candidate()
+_DATE = r"(?:[0-9]{4}(?<d>[-/.])[0-9]{2}\k<d>[0-9]{2}|[0-9]{2}(?<e>[-/.])[0-9]{2}\k<e>[0-9]{4})"
+_CARD = (r"(?:[0-9]{13,19}|[0-9]{4}(?<c>[ -])[0-9]{4}\k<c>[0-9]{4}\k<c>[0-9]{1,7}"
+         r"|[0-9]{4}(?<f>[ -])[0-9]{6}\k<f>[0-9]{5})")
+_PHONE = (r"(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
+          r"|\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}"
+          r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}(?<p>[ .-])[0-9]{3}\k<p>[0-9]{4})")
+
+# Length of an IBAN by country.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban_of(countries: str, length: int) -> str:
+    groups, rest = divmod(length - 4, 4)
+    grouped = "(?: [A-Z0-9]{4}){%d}" % groups + (" [A-Z0-9]{%d}" % rest if rest else "")
+    return "(?:%s)[0-9]{2}(?:[A-Z0-9]{%d}|%s)" % (countries.replace(" ", "|"), length - 4, grouped)
+
+
+_IBAN = "(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(_iban_of(c, n) for n, c in _IBAN_LENGTHS.items()) + ")"
+_IBAN_OTHER = ("(?!" + "|".join(_IBAN_LENGTHS.values()).replace(" ", "|")
+               + r")[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)")
+_TAIL = r"(?![0-9A-Za-z])(?![.][0-9])"
+_DATE_TAIL = r"(?![0-9A-SU-Zabcdefghijklmnopqrsu-z]|[Tt](?![0-9]))(?![.][0-9])"  # a time may follow
+# (kind, pattern, may a shorter run of its groups be the value), in the order they are tried
+_NUMBERS = [("iban", _IBAN + _TAIL, False), ("iban", _IBAN_OTHER + _TAIL, True), ("date", _DATE + _DATE_TAIL, False),
+            ("card", _CARD + _TAIL, False), ("ssn", _SSN + _TAIL, False), ("ipv4", _IPV4 + _TAIL, False),
+            ("phone", _PHONE + _TAIL, True)]
+# Matches (without width) wherever a candidate starts, also inside another one. Group 1 is the e-mail address or
+# what follows up to 64 characters (the longest number has 42) and an @. A candidate starts at a token start, so
+# prose costs one class test per character.
+START = (r"(?=((?<![0-9A-Za-z._%+@-])" + _EMAIL + r"|(?<![0-9A-Za-z])(?<![0-9][.,-])(?=[A-Z0-9+(])(?="
+         + "|".join(p for _, p, _ in _NUMBERS) + r")[^@]{1,64}))")
+_BATCH = 128  # candidates of a text joined at once, so that long texts do not copy their results for each
 
 # Days of 1900-01-01 .. 2099-12-31: 73,049 = 17 x 4,297.
 _DAY0, _DAYS_A, _DAYS_B = "1900-01-01", 17, 4297
@@ -270,18 +289,31 @@ def _ipv4(m: Column, key: str) -> Column:
     return F.array_join(F.aggregate(F.sequence(F.lit(0), F.lit(4 * ROUNDS - 1)), parts, step), ".")
 
 
-def _kind(m: Column) -> Column:
-    """Format of a candidate that validates, else null."""
+def _shorter(kind: str, pattern: str, m: Column) -> Column:
+    """Longest part of ``m`` up to one of its separators that has the pattern and validates, else null."""
+    ends = F.filter(F.sequence(F.char_length(m) - 1, F.lit(1), F.lit(-1)), lambda n: F.substr(m, n + 1, F.lit(1)).isin(" ", ".", "-"))
+    parts = F.filter(F.transform(ends, lambda n: F.substr(m, F.lit(1), n)), lambda x: x.rlike("^(?:" + pattern + ")$"))
+    return F.get(F.filter(parts, lambda x: _valid(kind, x)), F.lit(0))
+
+
+def _valid(kind: str, m: Column) -> Column:
     digits = F.char_length(_only_digits(m))
-    return (F.when(F.contains(m, F.lit("@")), F.lit("email"))
-            .when(m.rlike("^[A-Z]{2}[0-9]{2}"), F.when(_iban_ok(m), F.lit("iban")))
-            .when(m.rlike(r"^[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}$|^[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4}$"),
-                  F.when(_day_number(m).isNotNull(), F.lit("date")))
-            .when(m.rlike("^" + _SSN + "$"), F.when(_ssn_ok(m), F.lit("ssn")))
-            .when(m.rlike("^" + _IPV4 + "$") & ~m.rlike(r"(?:^|\.)0[0-9]"), F.when(_ipv4_ok(m), F.lit("ipv4")))
-            .when(m.rlike(r"^[+(]") | m.rlike(r"^[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}$"),
-                  F.when(digits.between(8, 15), F.lit("phone")))
-            .when(digits.between(13, 19), F.when(_let(_only_digits(m), lambda d: _luhn_sum(d, 0) % 10 == 0), F.lit("card"))))
+    return {"iban": lambda: _iban_ok(m), "date": lambda: _day_number(m).isNotNull(), "ssn": lambda: _ssn_ok(m),
+            "ipv4": lambda: ~m.rlike(r"(?:^|\.)0[0-9]") & _ipv4_ok(m), "phone": lambda: digits.between(8, 15),
+            "card": lambda: digits.between(13, 19) & _let(_only_digits(m), lambda d: _luhn_sum(d, 0) % 10 == 0)}[kind]()
+
+
+def _value(window: Column) -> Column:
+    """struct(kind, value) of the first format that validates at the start of the window, else null."""
+    def tried(kind, pattern, shorter):
+        def one(m):
+            value = F.when(_valid(kind, m), m)
+            if shorter:
+                value = F.coalesce(value, _shorter(kind, pattern, m))
+            return F.when(m != "", _let(value, lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("value")))))
+        return _let(F.regexp_extract(window, "^(?:" + pattern + ")", 0), one)
+    return F.when(F.contains(window, F.lit("@")), F.struct(F.lit("email").alias("kind"), window.alias("value"))).otherwise(
+        F.coalesce(*(tried(*n) for n in _NUMBERS)))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -309,21 +341,63 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     """
     text = F.col(text_col)
     clean = text.isNull() | ~text.rlike("[0-9@]")
-    found = F.when(clean, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit(CANDIDATE), 0))
-
-    def made(m):
-        kind = _kind(m)
-
-        def pseudonym(k):
-            expr = F.when(k.isNull(), m)
-            for name, fn in _MAKERS.items():
-                expr = expr.when(k == name, fn(m, key))
-            return expr.otherwise(m)
-        return _let(kind, lambda k: F.struct(k.alias("kind"), pseudonym(k).alias("pseudonym")))
-
-    t = docs.withColumn(found_col, F.transform(found, made))
-    pieces = F.split(text, CANDIDATE, -1)
-    joined = F.array_join(F.zip_with(
-        pieces, F.col(found_col), lambda p, m: F.concat(p, F.coalesce(m["pseudonym"], F.lit("")))), "")
-    t = t.withColumn(text_col, F.when(F.size(found_col) == 0, text).otherwise(joined))
-    return t.withColumn(found_col, F.filter(found_col, lambda m: m["kind"].isNotNull()))
+    windows = F.when(clean, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit(START), 1))
+    untouched = F.struct(text.alias("text"), F.array().cast(_FOUND).alias("found"))
+    t = docs.withColumn(found_col, _let(windows, lambda w: F.when(F.size(w) == 0, untouched).otherwise(_replaced(text, w, key))))
+    return t.withColumns({text_col: F.col(found_col)["text"], found_col: F.col(found_col)["found"]})
+
+
+_FOUND = "array<struct<kind:string,pseudonym:string>>"
+
+
+def _replaced(text: Column, windows: Column, key: str) -> Column:
+    """struct(text, found) of a text with candidates."""
+    def made(value):
+        expr = F.when(value["kind"].isNull(), value["value"])
+        for name, fn in _MAKERS.items():
+            expr = expr.when(value["kind"] == name, fn(value["value"], key))
+        return expr
+
+    def part(acc, x):
+        """Adds a piece of the text, which starts with a candidate unless the last value reaches into it."""
+        n = F.char_length(x["piece"])
+
+        def after(skip):
+            return F.substr(x["piece"], skip + 1, n)
+
+        def state(skip, parts, found):
+            return F.struct(skip.cast("int").alias("skip"), parts.alias("parts"), found.alias("found"))
+
+        def replaced(v, p):
+            return state(F.greatest(F.char_length(v["value"]) - n, F.lit(0)),
+                         F.concat(acc["parts"], F.array(p, after(F.char_length(v["value"])))),
+                         F.concat(acc["found"], F.array(F.struct(v["kind"].alias("kind"), p.alias("pseudonym")))))
+
+        fresh = _let(_value(x["window"]), lambda v: F.when(
+            v.isNull(), state(F.lit(0), F.concat(acc["parts"], F.array(x["piece"])), acc["found"]))
+            .otherwise(_let(made(v), lambda p: replaced(v, p))))
+        inside = state(F.greatest(acc["skip"] - n, F.lit(0)), F.concat(acc["parts"], F.array(after(acc["skip"]))), acc["found"])
+        return F.when(acc["skip"] > 0, inside).otherwise(fresh)
+
+    def start(skip, parts):
+        return F.struct(skip.cast("int").alias("skip"), parts.cast("array<string>").alias("parts"),
+                        F.array().cast(_FOUND).alias("found"))
+
+    def batch(items):
+        def step(acc, i):
+            done = F.aggregate(F.slice(items, i, F.lit(_BATCH)), start(acc["skip"], F.array()), part)
+            return _let(done, lambda d: F.struct(
+                d["skip"].alias("skip"), F.concat(acc["parts"], F.array(F.array_join(d["parts"], ""))).alias("parts"),
+                F.concat(acc["found"], d["found"]).alias("found")))
+        return lambda head: F.aggregate(
+            F.sequence(F.lit(1), F.size(items), F.lit(_BATCH)), start(F.lit(0), F.array(head)), step,
+            lambda acc: F.struct(F.array_join(acc["parts"], "").alias("text"), acc["found"].alias("found")))
+
+    def with_pieces(pieces):
+        # the text is cut before each candidate; no empty piece comes before one at its very start
+        before = F.size(pieces) - F.size(windows)
+        items = F.zip_with(F.slice(pieces, before + 1, F.size(windows)), windows,
+                           lambda p, w: F.struct(p.alias("piece"), w.alias("window")))
+        head = F.when(before == 0, F.lit("")).otherwise(F.get(pieces, F.lit(0)))
+        return _let(items, lambda it: batch(it)(head))
+    return _let(F.split(text, START, -1), with_pieces)

@@ -146,3 +146,24 @@ def test_each_repetition_limit_decides_alone():
     assert not out.base_failed.any() and list(out.kept) == [False, False, True, True]
     assert list(out.covered_fraction > limits.max_covered) == [True, False, False, False]
     assert list(out.longest_repeat > limits.max_longest) == [False, True, False, False]
+
+
+def test_values_next_to_and_inside_failed_candidates(spark):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    cases = [("in 2024 " + card, "in 2024 ", card, "card", ""), ("exp 1225 " + card, "exp 1225 ", card, "card", ""),
+             (iban + " EUR", "", iban, "iban", " EUR"), (iban + " 1332 100 EUR", "", iban, "iban", " 1332 100 EUR"),
+             ("ES91 2100 0418 4502 0005 1332 100 EUR", "", "ES91 2100 0418 4502 0005 1332", "iban", " 100 EUR"),
+             ("+44 20 7946 0958 2021 12", "", "+44 20 7946 0958", "phone", " 2021 12"),
+             ("at 2024-02-29T10:00:00Z", "at ", "2024-02-29", "date", "T10:00:00Z")]
+    alone = pseudonyms(spark, [c[2] for c in cases])
+    for (text, before, value, kind, after), (new, found), (single, _) in zip(cases, pseudonyms(spark, [c[0] for c in cases]), alone):
+        assert found == [(kind, single)] and single != value and new == before + single + after, text
+
+
+def test_many_values_of_one_text(spark):
+    r = random.Random(8)
+    values = ["2024 4111 1111 1111 1111", "4111111111111112", "2024-02-29", "é 1234 5678", "me@example.com", "10.0.0.1"]
+    picks = [r.choice(values) for _ in range(700)]
+    single = dict(zip(values, pseudonyms(spark, values)))
+    new, found = pseudonyms(spark, [", ".join(picks)])[0]
+    assert new == ", ".join(single[v][0] for v in picks) and found == [p for v in picks for p in single[v][1]]
