@@ -27,10 +27,10 @@ def op2_suffix_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_piece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of each document by the transducer (count, byte-fallback count, checksum) and the decoded
+    """Ids of each document by the transducer (with count, byte-fallback count and checksum) and the decoded
     text's length and digest: those of the document itself, unless it holds the blank mark."""
-    rows = piece_fst.encode_documents(documents(spark, sf_dir), with_ids=False)
-    return rows.select("doc_id", "n_ids", "n_bytes", "ids_crc32", F.char_length("decoded").cast("bigint").alias("decoded_chars"),
+    rows = piece_fst.encode_documents(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_ids", "n_bytes", "ids_crc32", "ids", F.char_length("decoded").cast("bigint").alias("decoded_chars"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

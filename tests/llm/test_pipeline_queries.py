@@ -58,3 +58,12 @@ def test_queries_equal_their_sql(spark, name):
     con = duck_connect(SMOKE_DIR) if os.path.isdir(SMOKE_DIR) else duckdb.connect()
     result = compare(spark, con, name, queries.QUERIES[name], queries.ORACLE[name], SMOKE_DIR)
     assert result["ok"], result
+
+
+def test_op3_returns_the_ids(spark):
+    import struct
+    import zlib
+    rows = queries.op3_piece_fst(spark, SMOKE_DIR).collect()
+    assert rows and sum(r.n_ids for r in rows) > 0
+    for r in rows:
+        assert len(r.ids) == r.n_ids and zlib.crc32(struct.pack(f"<{r.n_ids}I", *r.ids)) == r.ids_crc32
