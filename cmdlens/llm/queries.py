@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (anchor_dedup, chunk_dedup, feistel_pii, harmonic_pack, hd_langid, kd_shard, line_spread, piece_fst,
-               simhash_dedup, suffix_quality)
-from .common import documents
+from . import (anchor_dedup, chunk_dedup, feistel_pii, harmonic_pack, hd_langid, kd_shard, laesa_codes, line_spread,
+               piece_fst, simhash_dedup, suffix_quality)
+from .common import documents, tuned
 
 # A deployment passes a secret of its own.
 PSEUDONYM_KEY = "documents-pseudonyms-v1"
@@ -118,8 +118,52 @@ def op10_harmonic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op13_laesa_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product code, error and label error of each vector, with the digest of the trained codebooks."""
+    vectors = tuned(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+    return laesa_codes.encode(vectors).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op13_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Lloyd rounds as a chain of materialised tables: all distances, their least, the floored means."""
+    steps = [f"""
+kept AS MATERIALIZED (
+  SELECT vec_id, label, v, len(v) // {parts} AS width, row_number() OVER (ORDER BY vec_id, v) AS rn
+  FROM (SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding))),
+x AS MATERIALIZED (
+  SELECT rn, (i - 1) // width AS part, (i - 1) % width AS place, v[i] AS val
+  FROM (SELECT rn, width, v, unnest(range(1, len(v) + 1)) AS i FROM kept)),
+b0 AS MATERIALIZED (SELECT part, (rn - 1)::BIGINT AS entry, place, val FROM x WHERE rn <= {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT rn, part, min(struct_pack(d := d, e := entry)) AS best
+  FROM (SELECT x.rn, x.part, b.entry, sum((x.val - b.val) * (x.val - b.val)) AS d
+        FROM x JOIN b{k} b ON x.part = b.part AND x.place = b.place GROUP BY ALL) GROUP BY rn, part)""")
+        if k < rounds:
+            steps.append(f"""
+b{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.place, coalesce((s - ((s % n) + n) % n) // n, b.val)::BIGINT AS val
+  FROM b{k} b LEFT JOIN (SELECT x.part, a.best.e AS entry, x.place, sum(x.val) AS s, count(*) AS n
+                         FROM x JOIN a{k} a ON x.rn = a.rn AND x.part = a.part GROUP BY ALL) m
+  ON b.part = m.part AND b.entry = m.entry AND b.place = m.place)""")
+    return "WITH " + ",".join(steps) + f""",
+coded AS (
+  SELECT rn, string_agg(lpad(lower(hex(best.e)), 2, '0'), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error
+  FROM a{rounds} GROUP BY rn)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(val::VARCHAR, ',' ORDER BY part, entry, place)) FROM b{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (rn)
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 QUERIES = {f.__name__: f for f in (
     op1_feistel_pii, op2_suffix_quality, op3_piece_fst, op4_anchor_dedup, op5_chunk_dedup, op6_line_spread,
-    op7_kd_shard, op8_simhash_dedup, op9_hd_langid, op10_harmonic_pack)}
+    op7_kd_shard, op8_simhash_dedup, op9_hd_langid, op10_harmonic_pack, op13_laesa_codes)}
 
-ORACLE = {"op4_anchor_dedup": OP4_SQL, "op5_chunk_dedup": OP5_SQL, "op6_line_spread": OP6_SQL}
+ORACLE = {"op4_anchor_dedup": OP4_SQL, "op5_chunk_dedup": OP5_SQL, "op6_line_spread": OP6_SQL, "op13_laesa_codes": OP13_SQL}
