@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (anchor_dedup, chunk_dedup, feistel_pii, harmonic_pack, hd_langid, kd_shard, laesa_codes, line_spread,
-               piece_fst, simhash_dedup, suffix_quality)
+from . import (anchor_dedup, chunk_dedup, collocations, feistel_pii, harmonic_pack, hd_langid, kd_shard, laesa_codes,
+               line_spread, piece_fst, simhash_dedup, suffix_quality)
 from .common import documents, tuned
 
 # A deployment passes a secret of its own.
@@ -118,6 +118,44 @@ def op10_harmonic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two and three words of each language."""
+    return collocations.mine(documents(spark, sf_dir))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT lang, row_number() OVER () AS piece, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM (
+    SELECT lang, unnest(regexp_split_to_array(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x
+    FROM (SELECT coalesce(lang, 'und') AS lang, coalesce(text, '') AS text FROM documents))),
+w AS (
+  SELECT lang, a, lead(a, 1) OVER piece AS b, lead(a, 2) OVER piece AS c
+  FROM (SELECT lang, piece, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM p) WINDOW piece AS (PARTITION BY piece ORDER BY i)),
+g AS MATERIALIZED (
+  SELECT lang, a, NULL AS b, NULL AS c, a AS g, count(*) AS f FROM w GROUP BY lang, a UNION ALL
+  SELECT lang, a, b, NULL, concat_ws(' ', a, b), count(*) FROM w WHERE b IS NOT NULL GROUP BY lang, a, b UNION ALL
+  SELECT lang, a, b, c, concat_ws(' ', a, b, c), count(*) FROM w WHERE c IS NOT NULL GROUP BY lang, a, b, c),
+f AS MATERIALIZED (SELECT * FROM g WHERE f >= 10),
+cut AS (
+  SELECT lang, g, f, 1 AS k, a AS x, concat_ws(' ', b, c) AS y FROM f WHERE b IS NOT NULL UNION ALL
+  SELECT lang, g, f, 2, concat_ws(' ', a, b), c FROM f WHERE c IS NOT NULL),
+best AS (
+  SELECT t.lang, t.g, t.f AS a, x.f AS l, y.f AS r, ((1000000::HUGEINT * t.f * t.f) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cut t JOIN f x ON x.lang = t.lang AND x.g = t.x JOIN f y ON y.lang = t.lang AND y.g = t.y
+  QUALIFY row_number() OVER (PARTITION BY t.lang, t.g ORDER BY score, k) = 1),
+held AS (
+  SELECT lang, g, max(f) AS longer FROM (
+    SELECT lang, concat_ws(' ', a, b) AS g, f FROM f WHERE c IS NOT NULL UNION ALL
+    SELECT lang, concat_ws(' ', b, c), f FROM f WHERE c IS NOT NULL) GROUP BY lang, g),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE b IS NULL GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, b.a DESC, g) AS rank, g AS phrase, b.a, l, r, n, score
+FROM best b JOIN n USING (lang) LEFT JOIN held h USING (lang, g)
+WHERE longer IS NULL OR len(regexp_extract_all(g, ' ')) = 2 OR 100 * longer < 50 * b.a
+QUALIFY rank <= 2000
+"""
+
+
 def op13_laesa_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product code, error and label error of each vector, with the digest of the trained codebooks."""
     vectors = tuned(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -164,6 +202,7 @@ OP13_SQL = _op13_sql()
 
 QUERIES = {f.__name__: f for f in (
     op1_feistel_pii, op2_suffix_quality, op3_piece_fst, op4_anchor_dedup, op5_chunk_dedup, op6_line_spread,
-    op7_kd_shard, op8_simhash_dedup, op9_hd_langid, op10_harmonic_pack, op13_laesa_codes)}
+    op7_kd_shard, op8_simhash_dedup, op9_hd_langid, op10_harmonic_pack, op12_collocations, op13_laesa_codes)}
 
-ORACLE = {"op4_anchor_dedup": OP4_SQL, "op5_chunk_dedup": OP5_SQL, "op6_line_spread": OP6_SQL, "op13_laesa_codes": OP13_SQL}
+ORACLE = {"op4_anchor_dedup": OP4_SQL, "op5_chunk_dedup": OP5_SQL, "op6_line_spread": OP6_SQL, "op12_collocations": OP12_SQL,
+          "op13_laesa_codes": OP13_SQL}
