@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (anchor_dedup, chunk_dedup, collocations, feistel_pii, harmonic_pack, hd_langid, kd_shard, laesa_codes,
-               line_spread, piece_fst, simhash_dedup, suffix_quality)
+               line_spread, piece_fst, secret_scan, simhash_dedup, suffix_quality)
 from .common import documents, tuned
 
 # A deployment passes a secret of its own.
@@ -118,6 +118,14 @@ def op10_harmonic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document: counts and digest of the known forms, and all spans with those the tests add."""
+    rows = secret_scan.scan(documents(spark, sf_dir))
+    return rows.select(
+        "doc_id", *(secret_scan.count_of(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 best phrases of two and three words of each language."""
     return collocations.mine(documents(spark, sf_dir))
@@ -202,7 +210,8 @@ OP13_SQL = _op13_sql()
 
 QUERIES = {f.__name__: f for f in (
     op1_feistel_pii, op2_suffix_quality, op3_piece_fst, op4_anchor_dedup, op5_chunk_dedup, op6_line_spread,
-    op7_kd_shard, op8_simhash_dedup, op9_hd_langid, op10_harmonic_pack, op12_collocations, op13_laesa_codes)}
+    op7_kd_shard, op8_simhash_dedup, op9_hd_langid, op10_harmonic_pack, op11_secret_scan, op12_collocations,
+    op13_laesa_codes)}
 
 ORACLE = {"op4_anchor_dedup": OP4_SQL, "op5_chunk_dedup": OP5_SQL, "op6_line_spread": OP6_SQL, "op12_collocations": OP12_SQL,
           "op13_laesa_codes": OP13_SQL}
