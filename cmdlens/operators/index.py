@@ -5,10 +5,13 @@ per-row set of 3-byte windows, so building it is a narrow transformation (no
 shuffle) on already de-duplicated history.
 
 Batch search ranks with joins instead of one scan per query. Queries sharing
-a keyword set share the work. The distinct (set, trigram) pairs meet the index
-first, on the trigram, so only the trigrams that are asked for leave it; a count
-per (set, command) gives the rank, and only then the history's columns are
-joined. Keywords of one or two bytes (the substring-scan path) meet a small
+a keyword set share the work. The trigrams that are asked for meet the index
+first and leave it as postings (trigram, command, time). Not every command that
+shares a trigram with a set is counted: the newest postings of each trigram give
+a first top n per set, and its last rank is a bound that all others must reach.
+A command with that rank holds one of the set's rarest trigrams (a set of m, bound
+b: of its m - b + 1 rarest), so only the postings of these are met in full, and
+those of the last one only as far as they are newer. Keywords of one or two bytes (the substring-scan path) meet a small
 index of 1- and 2-byte substrings; the newest n of a set are among the newest n
 of its substrings, so each substring is cut to its newest n before sets are
 formed. Local tiers are restricted to the (set, directory) pairs that some query
@@ -88,6 +91,69 @@ def _query_keys(queries: DataFrame) -> DataFrame:
         digest(F.transform("_shorts", lambda x: F.hex(F.encode(x, "ISO-8859-1")))).alias("sk"))
 
 
+# Newest postings of a trigram that give the first bound, as a multiple of the limit.
+FIRST_POSTINGS = 4
+
+
+def asked_postings(index: DataFrame, sets: DataFrame, places: DataFrame) -> DataFrame:
+    """(place, ngram, hash, ts_ms): the index's postings of the asked trigrams, for each place
+    ('' stands for everywhere) where a set asks for them; written once."""
+    # the trigrams meet the index before the history does
+    rows = index.join(sets.select("ngram").distinct(), "ngram").join(places, "hash")
+    here = rows.select(F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce("cwd", F.lit(""))))).alias("place"), "ngram", "hash", "ts_ms")
+    return materialize(here.join(sets.select("place", "ngram").distinct(), ["place", "ngram"], "left_semi"), "postings")
+
+
+def first_candidates(postings: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """(gk, place, hash, ts_ms): commands among the newest postings of a set's trigrams."""
+    newest = _top_per_group(postings, ["place", "ngram"], [F.col("ts_ms").desc(), F.col("hash").asc()], FIRST_POSTINGS * n)
+    return newest.join(sets.select("gk", "place", "ngram"), ["place", "ngram"]).select("gk", "place", "hash", "ts_ms").distinct()
+
+
+def further_candidates(postings: DataFrame, sets: DataFrame, first: DataFrame, n: int) -> DataFrame:
+    """(gk, place, hash, ts_ms): commands outside ``first`` that may still reach a set's n-th best rank.
+
+    ``first`` (ranked): gk, place, hash, ts_ms, rank. A set with fewer than n of them has no others:
+    a trigram with n postings gives n commands.
+    """
+    order = Window.partitionBy("gk", "place").orderBy(F.col("rank").desc(), F.col("ts_ms").desc(), F.col("hash").asc())
+    bound = first.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") == n).select(
+        "gk", "place", F.col("rank").alias("bound"), F.col("ts_ms").alias("since"))
+    freq = postings.groupBy("place", "ngram").agg(F.count(F.lit(1)).alias("df"))
+    # a set's trigrams that occur at all, rarest first
+    of_set = Window.partitionBy("gk", "place")
+    rarest = (sets.join(freq, ["place", "ngram"])
+              .withColumn("at", F.row_number().over(of_set.orderBy("df", "ngram")))
+              .withColumn("m", F.count(F.lit(1)).over(of_set))
+              .join(bound, ["gk", "place"]).filter(F.col("at") <= F.col("m") - F.col("bound") + 1))
+    met = rarest.join(postings, ["place", "ngram"]).filter(
+        (F.col("at") <= F.col("m") - F.col("bound")) | (F.col("ts_ms") >= F.col("since")))
+    return (met.select("gk", "place", "hash", "ts_ms").distinct()
+            .join(first.select("gk", "place", "hash"), ["gk", "place", "hash"], "left_anti"))
+
+
+def ranked_top(index: DataFrame, places: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """Exact top n commands per (set, place) by rank, then newest, then hash.
+
+    ``sets``: gk, place, ngram, one row per trigram; ``places``: hash, cwd, ts_ms.
+    Result: gk, place, hash, ts_ms, rank.
+    """
+    sets = materialize(sets.distinct(), "asked-trigrams")
+    postings = asked_postings(index, sets, places)
+    grams = materialize(postings.select("hash", "ngram").distinct().groupBy("hash").agg(F.collect_list("ngram").alias("_has")), "asked-of-command")
+    wanted = materialize(sets.groupBy("gk", "place").agg(F.collect_list("ngram").alias("_wants")), "sets")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        return pairs.join(grams, "hash").join(wanted, ["gk", "place"]).select(
+            "gk", "place", "hash", "ts_ms", F.size(F.array_intersect("_has", "_wants")).cast("bigint").alias("rank"))
+
+    order = [F.col("rank").desc(), F.col("ts_ms").desc(), F.col("hash").asc()]
+    first = materialize(ranked(first_candidates(postings, sets, n)), "first-candidates")
+    more = ranked(further_candidates(postings, sets, first, n))
+    best = _top_per_group(first, ["gk", "place"], order, n).unionByName(more)
+    return _top_per_group(best, ["gk", "place"], order, n)
+
+
 def batch_search(history: DataFrame, queries: DataFrame, limit: int | None = 5,
                  source: str | None = "user", index: DataFrame | None = None,
                  annotations: DataFrame | None = None, squelch_patterns=None) -> DataFrame:
@@ -109,15 +175,14 @@ def batch_search(history: DataFrame, queries: DataFrame, limit: int | None = 5,
     hist = scope(history, source=source).select("hash", "cmd", "cwd", "ts_ms", "source")
     places = hist.select("hash", "cwd", "ts_ms")
 
-    # rank = distinct query trigrams present, once per distinct trigram set
+    # rank = distinct query trigrams present, once per distinct trigram set, everywhere and in the asked directories
     idx = build_index(hist.select("hash", "cmd")) if index is None else index.select("ngram", "hash")
-    gsets = q.filter(F.col("gk") != "").select("gk", F.explode("_grams").alias("ngram")).distinct()
-    counts = idx.join(gsets, "ngram").groupBy("gk", "hash").agg(F.count("*").alias("rank"))
-    ranked = counts.join(places, "hash")
-    rorder = [F.col("rank").desc(), F.col("ts_ms").desc(), F.col("hash").asc()]
-    t3 = _top_per_group(ranked, ["gk"], rorder, n)
-    asked_g = local_q.filter(F.col("gk") != "").select("gk", F.col("qcwd").alias("cwd")).distinct()
-    t1 = _top_per_group(ranked.join(asked_g, ["gk", "cwd"], "left_semi"), ["gk", "cwd"], rorder, n)
+    asked = q.filter(F.col("gk") != "").select(
+        "gk", "_grams", F.explode(F.array_distinct(F.array(F.lit(""), "qcwd"))).alias("place"))
+    in_sets = asked.select("gk", "place", F.explode("_grams").alias("ngram"))
+    best = materialize(ranked_top(idx, places, in_sets, n), "ranked-top")
+    t3 = best.filter(F.col("place") == "").select("gk", "hash", "rank")
+    t1 = best.filter(F.col("place") != "").select("gk", F.col("place").alias("cwd"), "hash", "rank")
 
     # substring hits of 1-2 byte keywords: cut per substring, then per distinct set
     ssets = q.filter(F.col("sk") != "").select("sk", F.explode("_shorts").alias("sgram")).distinct()

@@ -73,13 +73,21 @@ def test_stored_layouts_prune(spark, tmp_path):
 
 
 def test_history_is_joined_after_the_trigram_join(spark, tmp_path):
-    """The prebuilt index meets the asked trigrams first; the history joins their counts."""
-    from cmdlens.operators.index import build_index
+    """The prebuilt index meets the asked trigrams first; the history joins what is left."""
+    from cmdlens.operators.index import asked_postings, build_index
     h = stored_history(spark, tmp_path)
     build_index(h).write.parquet(str(tmp_path / "idx"))
-    q = spark.createDataFrame([("a", ["git", "status"], "/home/u7/proj")], "qid string, keywords array<string>, cwd string")
-    plan = batch_search(h, q, index=spark.read.parquet(str(tmp_path / "idx")))._jdf.queryExecution().optimizedPlan().toString()
-    lines = plan.split("\n")
+    sets = spark.createDataFrame([("a", "", 6777204)], "gk string, place string, ngram int")
+    idx = spark.read.parquet(str(tmp_path / "idx"))
+    plans = []
+    import cmdlens.operators.index as index_module
+    real = index_module.materialize
+    try:
+        index_module.materialize = lambda df, tag: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df
+        asked_postings(idx, sets, h.select("hash", "cwd", "ts_ms"))
+    finally:
+        index_module.materialize = real
+    lines = plans[0].split("\n")
     joins = [i for i, x in enumerate(lines) if "Join Inner, (hash" in x]
     grams = [i for i, x in enumerate(lines) if "Join Inner, (ngram" in x]
     # an outer join is printed above what it reads
