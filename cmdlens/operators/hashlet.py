@@ -17,9 +17,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .util import materialize
+
 MIN_LEN = 4
 MAX_LEN = 64
-PROBE_LEN = 8                 # longest prefix that is joined by equality
 
 
 def _lcp(a, b):
@@ -43,40 +44,55 @@ def min_hashlet_len(hashes: DataFrame, col: str = "hash") -> DataFrame:
         .cast("int").alias("min_len"))
 
 
+def _asked_buckets(cand: DataFrame) -> DataFrame:
+    """The 4-character buckets that the prefixes reach, at most 65,536: their own, and all
+    completions of shorter ones."""
+    missing = F.greatest(F.lit(MIN_LEN) - F.col("_len"), F.lit(0))
+    ends = F.transform(F.sequence(F.lit(0), (F.pow(F.lit(16), missing) - 1).cast("int")),
+                       lambda i: F.when(missing > 0, F.lpad(F.lower(F.hex(i)), missing, "0")).otherwise(F.lit("")))
+    return cand.select(F.explode(F.transform(ends, lambda e: F.concat(F.substring("_p", 1, MIN_LEN), e))).alias("_b")).distinct()
+
+
 def resolve_prefixes(history: DataFrame, prefixes: DataFrame, col: str = "prefix") -> DataFrame:
     """Classify each prefix against the history's hashes.
 
     Output: prefix, status (empty / invalid / not_found / ambiguous / found),
     hash, cmd, cwd, ts_ms, source (NULL unless found).
+
+    A prefix stands for an interval of hashes, and in the order of (hash or
+    prefix) it comes right before them. The history is read once: its rows in
+    buckets that some prefix reaches are dealt, together with the prefixes, by
+    their first four characters and sorted; the next hash after a prefix and the
+    one after that decide. Prefixes shorter than a bucket are decided by the first
+    two hashes of each of their buckets (at most 131,072 rows).
     """
     p = prefixes.select(F.col(col).alias("prefix")).withColumn("_p", F.lower(F.coalesce("prefix", F.lit(""))))
     p = p.withColumn("_len", F.length("_p")).withColumn(
         "_valid", (F.col("_len") > 0) & F.col("_p").rlike("^[0-9a-f]+$"))
-    cand = p.filter("_valid").select("_p", "_len").distinct()
-    h = history.select("hash")
-
-    # Prefixes of 1-4 characters: count hashes per 1..4-character bucket in one
-    # partially aggregated pass (at most 16 + 256 + 4,096 + 65,536 = 69,904
-    # buckets, a structural bound), then broadcast-join on (length, prefix).
-    levels = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("_kl"), F.substring("hash", 1, k).alias("_k"))
-        for k in range(1, MIN_LEN + 1)]))
-    buckets = (h.select("hash", levels.alias("_b"))
-               .groupBy(F.col("_b._kl").alias("_kl"), F.col("_b._k").alias("_k"))
-               .agg(F.count("*").alias("_n"), F.min("hash").alias("_h")))
-    short = cand.filter(F.col("_len") <= MIN_LEN).join(
-        F.broadcast(buckets), (F.col("_p") == F.col("_k")) & (F.col("_len") == F.col("_kl")))
-    short = short.select("_p", "_n", "_h")
-
-    # Longer prefixes: one equi-join on the prefix itself up to 8 characters
-    # (each hash offers its prefixes of 5 to 8), then the residual test of what
-    # is longer; a prefix meets only hashes that share its first 5 to 8.
-    offered = h.select("hash", F.explode(F.array(*[
-        F.substring("hash", 1, k) for k in range(MIN_LEN + 1, PROBE_LEN + 1)])).alias("_k"))
-    part = cand.filter(F.col("_len") > MIN_LEN).withColumn("_k", F.substring("_p", 1, PROBE_LEN))
-    m = part.join(offered, "_k").filter(F.col("hash").startswith(F.col("_p")))
-    long = m.groupBy("_p").agg(F.count("*").alias("_n"), F.min("hash").alias("_h"))
-    matched = short.unionByName(long)
+    cand = materialize(p.filter(F.col("_valid") & (F.col("_len") <= MAX_LEN)).select("_p", "_len").distinct(), "prefixes")
+
+    detail = F.struct("hash", "cmd", "cwd", "ts_ms", "source")
+    bucket = F.substring("hash", 1, MIN_LEN).alias("_b")
+    rows = history.select("hash", "cmd", "cwd", "ts_ms", "source", bucket).join(
+        F.broadcast(_asked_buckets(cand)), "_b", "left_semi")  # at most 65,536 buckets
+    stream = rows.select("_b", F.col("hash").alias("_key"), detail.alias("_d")).unionByName(
+        cand.filter(F.col("_len") >= MIN_LEN).select(F.substring("_p", 1, MIN_LEN).alias("_b"), F.col("_p").alias("_key")),
+        allowMissingColumns=True)
+    # backwards, so that what follows a prefix has been seen; a hash comes before a prefix equal to it
+    seen = Window.partitionBy("_b").orderBy(F.col("_key").desc(), F.col("_d").isNull().asc())
+    upto = seen.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stream = (stream.withColumn("_after", F.last(F.col("_d.hash"), ignorenulls=True).over(seen.rowsBetween(Window.unboundedPreceding, -1)))
+              .withColumn("_next", F.last(F.when(F.col("_d").isNotNull(), F.struct("_d", "_after")), ignorenulls=True).over(upto))
+              .withColumn("_nth", F.count(F.col("_d.hash")).over(upto)))
+    decided = materialize(stream.filter(F.col("_d").isNull() | (F.col("_nth") <= 2)), "prefix-stream")
+
+    near, key = F.col("_next._d.hash"), F.col("_key")
+    long = decided.filter(F.col("_d").isNull() & near.startswith(key)).select(
+        key.alias("_p"), F.when(F.col("_next._after").startswith(key), 2).otherwise(1).alias("_n"), F.col("_next._d").alias("_d"))
+    levels = F.explode(F.array(*[F.substring("_key", 1, k) for k in range(1, MIN_LEN)])).alias("_p")
+    short = decided.filter(F.col("_d").isNotNull()).select("_d", levels).groupBy("_p").agg(
+        F.count(F.lit(1)).cast("int").alias("_n"), F.first("_d").alias("_d"))
+    matched = long.unionByName(short)
 
     res = p.join(matched, "_p", "left")
     status = (F.when(F.col("_len") == 0, "empty")
@@ -85,10 +101,5 @@ def resolve_prefixes(history: DataFrame, prefixes: DataFrame, col: str = "prefix
               .when(F.col("_n") > 1, "ambiguous")
               .otherwise("found"))
     res = res.withColumn("status", status)
-    # rows without a hash get a key of their own that no hash equals, so they
-    # spread over the join's partitions instead of meeting at one NULL
-    found = F.col("status") == "found"
-    res = res.withColumn("_fh", F.when(found, F.col("_h")).otherwise(F.concat(F.lit("-"), F.col("_p"))))
-    detail = history.select(F.col("hash").alias("_fh"), "hash", "cmd", "cwd", "ts_ms", "source")
-    out = res.select("prefix", "status", "_fh").join(detail, "_fh", "left")
-    return out.select("prefix", "status", "hash", "cmd", "cwd", "ts_ms", "source")
+    return res.select("prefix", "status", *[
+        F.when(F.col("status") == "found", F.col(f"_d.{c}")).alias(c) for c in ("hash", "cmd", "cwd", "ts_ms", "source")])

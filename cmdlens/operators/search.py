@@ -8,12 +8,13 @@ row gets the lowest tier it qualifies for in a single pass:
     3 rank > 0            4 substring hit
 
 ``rank`` is the number of distinct query trigrams the command contains (what
-the inverted index counts), tested with native ``contains`` on the row itself,
-so the ad-hoc search needs neither the index nor a shuffle. Rows are ordered
-by (tier, rank desc for ranked tiers, ts desc, hash) and the top ``limit`` are
-taken with a per-partition top-k (``TakeOrderedAndProject``); of those only
-the rows of the best tier are kept. This is exact: the best tier sorts first,
-so if it has any rows they lead the list.
+the inverted index counts), looked up in the row's own windows, so the ad-hoc
+search needs neither the index nor a shuffle. Rows are ordered by (tier, rank
+desc for ranked tiers, ts desc, hash) and the top ``limit`` are taken with a
+per-partition top-k (``TakeOrderedAndProject``); of those only the rows of the
+best tier are kept. This is exact: the best tier sorts first, so if it has any
+rows they lead the list. A limit beyond ``TOP_K_REACH`` takes the best tier
+first and positions from a distributed order, with no single-partition window.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import raw_bytes
-from ..functions.ngrams import distinct_trigrams, gram_bytes, trigrams_of
+from ..functions.keywords import found_keywords, holds_any
+from ..functions.ngrams import gram_bytes, trigram_windows, trigrams_of
 from ..functions.text import split_keywords_py
 from ..schema import HITS_COLUMNS
 from .filters import scope, with_annotation_type
 from .squelch import squelch
+from .util import TOP_K_REACH, materialize, with_position
 
 DEFAULT_LIMIT = 5
 
@@ -54,47 +56,18 @@ def query_grams(keywords: list[str]) -> list[int]:
     return list(seen)
 
 
-def _contains_gram(cmd: Column, cmd_bytes: Column, gram: int) -> Column:
-    b = gram_bytes(gram)
-    try:
-        text = b.decode("utf-8")
-    except UnicodeDecodeError:
-        return F.contains(cmd_bytes, F.lit(bytearray(b)))
-    # string containment is byte-wise on Spark's UTF-8 strings
-    return F.contains(cmd, F.lit(text))
-
-
-# Above this many terms a single array expression replaces the unrolled OR /
-# sum, keeping generated code small for very long queries.
-MAX_UNROLLED_TERMS = 64
-
-
 def rank_column(cmd: Column, grams: list[int]) -> Column:
-    """Number of the distinct query trigrams present in ``cmd``."""
+    """Number of the distinct query trigrams present in ``cmd``: its windows are looked up in
+    the set of the query's, whatever their number."""
     if not grams:
         return F.lit(0)
-    if len(grams) > MAX_UNROLLED_TERMS:
-        query = F.array(*[F.lit(g) for g in grams])
-        return F.size(F.array_intersect(distinct_trigrams(cmd), query))
-    cmd_bytes = raw_bytes(cmd)
-    terms = [_contains_gram(cmd, cmd_bytes, g).cast("int") for g in grams]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return total
+    wanted = [gram_bytes(g).decode("latin-1") for g in grams]
+    return F.size(F.array_distinct(F.filter(trigram_windows(cmd), lambda w: w.isin(wanted))))
 
 
 def scan_column(cmd: Column, keywords: list[str]) -> Column:
     """True when ``cmd`` contains any non-empty keyword (case-sensitive)."""
-    kws = [k for k in dict.fromkeys(keywords) if k]
-    if not kws:
-        return F.lit(False)
-    if len(kws) > MAX_UNROLLED_TERMS:
-        return F.exists(F.array(*[F.lit(k) for k in kws]), lambda k: F.contains(cmd, k))
-    pred = F.contains(cmd, F.lit(kws[0]))
-    for k in kws[1:]:
-        pred = pred | F.contains(cmd, F.lit(k))
-    return pred
+    return holds_any(cmd, keywords)
 
 
 def tier_column(rank: Column, scan: Column, local: Column | None, ranked: bool) -> Column:
@@ -121,15 +94,16 @@ def empty_hits(history: DataFrame) -> DataFrame:
 def find(history: DataFrame, keywords: list[str] | str, limit: int | None = DEFAULT_LIMIT,
          cwd: str | None = None, source: str | None = "user",
          annotations: DataFrame | None = None, squelch_patterns=None,
-         reverse: bool = False, clear_cwd: bool = True) -> DataFrame:
-    """Top ``limit`` hits for ``keywords``; noise patterns apply after the limit.
+         reverse: bool = False, clear_cwd: bool = True, clamp: bool = False) -> DataFrame:
+    """Top ``limit`` hits for ``keywords``; noise patterns apply after the limit, which
+    ``clamp`` brings into the configured range of 5 to 20.
 
     Columns: hash, cmd, cwd, ts_ms, annotation_type, source, is_global, rank, pos
     (pos = 1-based output position; ``reverse`` flips it).
     """
     if isinstance(keywords, str):          # a typed query string: split on white space
         keywords = split_keywords_py(keywords)
-    n = normalize_limit(limit)
+    n = normalize_limit(limit, clamp)
     if not any(keywords):
         return empty_hits(history)
     grams = query_grams(keywords)
@@ -146,11 +120,17 @@ def find(history: DataFrame, keywords: list[str] | str, limit: int | None = DEFA
                           .otherwise(F.lit(0))))
     order = [F.col("tier").asc(), F.col("rank_key").desc(), F.col("ts_ms").desc(),
              F.col("hash").asc()]
-    top = scored.orderBy(*order).limit(n)
-    # keep the best tier only (the window spans at most ``limit`` rows)
+    large = n > TOP_K_REACH
     everything = Window.partitionBy(F.lit(1))
-    top = (top.withColumn("_best", F.min("tier").over(everything))
-           .filter(F.col("tier") == F.col("_best")))
+    if large:
+        scored = materialize(scored, "scored")
+        best = scored.filter(F.col("tier") == scored.select(F.min("tier")).scalar())
+        top = with_position(best, order, "_at", "scored-order").filter(F.col("_at") <= n).drop("_at")
+    else:
+        # keep the best tier only (the window spans at most ``limit`` rows)
+        top = scored.orderBy(*order).limit(n)
+        top = (top.withColumn("_best", F.min("tier").over(everything))
+               .filter(F.col("tier") == F.col("_best")))
     hits = with_annotation_type(top, annotations)
     hits = squelch(hits, squelch_patterns)
     is_global = F.lit(False) if not cwd else (F.col("tier") >= 3)
@@ -160,5 +140,13 @@ def find(history: DataFrame, keywords: list[str] | str, limit: int | None = DEFA
     pos_order = [F.col("rank_key").desc(), F.col("ts_ms").desc(), F.col("hash").asc()]
     if reverse:
         pos_order = [F.col("rank_key").asc(), F.col("ts_ms").asc(), F.col("hash").desc()]
-    hits = hits.withColumn("pos", F.row_number().over(everything.orderBy(*pos_order)))
-    return hits.select(*HITS_COLUMNS, "is_global", "rank", "pos").orderBy("pos")
+    if large:
+        hits = with_position(hits, pos_order, "pos", "hit-order").withColumn("pos", F.col("pos").cast("int"))
+    else:
+        hits = hits.withColumn("pos", F.row_number().over(everything.orderBy(*pos_order)))
+    return hits.select(*HITS_COLUMNS, "is_global", F.col("rank").cast("int").alias("rank"), "pos").orderBy("pos")
+
+
+def keyword_hits(rows: DataFrame, keywords: list[str], text_col: str = "cmd") -> DataFrame:
+    """Rows that hold any of the keywords, with ``found``, those they hold, in one pass whatever their number."""
+    return rows.withColumn("found", found_keywords(text_col, keywords)).filter(F.size("found") > 0)

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Largest limit that one task takes as a top-k; beyond it, positions come from a distributed order.
+TOP_K_REACH = 100_000
+
+
 def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
     """Write ``df`` once, as Parquet, to the shared checkpoint folder
     (``spark.checkpoint.dir``) and read it back: inputs read by several branches

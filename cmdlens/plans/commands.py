@@ -15,12 +15,10 @@ from ..operators import hashlet, index, maintenance, search, stats
 from ..operators.filters import scope, with_annotation_type
 from ..operators.phrase import phrase_match
 from ..operators.squelch import active_list, squelch
-from ..operators.util import materialize, with_position
+from ..operators.util import TOP_K_REACH, materialize, with_position
 from ..functions.text import split_keywords
 from ..functions.timefmt import relative_time
 
-# Largest limit that one task takes as a top-k; the limit is the caller's.
-TOP_K_REACH = 100_000
 HIT_COLS = ["hash", "cmd", "cwd", "ts_ms", "source"]
 
 

@@ -94,9 +94,14 @@ def test_history_is_joined_after_the_trigram_join(spark, tmp_path):
     assert joins and grams and all(any(j < g for j in joins) for g in grams)
 
 
-def test_resolve_prefixes_reads_the_history_three_times(spark, tmp_path):
-    from cmdlens.operators.hashlet import resolve_prefixes
+def test_resolve_prefixes_reads_the_history_once(spark, tmp_path, monkeypatch):
+    """One scan of the history, met by the asked buckets before its exchange; no join has it as a whole."""
+    from cmdlens.operators import hashlet
     h = stored_history(spark, tmp_path)
     p = spark.createDataFrame([("ab",), ("abcdef12",), ("zz",)], "prefix string")
-    plan = plan_of(resolve_prefixes(h, p))
-    assert plan.count("FileScan parquet") <= 3
+    plans, real = [], hashlet.materialize
+    monkeypatch.setattr(hashlet, "materialize", lambda df, tag: plans.append(plan_of(df)) or real(df, tag))
+    plans.append(plan_of(hashlet.resolve_prefixes(h, p)))
+    assert sum(x.count("ReadSchema: struct<hash:string,cmd:string") for x in plans) == 1
+    stream = next(x for x in plans if "ReadSchema: struct<hash:string,cmd:string" in x)
+    assert "BroadcastHashJoin" in stream and "SortMergeJoin" not in stream

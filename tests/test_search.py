@@ -100,23 +100,54 @@ def test_batch_equals_single_queries(spark):
             assert sorted(got.get(str(i), [])) == sorted(want), (kws, d)
 
 
-def test_unrolled_and_array_forms_agree_around_the_limit(spark):
-    """63-66 terms, multi-byte trigrams included: both forms of rank and scan, same answers."""
+def test_rank_and_scan_of_many_terms(spark):
+    """One form for any number of terms, multi-byte trigrams included."""
     import cmdlens.operators.search as S
     words = [f"é{i:02d}ü" for i in range(70)]
-    df = spark.createDataFrame([(" ".join(words[i::7]),) for i in range(7)] + [("",), ("é",)], "cmd string")
+    texts = [" ".join(words[i::7]) for i in range(7)] + ["", "é", "é0", "xé01üx"]
+    df = spark.createDataFrame([(t,) for t in texts], "cmd string")
     grams = S.query_grams(words)
-    old = S.MAX_UNROLLED_TERMS
-    try:
-        for n in (63, 64, 65, 66):
-            got = []
-            for limit in (0, 1000):
-                S.MAX_UNROLLED_TERMS = limit
-                got.append(df.select("cmd", S.rank_column(F.col("cmd"), grams[:n]).alias("r"),
-                                     S.scan_column(F.col("cmd"), words[:n]).alias("s")).collect())
-            assert got[0] == got[1], n
-    finally:
-        S.MAX_UNROLLED_TERMS = old
+
+    def rank(t, gs):
+        b = t.encode()
+        return len({(b[i] << 16) | (b[i + 1] << 8) | b[i + 2] for i in range(len(b) - 2)} & set(gs))
+    for n in (1, 9, 10, 11, 66, len(grams)):
+        got = df.select("cmd", S.rank_column(F.col("cmd"), grams[:n]).alias("r"), S.scan_column(F.col("cmd"), words[:n]).alias("s")).collect()
+        assert got == [(t, rank(t, grams[:n]), any(w in t for w in words[:n])) for t in texts], n
+
+
+def test_found_keywords_against_brute_force(spark):
+    """Keywords of any length (also beyond a window), bytes that start in the middle of others, null and empty texts."""
+    import random
+    from cmdlens.functions.keywords import found_keywords, holds_any
+    r = random.Random(4)
+    alphabet = "abé日 \n"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(0, 120))) for _ in range(150)] + [None, "", "a"]
+    for least, most, count in ((1, 3, 4), (3, 6, 40), (1, 40, 300), (20, 40, 50), (17, 17, 1)):
+        # some keywords are cut from the texts, so that long ones are found
+        kws = [(t or "zz")[i:i + r.randrange(least, most + 1)] for t in r.choices(texts, k=count) for i in [r.randrange(0, 60)]]
+        kws += ["".join(r.choice(alphabet) for _ in range(r.randrange(least, most + 1))) for _ in range(count)] + ["", ""]
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+        got = df.select("i", found_keywords("t", kws).alias("f"), holds_any("t", kws).alias("h")).orderBy("i").collect()
+        for (i, f, h), t in zip(got, texts):
+            want = None if t is None else sorted({k for k in kws if k and k in t}, key=str.encode)
+            assert f == want and h == bool(want), (t, f, want)
+
+
+def test_find_limit_beyond_top_k(spark, monkeypatch):
+    """Both sides of the reach give the same hits, positions and order."""
+    import cmdlens.operators.search as S
+    h = make_history(spark, [(i, f"git cmd {i % 37} {'status' if i % 3 else ''}", "/a" if i % 2 else "/b", 1000 + i % 50) for i in range(200)])
+    for kw in (dict(keywords=["git", "status"]), dict(keywords=["gi"], reverse=True), dict(keywords=["status"], cwd="/a"),
+               dict(keywords=["git"], cwd="/none"), dict(keywords=["git"], squelch_patterns=["glob:*3*"])):
+        monkeypatch.setattr(S, "TOP_K_REACH", 100_000)
+        want = {n: find(h, limit=n, **kw).collect() for n in (4, 5, 6, 1000)}
+        for n in want:
+            monkeypatch.setattr(S, "TOP_K_REACH", 5)
+            large = find(h, limit=n, **kw)
+            assert large.collect() == want[n], (kw, n)
+        plan = large._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrderedAndProject" not in plan
 
 
 def test_cat_limit_beyond_top_k(spark, monkeypatch):
@@ -153,24 +184,15 @@ def test_phrase_order(spark):
     assert commands.filtered_history(h, "   ").count() == 0
 
 
-def test_long_queries_use_array_forms(spark):
-    import cmdlens.operators.search as S
+def test_long_queries(spark):
     words = [f"w{i}x" for i in range(80)]
     rows = [(i, f"echo {w} é{i}", "/a", i) for i, w in enumerate(words)]
     h = make_history(spark, rows)
-    long_kw = "".join(words)                      # > 64 distinct trigrams
-    want = {r.cmd: r.rank for r in find(h, ["echo", "é3"], limit=10).collect()}
+    long_kw = "".join(words)
     got_long = find(h, [long_kw], limit=10).collect()
     assert len(got_long) == 10 and all(r.rank > 0 for r in got_long)
-    many = find(h, words + ["zz"], limit=100).collect()   # > 64 keywords, all substring-found
+    many = find(h, words + ["zz"], limit=100).collect()
     assert len(many) == 80
-    old = S.MAX_UNROLLED_TERMS
-    try:
-        S.MAX_UNROLLED_TERMS = 0
-        again = {r.cmd: r.rank for r in find(h, ["echo", "é3"], limit=10).collect()}
-    finally:
-        S.MAX_UNROLLED_TERMS = old
-    assert again == want
 
 
 def test_keyword_queries_from_text(spark):
