@@ -58,11 +58,11 @@ def filtered_history(hist: DataFrame, phrase: str, cwd: str | None = None,
 
 def find(hist: DataFrame, keywords: list[str], limit: int | None = 5, cwd: str | None = None,
          source: str | None = "user", annotations: DataFrame | None = None,
-         squelch_patterns=None, reverse: bool = False) -> DataFrame:
+         squelch_patterns=None, reverse: bool = False, clamp: bool = False) -> DataFrame:
     """Ranked search (see ``operators.search.find``)."""
     return search.find(hist, keywords, limit=limit, cwd=cwd, source=source,
                        annotations=annotations, squelch_patterns=squelch_patterns,
-                       reverse=reverse)
+                       reverse=reverse, clamp=clamp)
 
 
 def cat(hist: DataFrame, phrase: str | None = None, limit: int = 0, cwd: str | None = None,

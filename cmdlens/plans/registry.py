@@ -15,7 +15,7 @@ from ..functions.category import category
 from ..functions.hashing import command_hash
 from ..functions.text import program_name
 from ..functions.timefmt import relative_time
-from ..operators import hashlet, index, ingest, maintenance, stats
+from ..operators import hashlet, index, ingest, maintenance, search, stats
 from ..operators.phrase import phrase_match
 from ..operators.filters import scope
 from ..operators.squelch import DEFAULT_SQUELCH, squelch
@@ -811,11 +811,25 @@ def split_keywords_q(spark, sf):
     return documents(spark, sf).select("doc_id", split_keywords("text").alias("keywords"))
 
 
-@register("find_blank", H() + """
-SELECT hash, cmd, cwd, ts_ms, 0 AS annotation_type, source, FALSE AS is_global, 0 AS rank, 0 AS pos
-FROM history WHERE FALSE""")
+@register("find_blank", H("""
+queries AS (
+  SELECT DISTINCT CAST(user_id AS VARCHAR) || ':' || event_type AS qid, event_type, user_id % 2 = 0 AS blank FROM events)""",
+                          "\nidx AS (" + O.trigram_rows("history", "hash", "cmd") + ")", """
+wanted AS (SELECT event_type, list(DISTINCT ngram) AS g FROM (""" + O.trigram_rows(
+    "(SELECT DISTINCT event_type FROM events)", "event_type", "event_type") + """) GROUP BY event_type)""", """
+matching AS (
+  SELECT w.event_type, count(DISTINCT i.hash) AS n FROM wanted w JOIN idx i ON list_contains(w.g, i.ngram)
+  JOIN history h ON h.hash = i.hash AND h.source = '' GROUP BY w.event_type)""") + """
+SELECT qid, CASE WHEN blank THEN 0 ELSE least(5, coalesce(n, 0)) END AS hits FROM queries LEFT JOIN matching USING (event_type)""")
 def find_blank(spark, sf):
-    return commands.find(history(spark, sf), ["", ""])
+    """Queries of which every other user's holds blank keywords only: these find nothing, the others their hits."""
+    ev = events(spark, sf)
+    q = fixtures.search_queries(ev).select(
+        "qid", F.when(F.element_at("keywords", 2).cast("long") % 2 == 0, F.array(F.lit(""), F.lit("")))
+        .otherwise(F.array(F.element_at("keywords", 1), F.lit(""))).alias("keywords"), F.lit("").alias("cwd"))
+    q = materialize(q, "blank-queries")
+    hits = commands.batch_search(stored_history(spark, sf), q).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    return q.join(hits, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("hits"))
 
 
 @register("find_default_limit", O.find_sql(["git", "status"], 5))
@@ -824,6 +838,75 @@ def find_default_limit(spark, sf):
     return commands.find(history(spark, sf), ["git", "status"], limit=-3)
 
 
+# the configured limit is kept within 5 and 20
+for _name, _limit, _clamped in (("find_limit_clamped", 50, 20), ("find_limit_raised", 2, 5)):
+    def _mk_clamped(limit):
+        return lambda spark, sf: commands.find(history(spark, sf), ["git", "status"], limit=limit, clamp=True)
+    register(_name, O.find_sql(["git", "status"], _clamped))(_mk_clamped(_limit))
+
+
+@register("find_limit_large", O.find_sql(["git", "view"], 5_000_000))
+def find_limit_large(spark, sf):
+    """A limit beyond a top-k's reach: every hit of the best tier, with its position."""
+    return commands.find(history(spark, sf), ["git", "view"], limit=5_000_000)
+
+
+MANY_KEYWORDS = 5_000
+_KEYWORD_WORDS = "SELECT DISTINCT unnest(string_split_regex(text, '[ \n]+')) AS w FROM documents"
+
+
+@register("find_many_keywords", f"""
+WITH words AS ({_KEYWORD_WORDS}),
+kws AS (SELECT list(w) AS k FROM (SELECT w FROM words WHERE strlen(w) >= 4 ORDER BY md5(w), w LIMIT {MANY_KEYWORDS})),
+found AS (SELECT doc_id, list_sort(list_filter(k, lambda w: contains(text, w))) AS f FROM documents, kws)
+SELECT doc_id, CAST(len(f) AS INTEGER) AS n_found, md5(array_to_string(f, chr(10))) AS found_md5 FROM found WHERE len(f) > 0""")
+def find_many_keywords(spark, sf):
+    """5,000 words of the documents looked for in every document, in one pass over each text."""
+    d = documents(spark, sf)
+    words = d.select(F.explode(F.split("text", "[ \n]+")).alias("w")).filter(F.octet_length("w") >= 4).distinct()
+    # the query's keywords: a list that a user would type or load
+    kws = [r.w for r in words.orderBy(F.md5("w"), "w").limit(MANY_KEYWORDS).collect()]
+    hits = search.keyword_hits(d.select("doc_id", "text"), kws, "text")
+    return hits.select("doc_id", F.size("found").alias("n_found"), F.md5(F.array_join("found", "\n")).alias("found_md5"))
+
+
+# --------------------------------------------------------------------------- statistics in a zone with daylight saving
+# The log's month stretched over fourteen, so that both changes of the clock fall into it.
+STRETCH, ORIGIN_MS, ZONE = 14, 1_704_067_200_000, "Europe/Berlin"
+_LAST_SUNDAY = "(make_date(y, {m}, 31) - CAST(dayofweek(make_date(y, {m}, 31)) AS INTEGER) + TIME '01:00:00')"
+ZONED = f"""
+utc AS (SELECT make_timestamp((({ORIGIN_MS} + (ts_ms - {ORIGIN_MS}) * {STRETCH})) * 1000) AS t FROM base),
+zoned AS (
+  SELECT t + CASE WHEN t >= {_LAST_SUNDAY.format(m=3)} AND t < {_LAST_SUNDAY.format(m=10)} THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END AS t
+  FROM (SELECT t, CAST(year(t) AS INTEGER) AS y FROM utc))"""
+
+
+def _stretched_base(spark, sf):
+    return _stats_base(spark, sf).withColumn("ts_ms", F.lit(ORIGIN_MS) + (F.col("ts_ms") - F.lit(ORIGIN_MS)) * STRETCH)
+
+
+@register("stats_local_zone", H(STATS_BASE, ZONED) + """
+SELECT 'hour' AS dimension, CAST(h.hour AS VARCHAR) AS label, coalesce(c.count, 0) AS count
+FROM (SELECT unnest(generate_series(0, 23)) AS hour) h
+LEFT JOIN (SELECT hour(t) AS hour, count(*) AS count FROM zoned GROUP BY 1) c USING (hour)
+UNION ALL
+SELECT 'day', strftime(t, '%Y-%m-%d'), count(*) FROM zoned GROUP BY 2""")
+def stats_local_zone(spark, sf):
+    """Hours and days in a zone whose clock changes twice within the log."""
+    base = _stretched_base(spark, sf)
+    hours = stats.hourly_distribution(base, tz=ZONE).select(F.lit("hour").alias("dimension"), F.col("hour").cast("string").alias("label"), "count")
+    days = stats.daily_distribution(base, tz=ZONE).select(F.lit("day").alias("dimension"), F.col("day").alias("label"), "count")
+    return hours.unionByName(days)
+
+
+_HEATMAP_LOCAL = ORACLE["activity_heatmap"].replace("CAST(make_timestamp(ts_ms * 1000) AS DATE)", "CAST(t AS DATE)").replace("FROM base", "FROM zoned")
+
+
+@register("heatmap_local_zone", _HEATMAP_LOCAL.replace(STATS_BASE, STATS_BASE + "," + ZONED))
+def heatmap_local_zone(spark, sf):
+    return stats.activity_heatmap(_stretched_base(spark, sf), tz=ZONE)
+
+
 @register("squelch_user_list", _squelch_sql(O.noise_sql(DEFAULT_SQUELCH + ["make build", "fzf"], [SQ_GLOB_RE2[0]])))
 def squelch_user_list(spark, sf):
     """The built-in list and the user's patterns, concatenated."""
