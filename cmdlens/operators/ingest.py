@@ -91,8 +91,9 @@ def merge_history(current: DataFrame, updates: DataFrame, prior_meta: DataFrame
 
     Where both inputs carry order columns (``ingest(..., with_order=True)``), each
     tag is ordered by when it was set and batches may overlap in time; they are
-    kept in the result. Without them a tag counts as set at its row's ``ts_ms``
-    and ``updates`` must hold later events only.
+    kept in the result. Without them a tag counts as set at its row's ``ts_ms``,
+    ``updates`` must hold later events only, and a command whose update is older
+    than its stored row is refused with an error when the result is computed.
     """
     ordered = "row_at" in current.columns and "row_at" in updates.columns
     cols = ["hash", "cmd", "cwd", "ts_ms", *META_KEYS]
@@ -106,7 +107,12 @@ def merge_history(current: DataFrame, updates: DataFrame, prior_meta: DataFrame
     else:
         both = current.select(*cols).withColumn("event_id", F.lit(0).cast("long")).unionByName(
             updates.select(*cols).withColumn("event_id", F.lit(1).cast("long")))
-        merged = both.groupBy("hash").agg(F.any_value("cmd").alias("cmd"), *latest_aggregates()).select(*cols)
+        stored, update = (F.when(F.col("event_id") == i, F.col("ts_ms")) for i in (0, 1))
+        late = F.assert_true(F.coalesce(F.max(stored) <= F.min(update), F.lit(True)),
+                             "late update: merge batches made with with_order=True").alias("_late")
+        merged = both.groupBy("hash").agg(F.any_value("cmd").alias("cmd"), *latest_aggregates(), late)
+        # assert_true gives null where it holds; the filter keeps it in the plan
+        merged = merged.filter(F.col("_late").isNull()).select(*cols)
     return merged if prior_meta is None else apply_prior_meta(merged, prior_meta)
 
 

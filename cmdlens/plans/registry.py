@@ -966,3 +966,6 @@ def squelch_regex_dialect(spark, sf):
     from ..functions.patterns import re2_to_java
     return documents(spark, sf).select(
         "doc_id", *[F.col("text").rlike(re2_to_java(p)).alias(f"m{i}") for i, p in enumerate(DIALECT)])
+
+
+from . import registry_stores  # noqa: E402,F401  (registers its queries)
