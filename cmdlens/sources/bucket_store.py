@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.ingest import ingest
 from ..operators.util import materialize
@@ -116,7 +117,9 @@ class BucketStore:
     def _read(self, name: str, schema: str, buckets: list[int] | None) -> DataFrame:
         fs, p = self._fs(name)
         if not fs.exists(p):
-            return self.spark.createDataFrame([], schema)
+            # a false filter is seen by the optimiser: joins with the empty table vanish from the plan
+            empty = T.StructType.fromDDL(schema)
+            return self.spark.range(1).filter(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in empty])
         df = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
         return df if buckets is None else df.filter(F.col("bucket").isin(buckets))
 
