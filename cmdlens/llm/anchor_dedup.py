@@ -29,7 +29,7 @@ WINDOW = 20
 PERIOD = 13
 COVER = (0, 1, 3, 9)          # every difference modulo 13 occurs between two of these
 FILTER_BITS = 1 << 24         # of the membership filters sent to every task
-NO_ID = -(1 << 63)            # a null doc_id comes before all others
+NO_ID = -(1 << 63)            # stands for a null doc_id, which comes before all others; kh tells it from the number
 
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -118,10 +118,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int = 24 << 20) -> Iterato
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """(doc, kh, text): sort id and, where doc_ids are not unique, a hash of the row."""
+    """(doc, kh, text): sort id and, where doc_ids are not unique, a hash of the row. The hash is
+    negative for a null doc_id and not for the smallest long, so that null comes first."""
     some = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     repeated = some.filter((F.col("n") > 1) | F.col("doc_id").isNull() | (F.col("doc_id") == NO_ID)).limit(1).count() > 0
     kh = F.xxhash64(text_key(F.col("doc_id"), F.col("text"))) if repeated else F.lit(0).cast("bigint")
+    kh = (F.when(F.col("doc_id").isNull(), kh.bitwiseOR(F.lit(NO_ID)))
+          .when(F.col("doc_id") == NO_ID, kh.bitwiseAND(F.lit((1 << 63) - 1))).otherwise(kh))
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), kh.alias("kh"), "text")
 
 
@@ -331,7 +334,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     schema = "doc long, kh long, n_words long, n_removed long, kept_text string"
     out = (named.select("*", _slot()).mapInArrow(whole, schema)
            .union(_texts(named, member).join(_per_text(later), ["doc", "kh"], "left").mapInArrow(cut, schema)))
-    return out.withColumn("doc_id", F.when(F.col("doc") != NO_ID, F.col("doc"))).select(
+    return out.withColumn("doc_id", F.when((F.col("doc") != NO_ID) | (F.col("kh") >= 0), F.col("doc"))).select(
         "doc_id", "n_words", "n_removed", "kept_text", "kh")
 
 

@@ -20,14 +20,14 @@ MIN_CHUNK, MAX_CHUNK = 512, 4096
 
 
 def _cut_pattern() -> str:
-    """Lazy chunk up to a cut: three characters whose code points are 1, 4 and 2 modulo 8.
+    """Lazy chunk up to a cut: its last three characters have code points 1, 4 and 2 modulo 8.
 
     Classes cover U+0021..U+024F; text of other scripts is cut at ``MAX_CHUNK``
     characters, which depends on content from the last cut on.
     """
     def chars(residue):
         return "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x21, 0x250) if c % 8 == residue) + "]"
-    return f"(?s).{{{MIN_CHUNK},{MAX_CHUNK}}}?(?:(?<={chars(1)}{chars(4)}{chars(2)})|\\z)|.{{{MAX_CHUNK}}}|.+"
+    return f"(?s).{{{MIN_CHUNK - 3},{MAX_CHUNK - 3}}}?{chars(1)}{chars(4)}{chars(2)}|.{{{MAX_CHUNK}}}|.+"
 
 
 CUT = _cut_pattern()

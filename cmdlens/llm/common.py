@@ -56,6 +56,25 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def per_worker(key: tuple, make):
+    """One object per Python worker process and key: a memo filled by one task serves the next."""
+    import sys
+    import types
+
+    box = sys.modules.setdefault("_cmdlens_worker", types.ModuleType("_cmdlens_worker"))
+    if key not in box.__dict__:
+        box.__dict__[key] = make()
+    return box.__dict__[key]
+
+
 def text_key(doc_id: Column, text: Column) -> Column:
     """Non-null string naming a row by its ``doc_id`` and text (128 hash bits and the length)."""
     return F.concat_ws(
@@ -67,12 +86,13 @@ def text_key(doc_id: Column, text: Column) -> Column:
 def keep_rows(docs: DataFrame, keepers: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose text key is in ``keepers._key``; of identical rows one stays.
 
-    One exchange of the documents: the join and the removal of repeats share it.
+    One exchange of the documents: the join and the removal of repeats share it. All columns
+    stay, whatever they are called.
     """
-    keyed = docs.withColumn("_row_key", text_key(F.col("doc_id"), F.col("text")))
-    keys = keepers.select(F.col("_key").alias("_row_key")).distinct()
-    return (keyed.join(keys, "_row_key", "left_semi")
-            .dropDuplicates(["_row_key"]).drop("_row_key"))
+    name = free_name(docs, "_row_key")
+    keyed = docs.withColumn(name, text_key(F.col("doc_id"), F.col("text")))
+    keys = keepers.select(F.col("_key").alias(name)).distinct()
+    return keyed.join(keys, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def bucket_count(rows: int, per_bucket: int) -> int:

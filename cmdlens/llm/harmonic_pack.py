@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, bucket_count, stored
+from .common import bucket_count, per_worker, stored
 
 CAPACITY = 1024
 CLASSES = 32
@@ -29,7 +30,7 @@ PER_WORKER = 20_000           # pieces that one worker packs by itself (half a s
 MEMO_WORDS = 600_000          # cached words of a tokenising worker
 END_ID = 0
 
-_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, _order string")
+_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, _order string, _own long")
 
 
 def cut_lengths(n: int, capacity: int = CAPACITY, classes: int = CLASSES, max_waste: float = MAX_WASTE) -> list[int]:
@@ -139,9 +140,12 @@ def _tokenizer_path(path: str | None) -> str:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenised and cut documents: doc_id, start, length, ids_crc32, doc_tokens, class, ids hash order."""
+    """Tokenised and cut documents: doc_id, start, length, ids_crc32, doc_tokens, class, ids hash order,
+    and the number of a piece's own sequence if no second piece of its length fits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _Tokens(_tokenizer_path(tokenizer_path))
+        path = _tokenizer_path(tokenizer_path)
+        tokens = per_worker(("tokens", path), lambda: _Tokens(path))
+        sequence = TaskContext.get().partitionId() << 36   # of the full sequences, which take one piece each
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             doc_ids, keys = batch.column(0), batch.column(2).to_pylist()
@@ -151,15 +155,17 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
                 n, start = len(ids) // 4, 0
                 for length in cut_lengths(n, capacity):
                     crc = zlib.crc32(ids[4 * start:4 * (start + length)])
-                    rows.append((d, start, length, crc, n, min(CLASSES, capacity // length), key))
+                    cls = min(CLASSES, capacity // length)
+                    rows.append((d, start, length, crc, n, cls, key, sequence if cls == 1 else None))
+                    sequence += cls == 1
                     start += length
             if not rows:
                 continue
-            d, start, length, crc, n, cls, key = (list(c) for c in zip(*rows))
+            d, start, length, crc, n, cls, key, own = (list(c) for c in zip(*rows))
             yield pa.RecordBatch.from_arrays(
                 [doc_ids.take(pa.array(d, pa.int32())).cast(pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                 pa.array(crc, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int32()), pa.array(key, pa.string())],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "_order"])
+                 pa.array(crc, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int32()), pa.array(key, pa.string()), pa.array(own, pa.int64())],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "_order", "_own"])
 
     small = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text",
                         F.hex(F.xxhash64("doc_id", "text")).alias("_order"))
@@ -176,8 +182,11 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     a hash of the row, so no class or document makes one task larger.
     """
     p = stored(pieces(docs, tokenizer_path, capacity), "pieces")
-    n_buckets = bucket_count(p.count(), per_worker)
-    p = p.withColumn("_bucket", F.pmod(F.xxhash64("_order", "start"), F.lit(n_buckets)))
+    n_buckets = bucket_count(p.filter("class > 1").count(), per_worker)
+    # a piece that fills its sequence alone needs no neighbours
+    alone = p.filter("class = 1").select("doc_id", "start", "length", "ids_crc32", "doc_tokens",
+                                         (F.col("_own") * 2 + 1).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), "class")
+    p = p.filter("class > 1").withColumn("_bucket", F.pmod(F.xxhash64("_order", "start"), F.lit(n_buckets)))
     order = ["_order", "start", "ids_crc32"]
     in_class = Window.partitionBy("_bucket", "class").orderBy(*order)
     # fixed count: the i-th piece of class k goes to sequence i // k
@@ -189,7 +198,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     p = p.withColumn("_bin", F.when(F.col("class") < CLASSES, F.floor(rank / F.col("class"))).otherwise(fill))
     # bin numbers stay below 2^31 per bucket and class
     sequence = (F.col("_bucket") * (CLASSES + 1) + F.col("class")) * F.lit(1 << 31).cast("bigint") + F.col("_bin")
-    p = p.withColumn("sequence_id", sequence)
+    p = p.withColumn("sequence_id", sequence * 2)
     before = Window.partitionBy("_bucket", "class", "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return p.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
-                    F.coalesce(F.sum("length").over(before), F.lit(0)).cast("bigint").alias("offset"), "class")
+    return alone.unionByName(p.select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
+        F.coalesce(F.sum("length").over(before), F.lit(0)).cast("bigint").alias("offset"), "class"))

@@ -11,18 +11,20 @@ a boundary symbol. Whole texts count; letters are compared in lower case.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 DIMENSIONS = 1024
 BLOCK_CHARS = 1 << 19         # characters counted together
 BLOCK_TEXTS = 512             # texts counted together: bounds the count matrix
 BIND = 4096                   # trigrams bound at a time
-MAX_LANGUAGES = 2000          # prototypes sent to every task: 2000 x 1024 x 4 bytes at most
+BLOCK_LANGUAGES = 2000        # prototypes scored at once: 2000 x 1024 x 8 bytes in a task
 UNKNOWN = "und"
 
 
@@ -106,8 +108,9 @@ def _text_blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def learn(labelled: DataFrame, dims: int = DIMENSIONS) -> dict[str, np.ndarray]:
-    """Prototype of each language of ``labelled(text, lang)``; null texts add nothing.
+def learn(labelled: DataFrame, dims: int = DIMENSIONS, block: int = BLOCK_LANGUAGES) -> Iterator[dict[str, np.ndarray]]:
+    """Prototype of each language of ``labelled(text, lang)``, in order of the names and in blocks of
+    bounded size; null texts add nothing.
 
     Each task bundles its texts by language; the sums of the tasks are added by
     (language, dimension) with partial sums before the exchange.
@@ -127,7 +130,7 @@ def learn(labelled: DataFrame, dims: int = DIMENSIONS) -> dict[str, np.ndarray]:
                 group = np.array([names.index(x) for x in langs[a:b]])
                 for name, v in zip(names, bundle(texts[a:b], group, len(names), dims)):
                     sums[name] = sums[name] + v if name in sums else v
-            if len(sums) > MAX_LANGUAGES:
+            if len(sums) > block:
                 yield flush()
                 sums = {}
         if sums:
@@ -136,46 +139,59 @@ def learn(labelled: DataFrame, dims: int = DIMENSIONS) -> dict[str, np.ndarray]:
     rows = labelled.filter("lang is not null and text is not null").select("text", "lang").mapInArrow(
         run, "lang string, vec array<double>")
     total = rows.select("lang", F.posexplode("vec").alias("at", "v")).groupBy("lang", "at").agg(F.sum("v").alias("v"))
-    packed = total.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("vec")).limit(MAX_LANGUAGES + 1).collect()
-    if len(packed) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: the prototypes would not fit every task")
-    # a language whose texts hold no letter has no direction to compare with
-    out = {r["lang"]: np.array([x["v"] for x in r["vec"]]) for r in packed}
-    return {k: v for k, v in sorted(out.items()) if np.any(v)}
-
-
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dims: int = DIMENSIONS) -> DataFrame:
+    packed = stored(total.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("vec")), "language-prototypes")
+    # the driver holds one block at a time; a language whose texts hold no letter has no direction to compare with
+    held: dict[str, np.ndarray] = {}
+    for r in packed.orderBy("lang").toLocalIterator():
+        v = np.array([x["v"] for x in r["vec"]])
+        if np.any(v):
+            held[r["lang"]] = v
+        if len(held) >= block:
+            yield held
+            held = {}
+    if held:
+        yield held
+
+
+def predict(docs: DataFrame, prototypes: Iterable[dict[str, np.ndarray]], dims: int = DIMENSIONS) -> DataFrame:
     """``docs(doc_id, text, ...)`` without its text, plus lang_pred and score (the cosine, at least 0).
 
+    ``prototypes``: blocks in order of the names. A block after the first is one more pass over the
+    texts in the same task, which keeps the better of the two best; any number of languages is scored.
     Null texts and texts without a letter get ``und`` and score 0, as all do when
     nothing was learned. Equal cosines go to the first name in order.
     """
-    names = list(prototypes)
-    matrix = np.stack([prototypes[n] / np.linalg.norm(prototypes[n]) for n in names]) if names else np.zeros((0, dims))
+    from pyspark.sql.types import DoubleType, StringType, StructType
+
     others = [c for c in docs.columns if c != "text"]
+    schema = StructType([docs.schema[c] for c in [*others, "text"]]).add("lang_pred", StringType()).add("score", DoubleType())
+    rows = docs.select(*others, "text", F.lit(UNKNOWN).alias("lang_pred"), F.lit(-2.0).alias("score"))
+    for block in prototypes:
+        rows = rows.mapInArrow(_better(block, len(others), dims), schema)
+    return rows.select(*others, "lang_pred", F.greatest(F.least("score", F.lit(1.0)), F.lit(0.0)).alias("score"))
+
+
+def _better(prototypes: dict[str, np.ndarray], at: int, dims: int):
+    """Rows whose language and cosine are replaced where a prototype of the block has a higher one."""
+    names = list(prototypes)
+    matrix = np.stack([v / np.linalg.norm(v) for v in prototypes.values()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(others)).to_pylist()]
-            lang = [UNKNOWN] * len(texts)
-            score = np.zeros(len(texts))
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            lang, score = batch.column(at + 1).to_pylist(), batch.column(at + 2).to_numpy().copy()
             for a, b in _text_blocks(texts):
-                if not names:
-                    break
                 v = bundle(texts[a:b], np.arange(b - a), b - a, dims)
                 norm = np.linalg.norm(v, axis=1)
                 cosine = v @ matrix.T / np.maximum(norm, 1e-300)[:, None]
                 best = cosine.argmax(1)
                 for i in np.flatnonzero(norm > 0).tolist():
-                    lang[a + i] = names[best[i]]
-                    score[a + i] = min(1.0, max(0.0, float(cosine[i, best[i]])))
+                    c = float(cosine[i, best[i]])
+                    if c > score[a + i]:
+                        lang[a + i], score[a + i] = names[best[i]], c
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(others)], pa.array(lang, pa.string()), pa.array(score)], [*others, "lang_pred", "score"])
-
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    schema = StructType([docs.schema[c] for c in others]).add("lang_pred", StringType()).add("score", DoubleType())
-    return docs.select(*others, "text").mapInArrow(run, schema)
+                [*batch.columns[:at + 1], pa.array(lang, pa.string()), pa.array(score)], batch.schema.names)
+    return run
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:

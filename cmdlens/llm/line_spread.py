@@ -57,16 +57,26 @@ def remove_boilerplate(docs: DataFrame, site_col: str = "source", min_sites: int
 
     All occurrences of a boilerplate line go; the other lines, blank ones
     included, stay as written, joined by line feeds. A null text counts as empty:
-    one line, nothing removed. Repeated rows are treated alike.
+    one line, nothing removed. Repeated rows are treated alike. The work on a text is linear in its
+    lines; a text and its lines are held in memory together.
     """
     bad = boilerplate(docs, site_col, min_sites)
     key = text_key(F.col("doc_id"), F.col("text"))
-    found = (docs.select(key.alias("_key"), F.explode(_distinct_hashes(F.col("text"))).alias("h"))
-             .join(bad, "h").groupBy("_key").agg(F.collect_set("h").alias("bad")))
+    numbered = docs.select(key.alias("_key"), F.posexplode(F.transform(_lines(F.col("text")), _trimmed)).alias("at", "line"))
+    found = (numbered.filter("line <> ''").select("_key", "at", F.unhex(F.md5("line")).alias("h"))
+             .join(bad, "h").groupBy("_key").agg(F.array_sort(F.collect_set("at")).alias("bad")))
     rows = docs.select(key.alias("_key"), "doc_id", "text").join(found, "_key", "left")
-    lines = _lines(F.col("text"))
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("bad"), line_hash(x)) | (_trimmed(x) == ""))
-    out = rows.select("doc_id", F.size(lines).cast("bigint").alias("n_lines"),
-                      F.when(F.col("bad").isNull(), lines).otherwise(kept).alias("kept"))
-    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_removed"),
-                      F.array_join("kept", "\n").alias("kept_text"))
+    out = rows.select("doc_id", _lines(F.col("text")).alias("lines"), "bad")
+    return out.select("doc_id", F.size("lines").cast("bigint").alias("n_lines"),
+                      F.coalesce(F.size("bad"), F.lit(0)).cast("bigint").alias("n_removed"),
+                      F.when(F.col("bad").isNull(), F.array_join("lines", "\n"))
+                      .otherwise(F.array_join(_without(F.col("lines"), F.col("bad")), "\n")).alias("kept_text"))
+
+
+def _without(items: Column, places: Column) -> Column:
+    """``items`` without those at ``places`` (sorted, from 0): the stretches between them, joined."""
+    def stretch(i):
+        start = F.when(i == 0, F.lit(0)).otherwise(F.get(places, i - 1) + 1)
+        end = F.when(i == F.size(places), F.size(items)).otherwise(F.get(places, i))
+        return F.slice(items, start + 1, end - start)
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(places)), stretch))

@@ -19,12 +19,15 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import per_worker
+
 BLANK = "▁"
 MEMO_SEGMENTS = 1_000_000     # some 150 MB of a worker
 MEMO_PAIRS = 400_000
@@ -273,8 +276,8 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, with_ids: b
     length are encoded whole: memory grows with one text and the bounded memos.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with open(_model_path(model_path), "rb") as f:
-            machine = PieceTransducer(f.read())
+        path = _model_path(model_path)
+        machine = per_worker(("piece-transducer", path), lambda: PieceTransducer(Path(path).read_bytes()))
         is_byte = np.array([t == BYTE for t in machine.types])
         for batch in batches:
             ids, decoded, n_bytes = [], [], []

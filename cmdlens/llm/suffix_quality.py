@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
+from .common import free_name
+
 VERDICT = StructType([StructField(n, LongType(), False) for n in
                       ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
                      + [StructField("base_failed", BooleanType(), False), StructField("covered_fraction", DoubleType(), False),
@@ -252,6 +254,7 @@ def assess(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Rows of ``docs``, all columns, whose text is kept."""
-    v = docs.withColumn("_verdict", quality_verdict(F.col("text"), limits))
-    return v.filter("_verdict.kept").drop("_verdict")
+    """Rows of ``docs``, all columns (whatever they are called), whose text is kept."""
+    name = free_name(docs, "_verdict")
+    v = docs.withColumn(name, quality_verdict(F.col("text"), limits))
+    return v.filter(F.col(name)["kept"]).drop(name)
