@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cmdlens.llm import chunk_dedup, feistel_pii, harmonic_pack, simhash_dedup, suffix_quality
-from cmdlens.llm.common import documents, stored, tuned
+from cmdlens.llm.common import documents, free_name, stored, tuned
 from cmdlens.llm.queries import PSEUDONYM_KEY
 
 
@@ -31,7 +31,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in ``text`` replaced by format-preserving pseudonyms."""
-    return feistel_pii.pseudonymise(_tuned(spark, docs), PSEUDONYM_KEY, found_col="_pseudonyms").drop("_pseudonyms")
+    found = free_name(docs, "_pseudonyms")
+    return feistel_pii.pseudonymise(_tuned(spark, docs), PSEUDONYM_KEY, found_col=found).drop(found)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
