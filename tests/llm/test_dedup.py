@@ -30,7 +30,7 @@ def test_exact_dedup_awkward_rows(spark):
         assert sorted(r.group_size for r in out) == sorted(len(v) for v in want.values() for _ in v)
         keep = {min(v, key=lambda x: (x[0], x[1], x[2] or 0))[2] for v in want.values()}
         assert {r.keep_id for r in out} == keep
-    assert chunk_dedup.has_collision(df, 1) and not chunk_dedup.has_collision(df)
+    assert chunk_dedup.has_collision(chunk_dedup.cut_texts(df, 1)) and not chunk_dedup.has_collision(chunk_dedup.cut_texts(df))
     kept = chunk_dedup.drop_duplicates(df)
     assert kept.columns == df.columns and kept.count() == len(groups(rows))
     assert chunk_dedup.deduplicate(frame(spark, [])).count() == 0
