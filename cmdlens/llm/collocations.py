@@ -46,6 +46,7 @@ BITS = 21              # three word numbers fit one 63-bit key
 BLOCK = 1 << BITS      # words counted together by a task
 SLICE = 4 << 20        # bytes of text split into words at once
 PER_PARTITION = 2_000_000   # rows of a stream's partition, tokens of a range
+WORDS_PER_PARTITION = 400_000   # rows of the vocabulary's merge
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 # A-Z to a-z; any break to one sign, which no word holds
@@ -395,7 +396,7 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, held_share
     size = blocks.filter("word is not null").groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     totals = stored(size, "language-words")
     rows = totals.agg(F.sum("rows")).first()[0] or 0
-    words = stored(vocabulary(blocks, min_count, bucket_count(rows, per_partition)), "phrase-vocabulary")
+    words = stored(vocabulary(blocks, min_count, bucket_count(rows, min(per_partition, WORDS_PER_PARTITION))), "phrase-vocabulary")
     singles = words.select(F.col("number").alias("k1"), F.lit(0).cast("bigint").alias("k2"), F.lit(0).cast("bigint").alias("k3"), "f")
     phrases = merged_phrases(phrase_runs(blocks, words, per_partition), min_count)
     streams = stored(singles.unionByName(phrases), "phrase-counts")
