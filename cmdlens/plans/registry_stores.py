@@ -78,3 +78,15 @@ def stream_index_segments(spark, sf):
     idx = SegmentedIndex(spark, checkpoint_path(spark, "segments"))
     start_segments(stream, idx, state_partitions=spark.sparkContext.defaultParallelism).awaitTermination()
     return idx.read()
+
+
+@register("stream_upserts", ORACLE["ingest_latest"])
+def stream_upserts(spark, sf):
+    """Twelve micro-batches, commands returning in many of them, without streaming state; read with open epochs left."""
+    path = checkpoint_path(spark, "event-files")
+    ev = fixtures.command_events(events(spark, sf))
+    ev.repartition(12, "event_id").write.parquet(path)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    store = BucketStore(spark, checkpoint_path(spark, "bucket-store"), buckets=16)
+    streaming.start_upserts(stream, store, fold_every=5).awaitTermination()
+    return store.history().select(*HISTORY_COLUMNS)

@@ -9,6 +9,10 @@ deleted hashes as tombstones beside the table; readers leave the rows out, and
 its tags alone (without command, directory or time), so a command seen again gets
 its old tags back.
 
+Small batches, as a stream brings them, need not rewrite anything: :meth:`BucketStore.append`
+keeps a batch as an *open epoch* beside the table, readers merge the open epochs with
+the rows, and :meth:`BucketStore.fold` upserts them together.
+
 Every write carries an ``epoch``, a number that grows with each (a batch id). A
 tombstone deletes rows of earlier epochs only, so a command seen again after its
 prune is visible at once, and a write that is repeated after a failure changes
@@ -24,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ingest import ingest
+from ..operators.ingest import ingest, merge_history
 from ..operators.util import materialize
 from ..schema import META_KEYS
 
@@ -35,7 +39,8 @@ _MARKS = ["row_at", *[f"{k}_at" for k in META_KEYS]]
 
 
 class BucketStore:
-    """``path/rows/bucket=<n>`` and ``path/tombstones/bucket=<n>``; ``buckets`` is fixed for the life of a store."""
+    """``path/rows/bucket=<n>``, ``path/tombstones/bucket=<n>`` and ``path/open/epoch=<n>``; ``buckets`` is
+    fixed for the life of a store."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
@@ -43,9 +48,12 @@ class BucketStore:
     # ---------------------------------------------------------------- reading
     def rows(self, buckets: list[int] | None = None) -> DataFrame:
         """All stored rows (pruned ones too) of some buckets; a list of buckets prunes partitions."""
-        schema = ("hash string, cmd string, cwd string, ts_ms long, " + ", ".join(f"{k} string" for k in META_KEYS) + ", "
-                  + ", ".join(f"{m} {_AT}" for m in _MARKS) + ", epoch long, bucket int")
-        return self._read("rows", schema, buckets)
+        return self._read("rows", self._row_schema(), buckets)
+
+    @staticmethod
+    def _row_schema(with_epoch: bool = True) -> str:
+        return ("hash string, cmd string, cwd string, ts_ms long, " + ", ".join(f"{k} string" for k in META_KEYS) + ", "
+                + ", ".join(f"{m} {_AT}" for m in _MARKS) + (", epoch long, bucket int" if with_epoch else ""))
 
     def tombstones(self, buckets: list[int] | None = None) -> DataFrame:
         """The latest tombstone of each hash: hash, gone_at (epoch), bucket."""
@@ -53,8 +61,27 @@ class BucketStore:
         return t.groupBy("hash", "bucket").agg(F.max("epoch").alias("gone_at"))
 
     def history(self) -> DataFrame:
-        """The visible rows, one per command."""
-        return self._seen(self.rows(), self.tombstones()).filter(~F.col("_gone")).select(*_COLUMNS)
+        """The visible rows, one per command: the table merged with the open epochs."""
+        seen = self._seen(self.rows(), self.tombstones())
+        epochs = self.open_epochs()
+        if not epochs:
+            return seen.filter(~F.col("_gone")).select(*_COLUMNS)
+        batch = self._opened(epochs)
+        known = seen.select("hash").join(batch.select("hash"), "hash", "left_semi")
+        return self._merged(seen, batch, known, epochs[-1]).filter(F.col("cmd").isNotNull()).select(*_COLUMNS)
+
+    def open_epochs(self) -> list[int]:
+        fs, p = self._fs("open")
+        if not fs.exists(p):
+            return []
+        names = [x.getPath().getName() for x in fs.listStatus(p) if fs.exists(self._fs(f"open/{x.getPath().getName()}/_SUCCESS")[1])]
+        return sorted(int(n.split("=")[1]) for n in names)
+
+    def _opened(self, epochs: list[int]) -> DataFrame:
+        """The open epochs' rows as one batch: one row per command, tags by when they were set."""
+        parts = self.spark.read.schema(self._row_schema(with_epoch=False)).parquet(*[f"{self.path}/open/epoch={e}" for e in epochs])
+        none = parts.limit(0)
+        return self._bucketed(merge_history(none, parts))
 
     def live_index(self, index: DataFrame) -> DataFrame:
         """Index rows (.., hash) of commands that are not pruned. Only tombstones meet the index: the
@@ -66,21 +93,40 @@ class BucketStore:
     # ---------------------------------------------------------------- writing
     def upsert(self, events: DataFrame, epoch: int) -> list[int]:
         """Merge a batch of events; returns the buckets that were rewritten."""
-        batch = materialize(self._bucketed(ingest(events, with_order=True)), "upsert-batch")
+        return self._upsert(self._bucketed(ingest(events, with_order=True)), epoch)
+
+    def append(self, events: DataFrame, epoch: int) -> None:
+        """Keep a batch of events as an open epoch; a repeated epoch replaces itself."""
+        ingest(events, with_order=True).write.mode("overwrite").parquet(f"{self.path}/open/epoch={epoch}")
+
+    def fold(self) -> list[int]:
+        """Upsert the open epochs together; returns the buckets that were rewritten. Repeated after a
+        failure it merges the same rows again."""
+        epochs = self.open_epochs()
+        if not epochs:
+            return []
+        touched = self._upsert(self._opened(epochs), epochs[-1])
+        for e in epochs:
+            fs, p = self._fs(f"open/epoch={e}")
+            fs.delete(p, True)
+        return touched
+
+    def _upsert(self, batch: DataFrame, epoch: int) -> list[int]:
+        batch = materialize(batch, "upsert-batch")
         touched = sorted(r.bucket for r in batch.select("bucket").distinct().collect())  # at most ``buckets``
         if not touched:
             return []
         stored = self._seen(self.rows(touched), self.tombstones(touched))
         known = materialize(stored.select("hash").join(batch.select("hash"), "hash", "left_semi"), "upsert-known")
-        new = batch.join(known, "hash", "left_anti").withColumn("epoch", F.lit(epoch).cast("long"))
-        b = batch.select("hash", *[F.col(c).alias(f"_{c}") for c in [*_COLUMNS[1:], *_MARKS]])
-        merged = stored.join(b, "hash", "left").select(*self._merged_columns(epoch))
-        self._overwrite(merged.unionByName(new.select(*merged.columns)))
+        self._overwrite(self._merged(stored, batch, known, epoch))
         self._drop(touched, "tombstones")
         return touched
 
     def prune(self, hashes: DataFrame, epoch: int) -> None:
-        """Delete the commands of these hashes: tombstones are added, no row is rewritten."""
+        """Delete the commands of these hashes: tombstones are added, no row is rewritten (open epochs are
+        folded first, so that a tombstone is newer than all it deletes)."""
+        hashes = materialize(hashes.select("hash").distinct(), "pruned") if self.open_epochs() else hashes
+        self.fold()
         t = self._bucketed(hashes.select("hash").distinct()).withColumn("epoch", F.lit(epoch).cast("long"))
         # one small file per bucket and prune; a repeated write adds equal tombstones
         t.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/tombstones")
@@ -130,6 +176,13 @@ class BucketStore:
         return rows.join(t, "hash", "left").withColumn(
             "_gone", F.col("cmd").isNull() | F.coalesce(F.col("gone_at") > F.col("epoch"), F.lit(False))).drop("gone_at")
 
+    def _merged(self, stored: DataFrame, batch: DataFrame, known: DataFrame, epoch: int) -> DataFrame:
+        """Stored rows updated by the batch, and the batch's rows that are not ``known``."""
+        new = batch.join(known, "hash", "left_anti").withColumn("epoch", F.lit(epoch).cast("long"))
+        b = batch.select("hash", *[F.col(c).alias(f"_{c}") for c in [*_COLUMNS[1:], *_MARKS]])
+        merged = stored.join(b, "hash", "left").select(*self._merged_columns(epoch))
+        return merged.unionByName(new.select(*merged.columns))
+
     @staticmethod
     def _merged_columns(epoch: int) -> list[Column]:
         hit, gone = F.col("_cmd").isNotNull(), F.col("_gone")

@@ -11,6 +11,8 @@
   ``dropDuplicates`` on the content hash), appended by the exactly-once file
   sink. A command's trigram set never changes, so each hash is indexed once.
 
+* ``start_upserts``: the same result without streaming state, on a bucketed store.
+
 Event time comes from the data; an older event arriving late simply loses to
 the newer one already in state (``max_by`` ordering), so no watermark is
 needed for correctness. A watermark would only bound state and would change
@@ -30,6 +32,7 @@ from ..functions.ngrams import distinct_trigram_strings, pack_gram
 from ..operators.ingest import latest_aggregates, normalize_events
 from ..schema import META_KEYS
 from ..session import checkpoint_path
+from ..sources.bucket_store import BucketStore
 from ..sources.tool_calls import tool_events
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -114,6 +117,26 @@ def start_latest(events: DataFrame, path: str, checkpoint: str | None = None,
         return writer.start()
 
 
+def start_upserts(events: DataFrame, store: BucketStore, fold_every: int = 16, checkpoint: str | None = None,
+                  available_now: bool = True) -> StreamingQuery:
+    """Stream events into a bucketed history without any streaming state: what other forms keep in the
+    state store is the stored table itself, so nothing grows with the number of commands seen and nothing
+    needs a watermark; a command that returns after any time finds its tags and times. Each micro-batch
+    is an open epoch; every ``fold_every`` batches the open ones are upserted together. Readers
+    (``store.history()``) read the table and the open epochs only.
+    """
+    spark = events.sparkSession
+    checkpoint = checkpoint or checkpoint_path(spark, "upserts")
+
+    def write_epoch(batch: DataFrame, epoch_id: int) -> None:
+        if len([e for e in store.open_epochs() if e <= epoch_id]) >= fold_every:
+            store.fold()
+        store.append(batch, epoch_id + 1)
+
+    writer = events.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write_epoch)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
     """Newest row per hash across all written epochs."""
     parts = spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/epoch=*")

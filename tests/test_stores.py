@@ -107,6 +107,29 @@ def test_a_bucket_that_loses_all_rows_stays_empty(spark, tmp_path):
     assert [(r.cmd, r.cwd) for r in store.history().collect()] == [("a", "/y")]
 
 
+def test_open_epochs_are_read_and_folded(spark, tmp_path):
+    rows = random_events(7, 240)
+    store = BucketStore(spark, str(tmp_path / "s"), buckets=8)
+    store.upsert(make_events(spark, rows[:60]), 1)
+    for epoch, part in ((2, rows[60:120]), (3, rows[120:180]), (3, rows[120:180]), (4, rows[180:])):
+        before = files(str(tmp_path / "s" / "rows"))
+        store.append(make_events(spark, part), epoch)
+        assert files(str(tmp_path / "s" / "rows")) == before
+    full = table(ingest(make_events(spark, rows)))
+    assert store.open_epochs() == [2, 3, 4] and table(store.history()) == full
+    assert store.fold() and store.open_epochs() == [] and table(store.history()) == full
+    assert store.fold() == []
+    # a prune of what an open epoch holds
+    store.append(make_events(spark, [(900, "only here", "/a", 5, "agent"), (901, "cmd 1", "/a", 9000)]), 5)
+    gone = store.history().filter("cmd in ('only here', 'cmd 1')").select("hash")
+    store.prune(gone, 6)
+    want = [r for r in full if r[1] != "cmd 1"]
+    assert store.open_epochs() == [] and table(store.history()) == want
+    store.append(make_events(spark, [(950, "only here", "/b", 3)]), 7)
+    back = store.history().filter("cmd = 'only here'").first()
+    assert (back.cwd, back.ts_ms, back.source) == ("/b", 3, "agent") and store.history().count() == len(want) + 1
+
+
 def test_late_update_without_order_is_refused(spark):
     old = ingest(make_events(spark, [(1, "a", "/x", 10)]))
     with pytest.raises(Exception, match="late update"):
