@@ -80,7 +80,11 @@ def top_list(base: DataFrame, kind: str, n: int | None = None) -> DataFrame:
     """(label, count) top ``n`` by count desc, label asc; blank directories skipped."""
     n = DEFAULT_TOP[kind] if n is None else n
     rows = base.filter(F.col("cwd") != "") if kind == "dirs" else base
-    counts = rows.groupBy(label_column(kind).alias("label")).agg(F.count("*").alias("count"))
+    return top_counts(rows, label_column(kind), n)
+
+
+def top_counts(rows: DataFrame, label: Column, n: int) -> DataFrame:
+    counts = rows.groupBy(label.alias("label")).agg(F.count("*").alias("count"))
     return counts.orderBy(F.col("count").desc(), F.col("label").asc()).limit(n)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.category import category
-from ..operators import index
+from ..functions.text import program_name
+from ..operators import index, sketches, stats
 from ..operators.util import materialize
 from ..session import checkpoint_path
 from ..sources import fixtures
@@ -13,7 +14,7 @@ from ..sources.bucket_store import BucketStore
 from ..streaming import ingest as streaming
 from ..streaming.segments import SegmentedIndex, start_segments
 from . import oracle as O
-from .registry import H, ORACLE, events, register
+from .registry import EVENTS_BASE, ORACLE, _event_base, events, register
 
 HISTORY_COLUMNS = ["hash", "cmd", "cwd", "ts_ms", "source", "tool", "category"]
 
@@ -90,3 +91,51 @@ def stream_upserts(spark, sf):
     store = BucketStore(spark, checkpoint_path(spark, "bucket-store"), buckets=16)
     streaming.start_upserts(stream, store, fold_every=5).awaitTermination()
     return store.history().select(*HISTORY_COLUMNS)
+
+
+# --------------------------------------------------------------------------- statistics from kept sketches
+_KINDS = {"programs": (O.program_sql(), 15, "TRUE"), "dirs": ("cwd", 10, "cwd <> ''"), "commands": ("cmd", 15, "TRUE")}
+
+
+@register("top_lists_sketched", "WITH " + O.COMMAND_EVENTS + "," + EVENTS_BASE + " UNION ALL ".join(f"""
+SELECT '{kind}' AS dimension, label, count FROM (
+  SELECT label, count FROM (SELECT {label} AS label, count(*) AS count FROM base WHERE {where} GROUP BY 1)
+  ORDER BY count DESC, label LIMIT {n})""" for kind, (label, n, where) in _KINDS.items()))
+def top_lists_sketched(spark, sf):
+    """Exact top lists of the raw events from sketches kept per day, with a recount of their candidates."""
+    base = materialize(_event_base(spark, sf), "events")
+    out = None
+    for kind, (_, n, _) in _KINDS.items():
+        rows = base.filter("cwd <> ''") if kind == "dirs" else base
+        label = stats.label_column(kind)
+        kept = materialize(sketches.frequent_sketches(rows, label, F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd")), "day-sketches")
+        top = sketches.top_list_sketched(rows, label, n, kept).select(F.lit(kind).alias("dimension"), "label", "count")
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
+_RANGES = [("first days", "2024-01-01", "2024-01-03"), ("second week", "2024-01-08", "2024-01-14"), ("month", "2024-01-01", "2024-01-31"),
+           ("a day", "2024-01-20", "2024-01-20")]
+
+
+@register("distinct_sketched", "WITH " + O.COMMAND_EVENTS + "," + EVENTS_BASE + f""",
+ranges(name, a, b) AS (VALUES {", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in _RANGES)})
+SELECT name, count(*) AS n, count(DISTINCT cmd) AS exact_commands, count(DISTINCT {O.program_sql()}) AS exact_programs, TRUE AS within_bound
+FROM ranges JOIN base ON CAST(make_timestamp(ts_ms * 1000) AS DATE) BETWEEN a AND b GROUP BY name""")
+def distinct_sketched(spark, sf):
+    """Distinct commands and programs of date ranges from sketches kept per day and directory: rows and exact
+    counts of each range, and whether both estimates are within 5 % (three standard errors) and one."""
+    base = materialize(_event_base(spark, sf), "events")
+    kept = materialize(sketches.distinct_sketches(base), "distinct-sketches")
+    ranges = spark.createDataFrame(_RANGES, "name string, from_day string, to_day string")
+    estimated = sketches.distinct_in_ranges(kept, ranges)
+    day = F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd")
+    days = ranges.select("name", F.explode(F.sequence(F.to_date("from_day"), F.to_date("to_day"))).alias("_d"))
+    exact = base.withColumn("day", day).join(days.select("name", F.date_format("_d", "yyyy-MM-dd").alias("day")), "day").groupBy("name").agg(
+        F.count_distinct("cmd").alias("exact_commands"), F.count_distinct(program_name("cmd")).alias("exact_programs"))
+
+    def within(estimate, count):
+        return F.abs(F.col(estimate) - F.col(count)) <= F.col(count) * 0.05 + 1
+    return estimated.join(exact, "name").select(
+        "name", "n", "exact_commands", "exact_programs",
+        (within("unique_commands", "exact_commands") & within("unique_programs", "exact_programs")).alias("within_bound"))
