@@ -139,3 +139,40 @@ def distinct_sketched(spark, sf):
     return estimated.join(exact, "name").select(
         "name", "n", "exact_commands", "exact_programs",
         (within("unique_commands", "exact_commands") & within("unique_programs", "exact_programs")).alias("within_bound"))
+
+
+# --------------------------------------------------------------------------- many phrases
+_PHRASES = """
+src AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \\n]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id % 5 = 0),
+phrases AS (SELECT doc_id AS phrase_id, w[4] || ' x' || substr(w[5], 2) || ' ' || w[6] AS phrase FROM src WHERE len(w) >= 6),
+prepared AS (
+  SELECT phrase_id, lower(trim(phrase)) AS p, list_filter(string_split_regex(lower(trim(phrase)), '\\s+'), lambda x: x <> '') AS words FROM phrases),
+ready AS (SELECT phrase_id, p, words, list_transform(words, lambda x: greatest(1, strlen(x) // 5)) AS thr, len(words) AS n FROM prepared),
+toks AS (
+  SELECT doc_id, lower(text) AS t, list_filter(regexp_split_to_array(lower(text), '[ \\t/=:,;|&()\\[\\]{}<>]+'), lambda x: x <> '') AS toks
+  FROM documents),
+known AS (
+  SELECT DISTINCT token, word FROM (SELECT DISTINCT unnest(toks) AS token FROM toks), (SELECT DISTINCT unnest(words) AS word FROM ready)
+  WHERE contains(token, word) OR levenshtein(token, word) <= greatest(1, strlen(word) // 5)),
+near AS (SELECT token, list(word) AS near FROM known GROUP BY token),
+marked AS (
+  SELECT doc_id, list(coalesce(near, []) ORDER BY i) AS seen FROM (
+    SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS i FROM toks) LEFT JOIN near USING (token)
+  WHERE near IS NOT NULL GROUP BY doc_id),
+tested AS (
+  SELECT t.doc_id, r.phrase_id, contains(t.t, r.p) AS exact,
+         coalesce(list_reduce(m.seen, lambda k, s: CASE WHEN k < r.n AND list_contains(s, r.words[k + 1]) THEN k + 1 ELSE k END, 0) = r.n, FALSE) AS fuzzy
+  FROM toks t LEFT JOIN marked m USING (doc_id), ready r)"""
+
+
+@register("phrases_documents", "WITH " + _PHRASES + " SELECT doc_id, phrase_id, exact FROM tested WHERE exact OR fuzzy")
+def phrases_documents(spark, sf):
+    """A phrase of three words, one mistyped, of every fifth document, looked for in all documents at once."""
+    from ..operators.phrase_dictionary import match_phrases
+
+    d = fixtures.load(spark, sf, "documents").select("doc_id", "text")
+    w = F.filter(F.split("text", "[ \\n]+"), lambda x: x != "")
+    mine = d.filter("doc_id % 5 = 0").select("doc_id", w.alias("w")).filter(F.size("w") >= 6).select(
+        "doc_id", F.concat(F.get("w", F.lit(3)), F.lit(" x"), F.substr(F.get("w", F.lit(4)), F.lit(2), F.lit(1000)), F.lit(" "), F.get("w", F.lit(5))).alias("p"))
+    # the user's list of phrases
+    return match_phrases(d, [(r.doc_id, r.p) for r in mine.collect()], "doc_id", "text")
