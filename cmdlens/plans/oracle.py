@@ -10,10 +10,19 @@ are views registered by the caller.
 
 from __future__ import annotations
 
-from ..functions.category import PROGRAM_CATEGORY, SKIPPED_TOOLS, TOOL_ARG_KEY, TOOL_CATEGORY
-from ..operators.squelch import DEFAULT_SQUELCH
 from ..sources.fixtures import BASE_COMMANDS, EVENT_TOOL
 
+# Fixed values, stated here again so that an error in the library's tables shows: what the derived
+# logs hold of programs and tools, and the built-in noise list.
+PROGRAM_CATEGORY = {
+    "git": "vcs", "docker": "containers", "kubectl": "containers", "make": "build", "go": "build", "python3": "build",
+    "curl": "network", "vim": "editor", "ls": "shell"}
+SKIPPED_TOOLS = ["TodoWrite"]
+TOOL_ARG_KEY = {"Bash": "command", "Read": "file_path", "Grep": "pattern", "WebFetch": "url"}
+TOOL_CATEGORY = {"Bash": "shell", "Read": "file", "Grep": "search", "WebFetch": "web", "CronList": "cron"}
+NOISE = ["cd", "cd ..", "cd ~", "pwd", "ls", "ls -l", "ls -la", "ls -al", "ls -lah", "ls -ltr", "ll", "la", "exit", "clear", "history",
+         "echo", "cat", "man", "which", "whoami", "date", "top", "htop"]
+
 
 def q(s: str) -> str:
     """SQL string literal."""
@@ -104,7 +113,7 @@ def noise_sql(exact: list[str] | None = None, regexes: list[str] | None = None,
     return "(" + " OR ".join(terms) + ")" if terms else "FALSE"
 
 
-DEFAULT_NOISE = noise_sql(DEFAULT_SQUELCH)
+DEFAULT_NOISE = noise_sql(NOISE)
 
 
 def find_sql(keywords: list[str], limit: int = 5, cwd: str | None = None,

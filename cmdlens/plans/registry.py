@@ -907,7 +907,7 @@ def heatmap_local_zone(spark, sf):
     return stats.activity_heatmap(_stretched_base(spark, sf), tz=ZONE)
 
 
-@register("squelch_user_list", _squelch_sql(O.noise_sql(DEFAULT_SQUELCH + ["make build", "fzf"], [SQ_GLOB_RE2[0]])))
+@register("squelch_user_list", _squelch_sql(O.noise_sql(O.NOISE + ["make build", "fzf"], [SQ_GLOB_RE2[0]])))
 def squelch_user_list(spark, sf):
     """The built-in list and the user's patterns, concatenated."""
     from ..operators.squelch import active_list
