@@ -293,7 +293,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     document with a smaller doc_id (null first), or earlier in the same one;
     texts that share a doc_id are ordered by a hash of the text. Of rows equal in
     doc_id and text, all but one lose every word that any window covers. Null,
-    empty and shorter texts lose nothing. Kept words are joined by one blank.
+    empty and shorter texts lose nothing. Kept words are joined by one blank. A null doc_id
+    is told from any number, the smallest included. A text of any length is taken whole; it and its
+    words are held in memory together.
     """
     named = _named(docs)
     # written without grouping: the filter needs them first, and the join groups and meets them in one exchange

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 
 # --- candidate patterns (Java regex) -------------------------------------------
-_EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"
+# letters of a host may be of any script; those beyond a-z stay as they are
+_EMAIL = r"[A-Za-z0-9._%+-]++@[\p{L}0-9](?:[\p{L}0-9-]*[\p{L}0-9])?(?:\.[\p{L}0-9](?:[\p{L}0-9-]*[\p{L}0-9])?)*\.\p{L}{2,}"
 _SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 _IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 _DATE = r"(?:[0-9]{4}(?<d>[-/.])[0-9]{2}\k<d>[0-9]{2}|[0-9]{2}(?<e>[-/.])[0-9]{2}\k<e>[0-9]{4})"
@@ -49,19 +50,20 @@ def _iban_of(countries: str, length: int) -> str:
     return "(?:%s)[0-9]{2}(?:[A-Z0-9]{%d}|%s)" % (countries.replace(" ", "|"), length - 4, grouped)
 
 
-_IBAN = "(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(_iban_of(c, n) for n, c in _IBAN_LENGTHS.items()) + ")"
+_IBAN = "(?i:(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(_iban_of(c, n) for n, c in _IBAN_LENGTHS.items()) + "))"
 _IBAN_OTHER = ("(?!" + "|".join(_IBAN_LENGTHS.values()).replace(" ", "|")
                + r")[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)")
 _TAIL = r"(?![0-9A-Za-z])(?![.][0-9])"
+_PHONE_TAIL = r"(?:(?=[xX][0-9])|" + _TAIL + ")"  # an extension may follow
 _DATE_TAIL = r"(?![0-9A-SU-Zabcdefghijklmnopqrsu-z]|[Tt](?![0-9]))(?![.][0-9])"  # a time may follow
 # (kind, pattern, may a shorter run of its groups be the value), in the order they are tried
 _NUMBERS = [("iban", _IBAN + _TAIL, False), ("iban", _IBAN_OTHER + _TAIL, True), ("date", _DATE + _DATE_TAIL, False),
             ("card", _CARD + _TAIL, False), ("ssn", _SSN + _TAIL, False), ("ipv4", _IPV4 + _TAIL, False),
-            ("phone", _PHONE + _TAIL, True)]
+            ("phone", _PHONE + _PHONE_TAIL, True)]
 # Matches (without width) wherever a candidate starts, also inside another one. Group 1 is the e-mail address or
 # what follows up to 64 characters (the longest number has 42) and an @. A candidate starts at a token start, so
 # prose costs one class test per character.
-START = (r"(?=((?<![0-9A-Za-z._%+@-])" + _EMAIL + r"|(?<![0-9A-Za-z])(?<![0-9][.,-])(?=[A-Z0-9+(])(?="
+START = (r"(?=((?<![0-9A-Za-z._%+@-])" + _EMAIL + r"|(?<![0-9A-Za-z])(?<![0-9][.,-])(?=[A-Z0-9+(]|[a-z]{2}[0-9]{2})(?="
          + "|".join(p for _, p, _ in _NUMBERS) + r")[^@]{1,64}))")
 _BATCH = 128  # candidates of a text joined at once, so that long texts do not copy their results for each
 
@@ -187,10 +189,10 @@ def _iban(m: Column, key: str) -> Column:
         country = F.substr(s, F.lit(1), F.lit(2))
 
         def with_body(body):
-            check = _let(F.concat(body, country, F.lit("00")),
+            check = _let(F.upper(F.concat(body, country, F.lit("00"))),
                          lambda x: F.lpad((F.lit(98) - _mod97(x)).cast("string"), 2, "0"))
             return F.concat(country, check, body)
-        return _let(permute_string(F.substr(s, F.lit(5), F.char_length(s) - 4), key, country), with_body)
+        return _let(permute_string(F.substr(s, F.lit(5), F.char_length(s) - 4), key, F.upper(country)), with_body)
     # the blanks come back at every fifth place of the grouped spelling
     return _let(_let(F.replace(m, F.lit(" "), F.lit("")), with_compact), lambda out: F.when(
         F.contains(m, F.lit(" ")), F.rtrim(F.regexp_replace(out, "(.{4})", "$1 "))).otherwise(out))
@@ -199,7 +201,7 @@ def _iban(m: Column, key: str) -> Column:
 def _iban_ok(m: Column) -> Column:
     def with_compact(s):
         n = F.char_length(s)
-        moved = F.concat(F.substr(s, F.lit(5), n - 4), F.substr(s, F.lit(1), F.lit(4)))
+        moved = F.upper(F.concat(F.substr(s, F.lit(5), n - 4), F.substr(s, F.lit(1), F.lit(4))))
         return n.between(15, 34) & _let(moved, lambda x: _mod97(x) == 1)
     return _let(F.replace(m, F.lit(" "), F.lit("")), with_compact)
 
@@ -337,7 +339,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     ``found_col`` is replaced). Null text stays null with an empty array; empty text has none;
     candidates that fail validation are left as written; repeated rows get equal
     results. A value may, as under any permutation, map to itself: 1 chance in
-    the size of its format.
+    the size of its format. IBANs count in either case, hosts of e-mail addresses in any script, and a
+    phone number may have an extension, which stays. Dates need two digits for day and month. Texts of
+    any length are scanned whole, in one pass.
     """
     text = F.col(text_col)
     clean = text.isNull() | ~text.rlike("[0-9@]")

@@ -198,7 +198,8 @@ def identify(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row, learned from the other folds.
 
     A row's fold is crc32 of its doc_id's text modulo ``folds``; rows with a null
-    doc_id belong to no fold: never learned from, not held out.
+    doc_id belong to no fold: never learned from, not held out. Whole texts count, however long; any
+    number of languages is learned and scored.
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
     rows = docs.select("doc_id", F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "text")
