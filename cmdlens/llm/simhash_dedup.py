@@ -7,7 +7,9 @@ deleted; equal variants are joined and every candidate is verified by the whole
 Hamming distance. Only distinct fingerprints are indexed, and a group of equal
 variants yields the edges of a spanning forest of its links, never its pairs.
 One fingerprint has ``64`` variants, so no key can hold more than 1/64 of the
-index rows.
+index rows. A variant that more than ``GROUP`` distinct fingerprints share is
+found before anything is dealt; its members are dealt by the variants of their
+other bits as well, so no group grows with the table.
 """
 
 from __future__ import annotations
@@ -16,14 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, keep_rows, key_runs, stored, text_key
+from .common import bucket_count, discard, keep_rows, key_runs, stored, text_key
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 SEED = 42
+GROUP = 65_536       # distinct fingerprints under one variant, beyond which they are dealt by further bits
+PER_TASK = 262_144   # distinct fingerprints of one indexing task
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -60,22 +64,87 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
     return rows.mapInArrow(run, "_key string, doc_id long, fp long")
 
 
-def variants(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Index rows (v, fp): each segment with each of its bits deleted in turn."""
-    n_seg = (max_bits + 2) // 2
-    cuts = [64 * i // n_seg for i in range(n_seg + 1)]
-    rows = []
+def _cuts(width: int, max_bits: int) -> list[int]:
+    """Segment borders: of the differing bits, at most one falls into one of the segments."""
+    n = (max_bits + 2) // 2
+    return [width * i // n for i in range(n + 1)]
+
+
+def _segment(x: Column, lo: int, width: int) -> Column:
+    seg = F.shiftrightunsigned(x, lo)
+    return seg.bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else seg
+
+
+def _without(seg: Column, j: int) -> Column:
+    """A segment with its bit ``j`` deleted."""
+    below = seg.bitwiseAND(F.lit((1 << j) - 1))
+    return F.shiftleft(F.shiftrightunsigned(seg, j + 1), j).bitwiseOR(below) if j < 63 else below
+
+
+def _keys(x: Column, width: int, max_bits: int) -> list[list[Column]]:
+    """Per segment of ``x`` and deleted bit: the variant and the bit's position, in one number."""
+    cuts = _cuts(width, max_bits)
+    out = []
+    for lo, hi in zip(cuts, cuts[1:]):
+        seg = _segment(x, lo, hi - lo)
+        out.append([F.xxhash64(_without(seg, j), F.lit(lo + j)) if hi - lo > 50 else
+                    F.shiftleft(_without(seg, j), 6).bitwiseOR(F.lit(lo + j)) for j in range(hi - lo)])
+    return out
+
+
+def crowded(fps: DataFrame, max_bits: int = MAX_BITS, group: int = GROUP) -> DataFrame:
+    """Variants that may hold more than ``group`` of the distinct ``fps``: rows (seg, value, mask), the
+    bits of ``mask`` being those whose deletion from a segment of this value gives such a variant.
+
+    A variant holds two values of its segment, so counting values is enough: two rows per
+    fingerprint, combined in each task, instead of one per variant.
+    """
+    cuts = _cuts(64, max_bits)
+    widths = [hi - lo for lo, hi in zip(cuts, cuts[1:])]
+    values = F.array(*[F.struct(F.lit(s).alias("seg"), _segment(F.col("fp"), cuts[s], w).alias("value")) for s, w in enumerate(widths)])
+    often = (fps.select(F.explode(values).alias("x")).groupBy("x.seg", "x.value").count().filter(F.col("count") > group // 2))
+    # a frequent value crowds all its variants, which the values one bit away share
+    near = [F.array(F.struct(F.col("value"), F.lit((1 << w) - 1).cast("bigint").alias("mask")),
+                    *[F.struct(F.col("value").bitwiseXOR(F.lit(1 << j)).alias("value"), F.lit(1 << j).cast("bigint").alias("mask"))
+                      for j in range(w)]) for w in widths]
+    pick = near[0]
+    for s in range(1, len(widths)):
+        pick = F.when(F.col("seg") == s, near[s]).otherwise(pick)
+    return (often.select("seg", F.explode(pick).alias("x")).groupBy("seg", "x.value").agg(F.bit_or("x.mask").alias("mask")))
+
+
+def variants(fps: DataFrame, max_bits: int = MAX_BITS, group: int = GROUP) -> DataFrame:
+    """Index rows (v, fp) of the distinct ``fps``: each segment with each of its bits deleted in turn.
+
+    Fingerprints of a crowded variant are indexed under the variants of their remaining bits
+    beside it: of these bits, too, one segment differs in at most one.
+    """
+    cuts = _cuts(64, max_bits)
+    n_seg = len(cuts) - 1
+    keys = _keys(F.col("fp"), 64, max_bits)
+    if n_seg == 1:  # a variant of the whole fingerprint holds two at most
+        return fps.select(F.explode(F.array(*keys[0])).alias("v"), "fp")
+    crowd = stored(crowded(fps, max_bits, group), "crowded-variants")
+    marked = fps
     for s in range(n_seg):
-        lo, width = cuts[s], cuts[s + 1] - cuts[s]
-        seg = F.shiftrightunsigned("fp", lo)
-        seg = seg.bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else seg
-        for j in range(width):
-            below = seg.bitwiseAND(F.lit((1 << j) - 1))
-            above = F.shiftleft(F.shiftrightunsigned(seg, j + 1), j) if j < 63 else F.lit(0).cast("bigint")
-            # the variant, its segment and its deleted bit, in one number
-            rows.append(F.xxhash64(above.bitwiseOR(below), F.lit(cuts[s] + j)) if width > 50 else
-                        above.bitwiseOR(below).bitwiseOR(F.lit((cuts[s] + j) << (width - 1))))
-    return fps.select(F.explode(F.array(*rows)).alias("v"), "fp")
+        marked = marked.join(crowd.filter(F.col("seg") == s).select(F.col("value").alias(f"v{s}"), F.col("mask").alias(f"m{s}")),
+                             _segment(F.col("fp"), cuts[s], cuts[s + 1] - cuts[s]) == F.col(f"v{s}"), "left")
+    masks = [F.coalesce(F.col(f"m{s}"), F.lit(0).cast("bigint")) for s in range(n_seg)]
+
+    def exploded(rows: DataFrame, wanted: bool) -> DataFrame:
+        each = [F.when((masks[s].bitwiseAND(F.lit(1 << j)) != 0) == wanted, k) for s in range(n_seg) for j, k in enumerate(keys[s])]
+        return rows.select(F.explode(F.array(*each)).alias("v"), "fp").filter(F.col("v").isNotNull())
+
+    plain = exploded(marked, False)
+    busy = exploded(marked.filter(F.coalesce(*[F.col(f"m{s}") for s in range(n_seg)]).isNotNull()), True)
+    finer = None
+    for s in reversed(range(n_seg)):
+        lo, hi = cuts[s], cuts[s + 1]
+        rest = F.col("fp").bitwiseAND(F.lit((1 << lo) - 1))
+        rest = rest.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", hi), lo)) if hi < 64 else rest
+        keys_s = F.array(*[F.xxhash64("v", k) for part in _keys(rest, 64 - (hi - lo), max_bits) for k in part])
+        finer = keys_s if finer is None else F.when(F.col("v").bitwiseAND(F.lit(63)) < hi, keys_s).otherwise(finer)
+    return plain.unionByName(busy.select(F.explode(finer).alias("v"), "fp"))
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -112,8 +181,12 @@ def _forest(fp: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return edges
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Verified edges (a, b), a < b, whose components are those of all links of ``fps``."""
+def links(fps: DataFrame, max_bits: int = MAX_BITS, group: int = GROUP) -> DataFrame:
+    """Verified edges (a, b), a < b, whose components are those of all links of ``fps``.
+
+    No task holds more than ``group`` fingerprints of one variant, nor, of a crowded one, more than
+    those equal in both deletion variants: with 3 bits, 2^18 fingerprints of 8 bytes.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges_of(v: np.ndarray, fp: np.ndarray):
             cut = np.flatnonzero(v[1:] != v[:-1]) + 1
@@ -134,7 +207,10 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         for v, fp in key_runs(batches):
             yield edges_of(v, fp.view(np.uint64))
 
-    index = variants(fps.select("fp").distinct(), max_bits)
+    distinct = stored(fps.select("fp").distinct(), "distinct-fingerprints")
+    # 64 variants each: tasks are sized by the fingerprints' number, not by their few bytes
+    tasks = max(fps.sparkSession.sparkContext.defaultParallelism, bucket_count(distinct.count(), PER_TASK))
+    index = variants(distinct.repartition(tasks, "fp"), max_bits, group)
     dealt = index.repartition("v").sortWithinPartitions("v")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 

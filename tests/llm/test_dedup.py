@@ -116,8 +116,8 @@ def test_exact_counts_decide_near_the_threshold(spark):
         assert line_spread.boilerplate(df, min_sites=10, band=band).count() == 1
 
 
-@pytest.mark.parametrize("bits", [1, 3, 5])
-def test_simhash_links_against_brute_force(spark, bits):
+@pytest.mark.parametrize("bits,group", [(1, 65_536), (3, 65_536), (3, 6), (3, 2), (5, 65_536), (5, 4), (2, 4)])
+def test_simhash_links_against_brute_force(spark, bits, group):
     r = random.Random(bits)
     fps = [r.getrandbits(64) for _ in range(40)]
     for _ in range(200):
@@ -128,7 +128,7 @@ def test_simhash_links_against_brute_force(spark, bits):
     fps = sorted(set(fps))
     signed = [int(np.uint64(x).astype(np.int64)) for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    edges = simhash_dedup.links(df, bits)
+    edges = simhash_dedup.links(df, bits, group)
     assert all(((e.a ^ e.b) & (1 << 64) - 1).bit_count() <= bits for e in edges.collect())
     label = {r.fp: r.label for r in simhash_dedup.components(edges).collect()}
     want = classes(fps, bits)
@@ -136,6 +136,23 @@ def test_simhash_links_against_brute_force(spark, bits):
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
 
 
+def test_crowded_variants_are_dealt_by_their_other_bits(spark):
+    """Fingerprints equal in one half: no group of the index holds them all, no link is lost."""
+    from pyspark.sql import functions as F
+    r = random.Random(12)
+    fps = [r.getrandbits(32) << 32 | 0xBEEF for _ in range(1500)]
+    fps += [x ^ 1 << r.randrange(32, 64) ^ 1 << r.randrange(64) for x in fps[:300]]
+    fps = sorted(set(fps))
+    df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp long")
+    assert simhash_dedup.variants(df).groupBy("v").count().agg(F.max("count")).first()[0] > 1500
+    sizes = simhash_dedup.variants(df, group=200).groupBy("v").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 200
+    label = {x.fp: x.label for x in simhash_dedup.components(simhash_dedup.links(df, group=200)).collect()}
+    got = [label.get(int(np.uint64(x).astype(np.int64)), x) for x in fps]
+    want = classes(fps)
+    assert len(set(zip(want, got))) == len(set(want)) == len(set(got)) < len(fps)
+
+
 def test_dense_group_is_linear_and_exact():
     """A large ball around one fingerprint: fewer edges than members, same components."""
     r = random.Random(9)
