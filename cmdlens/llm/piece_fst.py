@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding as a weighted transducer in the tropical semiring.
 
-Compiled from a model file: the normaliser (white space to the blank mark, dummy
-prefix), the pieces as a transducer whose arcs read a piece and write its id,
-and byte fallback, whose arcs read an unknown character and write its UTF-8
-bytes. An input composed with these is a lattice over its characters; the
+Compiled from a model file: the normaliser (the model's character map as a rewriting
+transducer that takes the longest rule at each place, white space to the blank mark,
+dummy prefix or suffix), the pieces as a transducer whose arcs read a piece and write
+its id, and byte fallback, whose arcs read an unknown character and write its UTF-8
+bytes. The normaliser writes one output only; an input composed with these is a lattice over its characters; the
 encoding is the lattice's shortest path.
 
 Weights. In a unigram model an arc weighs minus the piece's score. A BPE model
@@ -17,6 +18,7 @@ one survivor per character position finds it.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -35,6 +37,67 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
+def character_rules(charsmap: bytes) -> dict[str, str]:
+    """Rewriting rules of a model's precompiled character map.
+
+    The map is a length, a double-array trie of UTF-8 keys and the outputs, ended by zero bytes
+    each. The trie is walked a level at a time, all children of a level at once.
+    """
+    size = int.from_bytes(charsmap[:4], "little")
+    units = np.frombuffer(charsmap[4:4 + size], "<u4").astype(np.int64)
+    outputs = charsmap[4 + size:]
+
+    def children(of: np.ndarray) -> np.ndarray:  # where the children of these units lie
+        return of >> 10 << ((of & 0x200) >> 6)
+
+    rules, labels = {}, np.arange(1, 256)
+    nodes, keys = children(units[:1]), [b""]
+    while len(nodes):
+        at = nodes[:, None] ^ labels
+        found = (at < len(units)) & ((units[np.minimum(at, len(units) - 1)] & 0x800000FF) == labels)
+        parent, child = np.nonzero(found)
+        unit = units[at[parent, child]]
+        nodes = at[parent, child] ^ children(unit)
+        keys = [keys[p] + bytes([c + 1]) for p, c in zip(parent.tolist(), child.tolist())]
+        for i in np.flatnonzero(unit & 0x100).tolist():
+            start = int(units[nodes[i]] & 0x7FFFFFFF)
+            rules[keys[i].decode()] = outputs[start:outputs.index(b"\0", start)].decode()
+    return rules
+
+
+class Rewriter:
+    """The character map as a transducer: at each place the longest rule is taken, other characters pass."""
+
+    def __init__(self, rules: dict[str, str]):
+        self.rules = rules
+        self.states = {k[:n] for k in rules for n in range(1, len(k) + 1)}
+        single = "".join(re.escape(k) for k in rules if len(k) == 1)
+        second = "".join(sorted({re.escape(k[1]) for k in rules if len(k) > 1}))
+        # a rule starts at a character with a rule of its own, or before some rule's second character
+        starts = ([f"[{single}]"] if single else []) + ([f".(?=[{second}])"] if second else [])
+        self.start = re.compile("|".join(starts) or "(?!)", re.DOTALL)
+
+    def outputs(self, text: str) -> Iterator[tuple[str, bool]]:
+        """The outputs in order, and whether a rule wrote them."""
+        done, at, n = 0, 0, len(text)
+        while found := self.start.search(text, at):
+            at = found.start()
+            end, stop = at + 1, None
+            while end <= n and text[at:end] in self.states:
+                if text[at:end] in self.rules:
+                    stop = end
+                end += 1
+            if stop is None:
+                at += 1
+                continue
+            if done < at:
+                yield text[done:at], False
+            yield self.rules[text[at:stop]], True
+            done = at = stop
+        if done < n:
+            yield text[done:], False
+
+
 class PieceTransducer:
     """Encoder and decoder compiled from a SentencePiece model file's bytes."""
 
@@ -44,12 +107,15 @@ class PieceTransducer:
         proto = pb.ModelProto()
         proto.ParseFromString(model)
         norm, spec = proto.normalizer_spec, proto.trainer_spec
-        if norm.precompiled_charsmap or spec.treat_whitespace_as_suffix:
-            raise NotImplementedError("only identity normalisation with white-space prefixes is compiled")
+        if not norm.escape_whitespaces:
+            raise NotImplementedError("only models that write white space as the blank mark are compiled")
         if spec.model_type not in (UNIGRAM, BPE) or any(p.type in (USER, UNUSED) for p in proto.pieces):
             raise NotImplementedError("only unigram and BPE models without user-defined or unused pieces are compiled")
         self.bpe = spec.model_type == BPE
-        self.prefix, self.squeeze = norm.add_dummy_prefix, norm.remove_extra_whitespaces
+        suffixed = spec.treat_whitespace_as_suffix
+        self.prefix, self.suffix = norm.add_dummy_prefix and not suffixed, norm.add_dummy_prefix and suffixed
+        self.squeeze, self.bos_blank = norm.remove_extra_whitespaces, norm.add_dummy_prefix or norm.remove_extra_whitespaces
+        self.rewriter = Rewriter(character_rules(norm.precompiled_charsmap)) if norm.precompiled_charsmap else None
         self.pieces = [p.piece for p in proto.pieces]
         self.types = [p.type for p in proto.pieces]
         self.unk = self.types.index(UNKNOWN)
@@ -73,11 +139,26 @@ class PieceTransducer:
         self.whole: dict[str, bool] = {}  # bounded by the vocabulary and single characters
 
     def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = " ".join(x for x in text.split(" ") if x)
-        if not text:
+        outputs = list(self.rewriter.outputs(text)) if self.rewriter else [(text, False)]
+        if not text or self.squeeze and all(x and not x.strip(" ") for x, _ in outputs):
             return ""
-        return ((" " if self.prefix else "") + text).replace(" ", BLANK)
+        text = self._squeezed(outputs) if self.squeeze else "".join(x for x, _ in outputs)
+        if self.squeeze and not text:
+            return BLANK if self.suffix else ""
+        return ((" " if self.prefix else "") + text + (" " if self.suffix else "")).replace(" ", BLANK)
+
+    def _squeezed(self, outputs: list[tuple[str, bool]]) -> str:
+        """A space at the text's ends or after a space goes, but for those inside one rule's output."""
+        out, after_space = [], True
+        for x, by_rule in outputs:
+            if not by_rule:
+                x = re.sub(" +", " ", x)
+            if after_space:
+                x = x.lstrip(" ")
+            if x:
+                out.append(x)
+                after_space = x.endswith(" ")
+        return "".join(out).rstrip(" ")
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
@@ -234,9 +315,16 @@ class PieceTransducer:
         except UnicodeDecodeError:
             text = _decode_each(body)
         text = text.replace(BLANK, " ")
-        first = int(np.frombuffer(ids[:4], "<u4")[0]) if ids else None
         # only a piece's blank mark is the dummy prefix, a blank written as a byte is not
-        return text[1:] if self.prefix and first is not None and self.types[first] == NORMAL and text.startswith(" ") else text
+        for i in np.frombuffer(ids, "<u4").tolist() if self.bos_blank else ():
+            blank = self.types[i] == NORMAL and self.pieces[i].startswith(BLANK)
+            if blank:
+                text = text[1:]
+            if self.types[i] not in (NORMAL, CONTROL) or not (blank and self.squeeze and self.pieces[i] == BLANK) and self.raw[i]:
+                break
+            if blank and not self.squeeze:
+                break
+        return text
 
 
 def _backtrack(start: list[int], n: int) -> list[tuple[int, int]]:

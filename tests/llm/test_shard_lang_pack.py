@@ -178,6 +178,41 @@ def test_unigram_weights():
         assert np.frombuffer(m.encode(t), "<u4").tolist() == lib.encode(t), t
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf", "nfkc_cf"])
+def test_normalisers_equal_the_library(rule):
+    """Character maps, in models made by hand: rewritten text, ids and decoded text are the library's."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    normaliser = pb.ModelProto()
+    normaliser.ParseFromString(sp.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    charsmap = normaliser.normalizer_spec.precompiled_charsmap
+    assert len(piece_fst.character_rules(charsmap)) > 5000
+    r = random.Random(rule)
+    signs = list("aAbB  \t\n\u3000\u00a0éàﬁｱｶﾞ①½¨語한ﷺ\x00\x01\x7f\ufeff") + ["e\u0301", "\u0300", "\u1112\u1161\u11ab", "ｶﾞ", "\u1100", "\u1161", "🙂", "\u200b", "\u0344"]
+    texts = ["", " ", "\x01", " \x01 ", "\u3000", "a\u0301\u0300", "  a \u3000 b  "]
+    texts += ["".join(r.choice(signs) for _ in range(r.randint(0, 14))) for _ in range(400)]
+    for prefix, squeeze, suffix, fallback in [(True, True, False, True), (True, False, False, False), (False, True, False, True),
+                                              (False, False, False, False), (True, True, True, True), (True, False, True, False)]:
+        proto = pb.ModelProto()
+        pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3)] + ([(f"<0x{i:02X}>", 0, 6) for i in range(256)] if fallback else [])
+        pieces += [(x, -2.3 - i / 7, 1) for i, x in enumerate("▁ abéàfiガ1語한" .replace(" ", ""))]
+        pieces += [("▁a", -3.9, 1), ("ab", -4.4, 1), ("fi", -4.7, 1), ("a▁" if suffix else "▁b", -4.1, 1), ("한語", -6.9, 1)]
+        for piece, score, kind in pieces:
+            p = proto.pieces.add()
+            p.piece, p.score, p.type = piece, score, kind
+        proto.trainer_spec.model_type = 1
+        proto.trainer_spec.byte_fallback = fallback
+        proto.trainer_spec.treat_whitespace_as_suffix = suffix
+        proto.normalizer_spec.precompiled_charsmap = charsmap
+        proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces = prefix, squeeze
+        m, lib = machine_and_library(proto.SerializeToString())
+        for t in texts:
+            ids = m.encode(t)
+            assert m.normalise(t) == lib.normalize(t), (t, prefix, squeeze, suffix)
+            assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t), (t, prefix, squeeze, suffix)
+            assert m.decode(ids) == lib.decode(lib.encode(t)), (t, prefix, squeeze, suffix)
+
+
 def test_encoding_awkward_rows(spark):
     rows = awkward()
     out = piece_fst.encode_documents(frame(spark, rows)).collect()
