@@ -7,11 +7,12 @@ shuffle) on already de-duplicated history.
 Batch search ranks with joins instead of one scan per query. Queries sharing
 a keyword set share the work. The trigrams that are asked for meet the index
 first and leave it as postings (trigram, command, time). Not every command that
-shares a trigram with a set is counted: the newest postings of each trigram give
-a first top n per set, and its last rank is a bound that all others must reach.
-A command with that rank holds one of the set's rarest trigrams (a set of m, bound
-b: of its m - b + 1 rarest), so only the postings of these are met in full, and
-those of the last one only as far as they are newer. Keywords of one or two bytes (the substring-scan path) meet a small
+shares a trigram with a set is counted: the newest commands that hold two of a set's
+rarest trigrams give a first top n per set, and its last rank is a bound that all
+others must reach. Of a set of m trigrams and bound b, a command with that rank holds
+two of the m - b + 2 rarest, so only commands that hold such a pair are met (one of
+the m - b + 1 rarest, where the pairs would be many), and they are ranked
+where they meet the set: a row leaves for the next exchange only if it reaches the bound. Keywords of one or two bytes (the substring-scan path) meet a small
 index of 1- and 2-byte substrings; the newest n of a set are among the newest n
 of its substrings, so each substring is cut to its newest n before sets are
 formed. Local tiers are restricted to the (set, directory) pairs that some query
@@ -91,45 +92,115 @@ def _query_keys(queries: DataFrame) -> DataFrame:
         digest(F.transform("_shorts", lambda x: F.hex(F.encode(x, "ISO-8859-1")))).alias("sk"))
 
 
-# Newest postings of a trigram that give the first bound, as a multiple of the limit.
+# Newest postings of a trigram, and of a pair of trigrams, that give the first bound, as multiples of the limit.
 FIRST_POSTINGS = 4
+FIRST_OF_PAIR = 16
+# A set is met by the pairs of its rarest trigrams if this many of them are enough, else by single trigrams.
+PAIRED = 4
+
+def _newest() -> list[Column]:
+    return [F.col("ts_ms").desc(), F.col("hash").asc()]
 
 
 def asked_postings(index: DataFrame, sets: DataFrame, places: DataFrame) -> DataFrame:
-    """(place, ngram, hash, ts_ms): the index's postings of the asked trigrams, for each place
-    ('' stands for everywhere) where a set asks for them; written once."""
-    # the trigrams meet the index before the history does
-    rows = index.join(sets.select("ngram").distinct(), "ngram").join(places, "hash")
-    here = rows.select(F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce("cwd", F.lit(""))))).alias("place"), "ngram", "hash", "ts_ms")
-    return materialize(here.join(sets.select("place", "ngram").distinct(), ["place", "ngram"], "left_semi"), "postings")
+    """(place, ngram, hash, ts_ms, _has): the index's postings of the asked trigrams, for each place
+    ('' stands for everywhere) where a set asks for them, with all asked trigrams of the command; written once."""
+    # the trigrams meet the index before the history does; a command's leave as one row
+    commands = (index.join(sets.select("ngram").distinct(), "ngram").groupBy("hash").agg(F.collect_set("ngram").alias("_has"))
+                .join(places, "hash"))
+    here = commands.select(F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce("cwd", F.lit(""))))).alias("place"), "hash", "ts_ms", "_has")
+    rows = here.select("place", F.explode("_has").alias("ngram"), "hash", "ts_ms", "_has")
+    return materialize(rows.join(sets.select("place", "ngram").distinct(), ["place", "ngram"], "left_semi"), "postings")
+
+
+def _by_rarity(postings: DataFrame, sets: DataFrame) -> DataFrame:
+    """(gk, place, _by): each set's trigrams that occur at all, rarest first."""
+    freq = postings.groupBy("place", "ngram").agg(F.count(F.lit(1)).alias("df"))
+    rarest = F.array_sort(F.collect_set(F.struct("df", "ngram")))
+    return (sets.join(freq, ["place", "ngram"]).groupBy("gk", "place").agg(rarest.alias("_r"))
+            .select("gk", "place", F.col("_r.ngram").alias("_by")))
+
+
+def _paired(sets: DataFrame, upto: Column) -> DataFrame:
+    """``sets`` with every pair (ga, gb) of a set's ``upto`` rarest trigrams, ga the rarer."""
+    heads = F.slice("_by", F.lit(1), upto)
+    pairs = F.flatten(F.transform(heads, lambda a, i: F.transform(
+        F.slice("_by", i + 2, F.greatest(upto - i - 1, F.lit(0))), lambda b: F.struct(a.alias("ga"), b.alias("gb")))))
+    return sets.withColumn("_p", F.explode(pairs)).select("*", "_p.ga", "_p.gb").drop("_p")
+
+
+def _pair_postings(postings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(place, ga, gb, hash, ts_ms, _has) of the commands that hold both trigrams of an asked pair."""
+    partners = pairs.select("place", "ga", "gb").groupBy("place", "ga").agg(F.collect_set("gb").alias("_gb"))
+    met = postings.withColumnRenamed("ngram", "ga").join(partners, ["place", "ga"])
+    return met.select("place", "ga", F.explode(F.array_intersect("_has", "_gb")).alias("gb"), "hash", "ts_ms", "_has")
+
+
+def _rank() -> Column:
+    return F.size(F.array_intersect("_has", "_by")).cast("bigint").alias("rank")
+
+
+_RANKED = ["gk", "place", "hash", "ts_ms", "rank"]
+
+
+def _best(rows: DataFrame, n: int) -> DataFrame:
+    return _top_per_group(rows, ["gk", "place"], [F.col("rank").desc(), *_newest()], n)
+
+
+def _of_pairs(postings: DataFrame, sets: DataFrame, upto: int, newest: int, n: int) -> DataFrame:
+    """The best n of each set among the newest commands that hold two of its ``upto`` rarest trigrams."""
+    pairs = _paired(sets, F.least(F.size("_by"), F.lit(upto)))
+    rows = _top_per_group(_pair_postings(postings, pairs), ["place", "ga", "gb"], _newest(), newest)
+    met = rows.join(pairs, ["place", "ga", "gb"]).select("gk", "place", "hash", "ts_ms", _rank())
+    return materialize(_best(met if upto == 2 else met.distinct(), n).select(*_RANKED), "of-pairs")
 
 
 def first_candidates(postings: DataFrame, sets: DataFrame, n: int) -> DataFrame:
-    """(gk, place, hash, ts_ms): commands among the newest postings of a set's trigrams."""
-    newest = _top_per_group(postings, ["place", "ngram"], [F.col("ts_ms").desc(), F.col("hash").asc()], FIRST_POSTINGS * n)
-    return newest.join(sets.select("gk", "place", "ngram"), ["place", "ngram"]).select("gk", "place", "hash", "ts_ms").distinct()
+    """(gk, place, hash, ts_ms, rank): n commands of each set, or all that share a trigram with it, if these are fewer.
+
+    They are the best among the newest that hold a set's two rarest trigrams; unless n of these hold all its
+    trigrams, among those that hold two of its rarest; where these are fewer than n, of each trigram as well.
+    """
+    keys = ["gk", "place"]
+    sets = materialize(_by_rarity(postings, sets), "sets")
+    rare = _of_pairs(postings, sets, 2, FIRST_OF_PAIR * n, n)
+
+    def state(found: DataFrame) -> DataFrame:
+        return found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("rank").alias("_low"))
+    unsure = sets.join(state(rare), keys, "left").filter((F.coalesce("_n", F.lit(0)) < n) | (F.col("_low") < F.size("_by"))).select(*keys, "_by")
+    unsure = materialize(unsure, "unsure")
+    more = _of_pairs(postings, unsure, PAIRED, FIRST_POSTINGS * n, n)
+    few = unsure.join(state(more).filter(F.col("_n") >= n), keys, "left_anti")
+    newest = _top_per_group(postings, ["place", "ngram"], _newest(), FIRST_POSTINGS * n)
+    single = (newest.join(few.withColumn("ngram", F.explode("_by")), ["place", "ngram"])
+              .select("gk", "place", "hash", "ts_ms", _rank()))
+    rest = rare.join(unsure.select(*keys), keys, "left_semi").unionByName(more).unionByName(single).distinct()
+    return rare.join(unsure.select(*keys), keys, "left_anti").select(*_RANKED).unionByName(_best(rest, n).select(*_RANKED))
 
 
 def further_candidates(postings: DataFrame, sets: DataFrame, first: DataFrame, n: int) -> DataFrame:
-    """(gk, place, hash, ts_ms): commands outside ``first`` that may still reach a set's n-th best rank.
+    """(gk, place, hash, ts_ms, rank): commands outside ``first`` that reach a set's n-th best rank.
 
     ``first`` (ranked): gk, place, hash, ts_ms, rank. A set with fewer than n of them has no others:
     a trigram with n postings gives n commands.
     """
-    order = Window.partitionBy("gk", "place").orderBy(F.col("rank").desc(), F.col("ts_ms").desc(), F.col("hash").asc())
+    order = Window.partitionBy("gk", "place").orderBy(F.col("rank").desc(), *_newest())
     bound = first.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") == n).select(
         "gk", "place", F.col("rank").alias("bound"), F.col("ts_ms").alias("since"))
-    freq = postings.groupBy("place", "ngram").agg(F.count(F.lit(1)).alias("df"))
-    # a set's trigrams that occur at all, rarest first
-    of_set = Window.partitionBy("gk", "place")
-    rarest = (sets.join(freq, ["place", "ngram"])
-              .withColumn("at", F.row_number().over(of_set.orderBy("df", "ngram")))
-              .withColumn("m", F.count(F.lit(1)).over(of_set))
-              .join(bound, ["gk", "place"]).filter(F.col("at") <= F.col("m") - F.col("bound") + 1))
-    met = rarest.join(postings, ["place", "ngram"]).filter(
-        (F.col("at") <= F.col("m") - F.col("bound")) | (F.col("ts_ms") >= F.col("since")))
-    return (met.select("gk", "place", "hash", "ts_ms").distinct()
-            .join(first.select("gk", "place", "hash"), ["gk", "place", "hash"], "left_anti"))
+    m = F.size("_by")
+    bounded = _by_rarity(postings, sets).join(bound, ["gk", "place"]).withColumn("_upto", (m - F.col("bound") + 2).cast("int"))
+    by_pair = (F.col("bound") >= 2) & (F.col("_upto") <= PAIRED)
+    pairs = _paired(bounded.filter(by_pair), F.col("_upto"))
+    alone = bounded.filter(~by_pair).select(
+        "*", F.posexplode(F.slice("_by", F.lit(1), F.least(m, F.col("_upto") - 1))).alias("_at", "ngram"))
+    # ranks are taken where the rows meet: only those that reach the bound leave
+    reaches = (F.col("rank") > F.col("bound")) | ((F.col("rank") == F.col("bound")) & (F.col("ts_ms") >= F.col("since")))
+    recent = (F.col("bound") < m) | (F.col("ts_ms") >= F.col("since"))
+    met = (_pair_postings(postings, pairs).join(pairs, ["place", "ga", "gb"]).filter(recent)
+           .select("gk", "place", "hash", "ts_ms", "bound", "since", _rank())
+           .unionByName(postings.join(alone, ["place", "ngram"]).select("gk", "place", "hash", "ts_ms", "bound", "since", _rank())))
+    return (met.filter(reaches).select(*_RANKED).distinct()
+            .join(first.select("gk", "place", "hash"), ["gk", "place", "hash"], "left_anti").select(*_RANKED))
 
 
 def ranked_top(index: DataFrame, places: DataFrame, sets: DataFrame, n: int) -> DataFrame:
@@ -140,18 +211,8 @@ def ranked_top(index: DataFrame, places: DataFrame, sets: DataFrame, n: int) ->
     """
     sets = materialize(sets.distinct(), "asked-trigrams")
     postings = asked_postings(index, sets, places)
-    grams = materialize(postings.select("hash", "ngram").distinct().groupBy("hash").agg(F.collect_list("ngram").alias("_has")), "asked-of-command")
-    wanted = materialize(sets.groupBy("gk", "place").agg(F.collect_list("ngram").alias("_wants")), "sets")
-
-    def ranked(pairs: DataFrame) -> DataFrame:
-        return pairs.join(grams, "hash").join(wanted, ["gk", "place"]).select(
-            "gk", "place", "hash", "ts_ms", F.size(F.array_intersect("_has", "_wants")).cast("bigint").alias("rank"))
-
-    order = [F.col("rank").desc(), F.col("ts_ms").desc(), F.col("hash").asc()]
-    first = materialize(ranked(first_candidates(postings, sets, n)), "first-candidates")
-    more = ranked(further_candidates(postings, sets, first, n))
-    best = _top_per_group(first, ["gk", "place"], order, n).unionByName(more)
-    return _top_per_group(best, ["gk", "place"], order, n)
+    first = materialize(first_candidates(postings, sets, n), "first-candidates")
+    return _best(first.unionByName(further_candidates(postings, sets, first, n)), n)
 
 
 def batch_search(history: DataFrame, queries: DataFrame, limit: int | None = 5,

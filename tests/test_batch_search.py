@@ -60,3 +60,16 @@ def test_joined_rows_follow_the_queries(spark):
     # rows per set stay what the limit and a set's few trigrams ask for
     assert large / large_sets < 1.5 * small / small_sets
     assert large < 0.2 * large_all
+
+
+def test_frequent_trigrams_that_seldom_meet(spark):
+    """Two frequent trigrams, together in a few old commands: the join meets these, not every posting of one."""
+    rows = [(1 if i % 2 else 2, f"h{i:05d}") for i in range(4000)] + [(g, f"old{i}") for i in range(6) for g in (1, 2)]
+    idx = spark.createDataFrame(rows, "ngram int, hash string")
+    hashes = sorted({h for _, h in rows})
+    places = spark.createDataFrame([(h, "", 1000 + i if h[0] == "h" else i) for i, h in enumerate(hashes)], "hash string, cwd string, ts_ms long")
+    sets = spark.createDataFrame([(f"g{k}", "", g) for k in range(3) for g in (1, 2)], "gk string, place string, ngram int")
+    postings = index.asked_postings(idx, sets, places)
+    first = materialize(index.first_candidates(postings, sets, 5).selectExpr("gk", "place", "hash", "ts_ms", "rank"))
+    assert {r.rank for r in first.collect()} == {2} and first.count() == 15
+    assert index.further_candidates(postings, sets, first, 5).count() <= 3
