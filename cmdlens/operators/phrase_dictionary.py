@@ -6,14 +6,21 @@ in a token (looked up in one pass over the token) or within its edit distance, f
 by equal *deletion variants* -- strings within d edits of one another share a string
 that deleting at most d characters of either gives. Words of 15 bytes and more allow
 three edits and have too many variants; they meet the tokens of a length within
-reach instead. The pairs found then go back to the rows, where a phrase consumes its
-words in order.
+reach instead. The words found then go back to the rows, once per token; a row's words
+meet the phrases inside its task (numpy, the phrases' prefixes shared), where a phrase
+consumes its words in order, so no row leaves for a phrase that is not found.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.keywords import found_keywords
 from ..functions.text import byte_view, edit_threshold, shell_tokens
@@ -58,6 +65,58 @@ def word_matches(tokens: DataFrame, words: dict[str, int]) -> DataFrame:
     return found.distinct()
 
 
+def phrase_prefixes(phrases: list[list[int]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The phrases' prefixes by length, each once: (place of the prefix one word shorter, last word) and
+    (prefix, phrase) of the phrases that end there."""
+    levels, at = [], np.zeros(len(phrases), np.int64)
+    for depth in range(max(map(len, phrases))):
+        known: dict[tuple[int, int], int] = {}
+        ends = []
+        for i, p in enumerate(phrases):
+            if depth < len(p):
+                at[i] = known.setdefault((int(at[i]), p[depth]), len(known))
+                if depth == len(p) - 1:
+                    ends.append((int(at[i]), i))
+        parent, word = np.array(list(known), np.int64).T
+        levels.append((parent, word, *np.array(ends, np.int64).reshape(-1, 2).T))
+    return levels
+
+
+def _found_in_order(words: np.ndarray, places: np.ndarray, levels) -> np.ndarray:
+    """Phrases whose words occur in order: ``words[i]`` is matched at ``places[i]``.
+
+    A prefix is met at the next place of its last word after the place where the shorter one was."""
+    keys = np.unique((words.astype(np.int64) << 32) | places)
+    keys = np.append(keys, np.iinfo(np.int64).max)
+    found, last = [], np.array([-1], np.int64)
+    for parent, word, node, phrase in levels:
+        here = np.full(len(parent), -1, np.int64)
+        live = np.flatnonzero(last[parent] >= 0) if found else np.arange(len(parent))
+        after = last[parent[live]] + 1
+        hit = keys[np.searchsorted(keys, (word[live] << 32) | after)]
+        ok = (hit >> 32) == word[live]
+        here[live[ok]] = hit[ok] & 0xFFFFFFFF
+        found.append(phrase[here[node] >= 0])
+        last = here
+    return np.concatenate(found)
+
+
+def _consumed(levels, ids: list, id_type: str):
+    """mapInArrow function: (key, phrase id) of the phrases that the matched words of each row hold in order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(ids, pa.int64() if id_type == "long" else pa.string())
+        for batch in batches:
+            for d, row in enumerate(batch.column(1)):
+                inner = row.values
+                ns = inner.field("ns")
+                counts = pc.list_value_length(ns).to_numpy(zero_copy_only=False)
+                phrases = _found_in_order(ns.flatten().to_numpy(), np.repeat(inner.field("pos").to_numpy(), counts), levels)
+                for lo in range(0, len(phrases), 65_536):
+                    part = pa.array(phrases[lo:lo + 65_536])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(part), d))), names.take(part)], ["_k", "phrase_id"])
+    return run
+
+
 def match_phrases(rows: DataFrame, phrases: list[tuple], key_col: str = "hash", text_col: str = "cmd") -> DataFrame:
     """(key, phrase id, exact) of every row that a phrase matches, exactly or with typos.
 
@@ -77,17 +136,12 @@ def match_phrases(rows: DataFrame, phrases: list[tuple], key_col: str = "hash",
     exact = texts.select("_k", F.explode(found_keywords("_t", [p for _, p in normal])).alias("found")).join(whole, "found").select("_k", "phrase_id")
 
     placed = texts.select("_k", F.posexplode(shell_tokens(byte_view("_t"))).alias("pos", "token"))
-    pairs = materialize(word_matches(placed.select("token").distinct(), words), "word-matches")
-    parts = spark.createDataFrame([(i, k, _latin1_literal(x), len(p.split())) for i, p in normal for k, x in enumerate(p.split())],
-                                  f"phrase_id {id_type}, at int, word string, n int")
-    hits = placed.join(pairs, "token").join(parts, "word")
-
-    # a token consumes at most one word: the next one, if it matches it
-    def step(acc, x):
-        take = (x["at"] == acc["next"]) & (x["pos"] > acc["last"])
-        return F.struct(F.when(take, acc["next"] + 1).otherwise(acc["next"]).alias("next"), F.when(take, x["pos"]).otherwise(acc["last"]).alias("last"))
-    in_order = F.array_sort(F.collect_list(F.struct("pos", "at")))
-    consumed = F.aggregate(in_order, F.struct(F.lit(0).alias("next"), F.lit(-1).alias("last")), step, lambda acc: acc["next"])
-    fuzzy = hits.groupBy("_k", "phrase_id").agg(consumed.alias("consumed"), F.first("n").alias("n")).filter("consumed = n").select("_k", "phrase_id")
+    number = {w: i for i, w in enumerate(words)}
+    numbers = spark.createDataFrame(list(number.items()), "word string, n int")
+    of_token = materialize(word_matches(placed.select("token").distinct(), words).join(numbers, "word").groupBy("token").agg(
+        F.collect_set("n").alias("ns")), "word-matches")
+    seen = placed.join(of_token, "token").groupBy("_k").agg(F.collect_list(F.struct("pos", "ns")).alias("seen"))
+    prefixes = phrase_prefixes([[number[_latin1_literal(x)] for x in p.split()] for _, p in normal])
+    fuzzy = seen.mapInArrow(_consumed(prefixes, [i for i, _ in normal], id_type), StructType([seen.schema["_k"], StructField("phrase_id", LongType() if id_type == "long" else StringType())]))
     return (exact.withColumn("exact", F.lit(True)).unionByName(fuzzy.withColumn("exact", F.lit(False)))
             .groupBy("_k", "phrase_id").agg(F.max("exact").alias("exact")).withColumnRenamed("_k", key_col))

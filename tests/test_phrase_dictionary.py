@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -54,3 +55,15 @@ def test_no_phrase_and_no_row(spark):
     df = spark.createDataFrame([(1, "x")], "hash long, cmd string")
     assert match_phrases(df, [(1, " ")]).collect() == [] and match_phrases(df, []).collect() == []
     assert match_phrases(df.limit(0), [(1, "x")]).collect() == []
+
+
+def test_frequent_word_of_many_phrases(spark):
+    """A word that every token matches and every phrase holds: 240 million (token, phrase) pairs, few results."""
+    rows = [(i, " ".join(["a"] * 400 + [f"end{i:04d}"])) for i in range(200)]
+    phrases = [(k, f"a a zq{k:05d}") for k in range(3000)] + [(9000 + k, f"a a END{k:04d}") for k in range(3)]
+    begun = time.time()
+    got = {(x.hash, x.phrase_id): x.exact for x in match_phrases(spark.createDataFrame(rows, "hash long, cmd string").repartition(4), phrases).collect()}
+    assert {k for k, exact in got.items() if exact} == {(i, 9000 + i) for i in range(3)}
+    near = {(i, 9000 + k) for i in range(200) for k in range(3) if sum(x != y for x, y in zip(f"{i:04d}", f"{k:04d}")) <= 1}
+    assert set(got) >= near and all(p >= 9000 for _, p in got)
+    assert time.time() - begun < 90
