@@ -6,7 +6,8 @@ keywords' heads; only windows found there are cut at the keywords' lengths and
 looked up in the set of keywords. The sets are hashed once per task, so the cost
 per place depends on the keywords' lengths, not on their number. Keywords longer
 than a window are looked up by their first ``WIDTH`` bytes, and only texts that
-hold one of these are cut at the full lengths.
+hold one of these are cut at the full lengths. Where no keyword holds a blank or line
+feed, the text is first cut at these, and of equal pieces one is looked at.
 
 Everything is in bytes (a Latin-1 view of the UTF-8 text).
 """
@@ -59,6 +60,10 @@ def found_keywords(text: Column | str, keywords: list[str], width: int = WIDTH)
     if not words:
         return F.when(text.isNotNull(), F.array().cast("array<string>"))
     view = byte_view(text)
+    if not any(" " in w or "\n" in w for w in words):
+        # no keyword crosses a blank or line feed: one copy of each long enough piece between them says it all
+        least = min(map(len, words))
+        view = F.array_join(F.filter(F.array_distinct(F.split(view, "[ \n]")), lambda t: F.char_length(t) >= least), " ")
     windows, found = _at_a_hit(view, words, width)
     cuts = F.array_distinct(F.flatten(F.transform(windows, found)))
     long_words = [w for w in words if len(w) > width]

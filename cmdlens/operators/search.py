@@ -28,7 +28,7 @@ from ..functions.text import split_keywords_py
 from ..schema import HITS_COLUMNS
 from .filters import scope, with_annotation_type
 from .squelch import squelch
-from .util import TOP_K_REACH, materialize, with_position
+from .util import TOP_K_REACH, materialize, spread, with_position
 
 DEFAULT_LIMIT = 5
 
@@ -149,4 +149,6 @@ def find(history: DataFrame, keywords: list[str] | str, limit: int | None = DEFA
 
 def keyword_hits(rows: DataFrame, keywords: list[str], text_col: str = "cmd") -> DataFrame:
     """Rows that hold any of the keywords, with ``found``, those they hold, in one pass whatever their number."""
-    return rows.withColumn("found", found_keywords(text_col, keywords)).filter(F.size("found") > 0)
+    # a generator's output: the filter is not copied below it, where each text would be searched twice
+    found = F.explode(F.array(found_keywords(text_col, keywords))).alias("found")
+    return spread(rows, text_col).select("*", found).filter(F.size("found") > 0)
