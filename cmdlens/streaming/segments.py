@@ -24,7 +24,7 @@ from ..session import checkpoint_path
 from .ingest import _shuffle_partitions, index_stream, use_rocksdb
 
 FANOUT = 4
-ROWS_PER_FILE = 4_000_000
+ROWS_PER_FILE = 1_000_000   # a file is sorted by one task
 _INDEX = "ngram int, hash string"
 
 

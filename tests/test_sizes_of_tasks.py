@@ -1,8 +1,13 @@
 """Work per task stays bounded: files, sorting tasks and texts are dealt by size, with the same results."""
 
+import glob
+
+from pyspark.sql import functions as F
+
 from cmdlens.functions.keywords import found_keywords
 from cmdlens.operators import hashlet, search
 from cmdlens.operators.util import spread
+from cmdlens.streaming.segments import SegmentedIndex
 
 
 def test_texts_are_dealt_evenly(spark):
@@ -25,3 +30,10 @@ def test_keywords_of_pieces_and_of_whole_texts(spark):
         got = {r.k: r.f for r in rows.select("k", found_keywords("t", kws).alias("f")).collect()}
         want = {r.k: None if r.t is None else sorted(k for k in kws if k in r.t) for r in rows.collect()}
         assert got == want
+
+
+def test_segment_files_follow_the_rows(spark, tmp_path):
+    idx = SegmentedIndex(spark, str(tmp_path))
+    idx.append(spark.range(2_200_000).select((F.col("id") % 5000).cast("int").alias("ngram"), F.col("id").cast("string").alias("hash")), 0)
+    assert len(glob.glob(f"{tmp_path}/segments/l0-e0/part-*")) == 3
+    assert idx.read().count() == 2_200_000
