@@ -14,6 +14,8 @@ not_found, ambiguous or found (with the command).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from .util import materialize
 
 MIN_LEN = 4
 MAX_LEN = 64
+# Rows of one sorting task: its memory stays the same for any history.
+ROWS_PER_TASK = 200_000
 
 
 def _lcp(a, b):
@@ -78,6 +82,9 @@ def resolve_prefixes(history: DataFrame, prefixes: DataFrame, col: str = "prefix
     stream = rows.select("_b", F.col("hash").alias("_key"), detail.alias("_d")).unionByName(
         cand.filter(F.col("_len") >= MIN_LEN).select(F.substring("_p", 1, MIN_LEN).alias("_b"), F.col("_p").alias("_key")),
         allowMissingColumns=True)
+    # buckets are even (SHA-256): as many tasks as the rows ask for
+    tasks = max(int(history.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((history.count() + cand.count()) / ROWS_PER_TASK))
+    stream = stream.repartition(tasks, "_b")
     # backwards, so that what follows a prefix has been seen; a hash comes before a prefix equal to it
     seen = Window.partitionBy("_b").orderBy(F.col("_key").desc(), F.col("_d").isNull().asc())
     upto = seen.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -94,7 +101,7 @@ def resolve_prefixes(history: DataFrame, prefixes: DataFrame, col: str = "prefix
         F.count(F.lit(1)).cast("int").alias("_n"), F.first("_d").alias("_d"))
     matched = long.unionByName(short)
 
-    res = p.join(matched, "_p", "left")
+    res = p.repartition(tasks, "_p").join(matched.repartition(tasks, "_p"), "_p", "left")
     status = (F.when(F.col("_len") == 0, "empty")
               .when(~F.col("_valid"), "invalid")
               .when(F.coalesce(F.col("_n"), F.lit(0)) == 0, "not_found")

@@ -37,3 +37,14 @@ def test_segment_files_follow_the_rows(spark, tmp_path):
     idx.append(spark.range(2_200_000).select((F.col("id") % 5000).cast("int").alias("ngram"), F.col("id").cast("string").alias("hash")), 0)
     assert len(glob.glob(f"{tmp_path}/segments/l0-e0/part-*")) == 3
     assert idx.read().count() == 2_200_000
+
+
+def test_prefixes_are_sorted_in_tasks_of_bounded_size(spark, monkeypatch):
+    history = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("hash"), F.col("id").cast("string").alias("cmd"),
+                                       F.lit("").alias("cwd"), F.lit(0).cast("long").alias("ts_ms"), F.lit("").alias("source"))
+    prefixes = history.select(F.explode(F.array(F.substring("hash", 1, 3), F.substring("hash", 1, 9))).alias("prefix")).distinct()
+    plain = {tuple(r) for r in hashlet.resolve_prefixes(history, prefixes).collect()}
+    monkeypatch.setattr(hashlet, "ROWS_PER_TASK", 100)
+    res = hashlet.resolve_prefixes(history, prefixes)
+    assert {tuple(r) for r in res.collect()} == plain and len(plain) == prefixes.count()
+    assert "RepartitionByExpression" in res._jdf.queryExecution().logical().toString()
