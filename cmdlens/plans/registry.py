@@ -935,11 +935,21 @@ def _drained(stream: DataFrame, spark, tag: str) -> DataFrame:
     return streaming.read_latest(spark, out)
 
 
+LOG_FILE_BYTES = 256_000_000
+
+
+def _as_log_files(lines: DataFrame, spark, tag: str, file_bytes: int = LOG_FILE_BYTES) -> str:
+    """One text column written as log files of bounded size, at least four: one task writes a file, whatever the table."""
+    path = checkpoint_path(spark, tag)
+    size = lines.select(F.sum(F.octet_length(lines.columns[0]).cast("long"))).first()[0] or 0
+    lines.repartition(max(4, -(-size // file_bytes))).write.text(path)
+    return path
+
+
 @register("stream_lines", ORACLE["line_source_ingest"].replace("'/docs'", "'/stream'"))
 def stream_lines(spark, sf):
     """Documents written as line logs in several files, streamed one file per micro-batch."""
-    path = checkpoint_path(spark, "line-stream")
-    documents(spark, sf).select("text").repartition(4).write.text(path)
+    path = _as_log_files(documents(spark, sf).select("text"), spark, "line-stream")
     lines = streaming.line_stream(spark, path, cwd="/stream", files_per_batch=1)
     return _drained(lines, spark, "line-stream-table").select("hash", "cmd", "cwd")
 
@@ -948,8 +958,7 @@ def stream_lines(spark, sf):
 SELECT DISTINCT sha256(display) AS hash, display AS cmd, 'agent' AS source, tool, category FROM tool_parsed""")
 def stream_tool_calls(spark, sf):
     """Hook payloads in several files, streamed one file per micro-batch."""
-    path = checkpoint_path(spark, "tool-stream")
-    fixtures.tool_call_json(events(spark, sf)).select("js").repartition(4).write.text(path)
+    path = _as_log_files(fixtures.tool_call_json(events(spark, sf)).select("js"), spark, "tool-stream")
     calls = streaming.tool_call_stream(spark, path, files_per_batch=1)
     return _drained(calls, spark, "tool-stream-table").select("hash", "cmd", "source", "tool", "category")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cmdlens.functions.keywords import found_keywords
 from cmdlens.operators import hashlet, search
 from cmdlens.operators.util import spread
+from cmdlens.plans import registry
 from cmdlens.streaming.segments import SegmentedIndex
 
 
@@ -32,6 +33,15 @@ def test_keywords_of_pieces_and_of_whole_texts(spark):
         assert got == want
 
 
+def test_log_files_follow_the_size(spark):
+    lines = spark.range(4000).select(F.lpad(F.col("id").cast("string"), 99, "x").alias("text"))
+    path = registry._as_log_files(lines, spark, "size-test", file_bytes=40_000)
+    assert len(glob.glob(f"{path.removeprefix('file:')}/part-*")) == 10      # 396,000 bytes
+    assert spark.read.text(path).exceptAll(lines.toDF("value")).count() == 0 and spark.read.text(path).count() == 4000
+    path = registry._as_log_files(lines.limit(3), spark, "size-test")
+    assert spark.read.text(path).count() == 3
+
+
 def test_segment_files_follow_the_rows(spark, tmp_path):
     idx = SegmentedIndex(spark, str(tmp_path))
     idx.append(spark.range(2_200_000).select((F.col("id") % 5000).cast("int").alias("ngram"), F.col("id").cast("string").alias("hash")), 0)
