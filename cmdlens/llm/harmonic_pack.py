@@ -27,7 +27,7 @@ CAPACITY = 1024
 CLASSES = 32
 MAX_WASTE = 0.03
 PER_WORKER = 20_000           # pieces that one worker packs by itself (half a sequence per class stays open)
-MEMO_WORDS = 1_000_000        # cached words of a tokenising worker
+MEMO_WORDS = 250_000          # cached words of a tokenising worker, kept while other stages run in it
 END_ID = 0
 
 _SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, _order string, _own long")
