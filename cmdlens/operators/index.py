@@ -15,7 +15,9 @@ the m - b + 1 rarest, where the pairs would be many), and they are ranked
 where they meet the set: a row leaves for the next exchange only if it reaches the bound. Keywords of one or two bytes (the substring-scan path) meet a small
 index of 1- and 2-byte substrings; the newest n of a set are among the newest n
 of its substrings, so each substring is cut to its newest n before sets are
-formed. Local tiers are restricted to the (set, directory) pairs that some query
+formed. Commands go by number (``numbered``: newest first), not by hash: eight bytes name
+one in the index, the postings and the candidates, and the hash comes back with
+the text. Local tiers are restricted to the (set, directory) pairs that some query
 asks for. Joins carry no broadcast hints: Spark plans them from measured sizes
 and splits skewed partitions.
 """
@@ -48,6 +50,18 @@ def build_index(history: DataFrame, text_col: str = "cmd", key_col: str = "hash"
     return windows.select(pack_gram("_g").alias("ngram"), *cols)
 
 
+def numbered(history: DataFrame) -> DataFrame:
+    """History with a number ``seq`` per row, newest first (ties by hash), written once.
+
+    The numbers rise with (ts_ms desc, hash) and have gaps: rows are sorted into ranges and a
+    range's rows are counted where they lie, so one exchange and no window does it. An index
+    keyed by ``seq`` takes 8 bytes per row where the hash takes 64.
+    """
+    order = [F.col("ts_ms").desc(), F.col("hash").asc()]
+    rows = history.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(rows.withColumn("seq", F.monotonically_increasing_id()), "numbered")
+
+
 def gram_doc_freq(index: DataFrame, key_col: str = "hash") -> DataFrame:
     """Number of rows (documents / commands) containing each trigram."""
     return index.groupBy("ngram").agg(F.count(key_col).alias("doc_freq"))
@@ -144,7 +158,11 @@ _RANKED = ["gk", "place", "hash", "ts_ms", "rank"]
 
 
 def _best(rows: DataFrame, n: int) -> DataFrame:
-    return _top_per_group(rows, ["gk", "place"], [F.col("rank").desc(), *_newest()], n)
+    """The best n commands of each set. A command met by several pairs comes as equal rows, which share a
+    place in the order: each task cuts its rows to n commands before the exchange, and repeats go after it."""
+    w = Window.partitionBy("gk", "place").orderBy(F.col("rank").desc(), *_newest())
+    top = rows.select(*_RANKED).withColumn("_rn", F.dense_rank().over(w)).filter(F.col("_rn") <= n)
+    return top.select(*_RANKED).distinct()
 
 
 def _of_pairs(postings: DataFrame, sets: DataFrame, upto: int, newest: int, n: int) -> DataFrame:
@@ -152,7 +170,7 @@ def _of_pairs(postings: DataFrame, sets: DataFrame, upto: int, newest: int, n: i
     pairs = _paired(sets, F.least(F.size("_by"), F.lit(upto)))
     rows = _top_per_group(_pair_postings(postings, pairs), ["place", "ga", "gb"], _newest(), newest)
     met = rows.join(pairs, ["place", "ga", "gb"]).select("gk", "place", "hash", "ts_ms", _rank())
-    return materialize(_best(met if upto == 2 else met.distinct(), n).select(*_RANKED), "of-pairs")
+    return materialize(_best(met, n), "of-pairs")
 
 
 def first_candidates(postings: DataFrame, sets: DataFrame, n: int) -> DataFrame:
@@ -174,8 +192,8 @@ def first_candidates(postings: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     newest = _top_per_group(postings, ["place", "ngram"], _newest(), FIRST_POSTINGS * n)
     single = (newest.join(few.withColumn("ngram", F.explode("_by")), ["place", "ngram"])
               .select("gk", "place", "hash", "ts_ms", _rank()))
-    rest = rare.join(unsure.select(*keys), keys, "left_semi").unionByName(more).unionByName(single).distinct()
-    return rare.join(unsure.select(*keys), keys, "left_anti").select(*_RANKED).unionByName(_best(rest, n).select(*_RANKED))
+    rest = rare.join(unsure.select(*keys), keys, "left_semi").unionByName(more).unionByName(single)
+    return rare.join(unsure.select(*keys), keys, "left_anti").select(*_RANKED).unionByName(_best(rest, n))
 
 
 def further_candidates(postings: DataFrame, sets: DataFrame, first: DataFrame, n: int) -> DataFrame:
@@ -226,51 +244,61 @@ def batch_search(history: DataFrame, queries: DataFrame, limit: int | None = 5,
     Only each tier's top ``limit`` rows can be returned, so candidates are
     the exact top-``limit`` per keyword set (global tiers) and per keyword set
     and directory (local tiers), computed once per distinct keyword set and
-    then joined to the queries that use it.
+    joined to the queries that use it.
+
+    ``index``: (ngram, seq) of a history that has been ``numbered``, or (ngram, hash) of any.
     """
     n = normalize_limit(limit)
+    by_seq = index is None or "seq" in index.columns
+    if index is not None and by_seq and "seq" not in history.columns:
+        raise ValueError("an index by seq needs the numbered history it was built from")
     # the keyed query table feeds six branches: written once, read six times
     q = materialize(_query_keys(queries), "batch-queries")
     qk = q.select("qid", "qcwd", "gk", "sk")
     local_q = qk.filter(F.col("qcwd") != "")
-    hist = scope(history, source=source).select("hash", "cmd", "cwd", "ts_ms", "source")
-    places = hist.select("hash", "cwd", "ts_ms")
+    hist = scope(history, source=source)
+    hist = (hist if "seq" in hist.columns else numbered(hist)).select("seq", "hash", "cmd", "cwd", "ts_ms", "source")
+    # the number stands for the hash up to the last join: it has the same order among equal times
+    places = hist.select(F.col("seq").alias("hash"), "cwd", "ts_ms")
 
     # rank = distinct query trigrams present, once per distinct trigram set, everywhere and in the asked directories
-    idx = build_index(hist.select("hash", "cmd")) if index is None else index.select("ngram", "hash")
     asked = q.filter(F.col("gk") != "").select(
         "gk", "_grams", F.explode(F.array_distinct(F.array(F.lit(""), "qcwd"))).alias("place"))
     in_sets = asked.select("gk", "place", F.explode("_grams").alias("ngram"))
-    best = materialize(ranked_top(idx, places, in_sets, n), "ranked-top")
-    t3 = best.filter(F.col("place") == "").select("gk", "hash", "rank")
-    t1 = best.filter(F.col("place") != "").select("gk", F.col("place").alias("cwd"), "hash", "rank")
+    idx = build_index(hist, key_col="seq") if index is None else index
+    if not by_seq:
+        idx = idx.join(in_sets.select("ngram").distinct(), "ngram", "left_semi").join(hist.select("hash", "seq"), "hash")
+    idx = idx.select("ngram", F.col("seq").alias("hash"))
+    best = materialize(ranked_top(idx, places, in_sets, n).withColumnRenamed("hash", "seq"), "ranked-top")
+    t3 = best.filter(F.col("place") == "").select("gk", "seq", "rank")
+    t1 = best.filter(F.col("place") != "").select("gk", F.col("place").alias("cwd"), "seq", "rank")
 
     # substring hits of 1-2 byte keywords: cut per substring, then per distinct set
     ssets = q.filter(F.col("sk") != "").select("sk", F.explode("_shorts").alias("sgram")).distinct()
-    sidx = short_gram_index(hist, keep=("hash", "cwd", "ts_ms")).join(
+    sidx = short_gram_index(hist, keep=("seq", "cwd")).join(
         ssets.select("sgram").distinct(), "sgram", "left_semi")
-    sorder = [F.col("ts_ms").desc(), F.col("hash").asc()]
-    newest = _top_per_group(sidx, ["sgram"], sorder, n).select("sgram", "hash", "ts_ms")
-    t4 = _top_per_group(newest.join(ssets, "sgram").select("sk", "hash", "ts_ms").distinct(), ["sk"], sorder, n)
+    sorder = [F.col("seq").asc()]
+    newest = _top_per_group(sidx, ["sgram"], sorder, n).select("sgram", "seq")
+    t4 = _top_per_group(newest.join(ssets, "sgram").select("sk", "seq").distinct(), ["sk"], sorder, n)
     asked_s = (local_q.filter(F.col("sk") != "").select("sk", F.col("qcwd").alias("cwd")).distinct()
                .join(ssets, "sk"))
     near = _top_per_group(sidx.join(asked_s.select("sgram", "cwd").distinct(), ["sgram", "cwd"], "left_semi"),
                           ["sgram", "cwd"], sorder, n)
-    t2 = _top_per_group(near.join(asked_s, ["sgram", "cwd"]).select("sk", "cwd", "hash", "ts_ms").distinct(),
+    t2 = _top_per_group(near.join(asked_s, ["sgram", "cwd"]).select("sk", "cwd", "seq").distinct(),
                         ["sk", "cwd"], sorder, n)
 
     c1 = local_q.join(t1.withColumnRenamed("cwd", "qcwd"), ["gk", "qcwd"]).select(
-        "qid", "qcwd", "hash", "rank", F.lit(1).alias("tier"))
+        "qid", "qcwd", "seq", "rank", F.lit(1).alias("tier"))
     c2 = local_q.join(t2.withColumnRenamed("cwd", "qcwd"), ["sk", "qcwd"]).select(
-        "qid", "qcwd", "hash", F.lit(0).cast("long").alias("rank"), F.lit(2).alias("tier"))
-    c3 = qk.join(t3, "gk").select("qid", "qcwd", "hash", "rank", F.lit(3).alias("tier"))
+        "qid", "qcwd", "seq", F.lit(0).cast("long").alias("rank"), F.lit(2).alias("tier"))
+    c3 = qk.join(t3, "gk").select("qid", "qcwd", "seq", "rank", F.lit(3).alias("tier"))
     c4 = qk.join(t4, "sk").select(
-        "qid", "qcwd", "hash", F.lit(0).cast("long").alias("rank"), F.lit(4).alias("tier"))
+        "qid", "qcwd", "seq", F.lit(0).cast("long").alias("rank"), F.lit(4).alias("tier"))
     cand = (c1.unionByName(c2).unionByName(c3).unionByName(c4)
-            .groupBy("qid", "qcwd", "hash").agg(F.min("tier").alias("tier"), F.max("rank").alias("rank")))
+            .groupBy("qid", "qcwd", "seq").agg(F.min("tier").alias("tier"), F.max("rank").alias("rank")))
 
     # at most 4 x limit candidates per query get the history's text
-    rows = cand.join(hist, "hash")
+    rows = cand.join(hist, "seq")
     scored = rows.withColumn(
         "rank_key", F.when(F.col("tier").isin(1, 3), F.col("rank")).otherwise(F.lit(0)))
     per_q = Window.partitionBy("qid")

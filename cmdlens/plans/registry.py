@@ -198,13 +198,13 @@ def batch_search(spark, sf):
 
 @register("batch_search_indexed", BATCH_SQL)
 def batch_search_indexed(spark, sf):
-    """Same queries against a prebuilt trigram index table: the index is
-    written with the stored layout (range-sorted by trigram) to the shared
-    folder and read back as a table."""
+    """Same queries against a prebuilt trigram index table: the index of the
+    numbered history is written with the stored layout (range-sorted by trigram)
+    to the shared folder and read back as a table."""
     ev = events(spark, sf)
-    h = stored_history(spark, sf)
+    h = index.numbered(history(spark, sf))
     path = checkpoint_path(spark, "ngram-index")
-    store.write_index(index.build_index(h), path)
+    store.write_index(index.build_index(h, key_col="seq"), path)
     return commands.batch_search(h, fixtures.search_queries(ev), limit=5, idx=spark.read.parquet(path))
 
 

@@ -71,7 +71,8 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 def write_index(index: DataFrame, path: str) -> None:
     """Trigram index at rest, range-partitioned and sorted by ``ngram`` so a
     lookup of a few trigrams reads only the files / row groups holding them;
-    ``hash`` as the second range key splits a trigram found in a third of all
-    commands across many files."""
-    (index.repartitionByRange("ngram", "hash").sortWithinPartitions("ngram", "hash")
+    the command's key (``hash``, or ``seq`` of a numbered history) as the second range key
+    splits a trigram found in a third of all commands across many files."""
+    order = ["ngram", *[c for c in index.columns if c != "ngram"]]
+    (index.repartitionByRange(*order).sortWithinPartitions(*order)
      .write.mode("overwrite").parquet(path))
