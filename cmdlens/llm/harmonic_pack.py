@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ CAPACITY = 1024
 CLASSES = 32
 MAX_WASTE = 0.03
 PER_WORKER = 20_000           # pieces that one worker packs by itself (half a sequence per class stays open)
-MEMO_WORDS = 250_000          # cached words of a tokenising worker, kept while other stages run in it
+MEMO_WORDS = 250_000          # cached words of a tokenising worker, kept while other stages run in it; as many again are kept from before
 END_ID = 0
 
 _SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, _order string, _own long")
@@ -54,7 +55,9 @@ class _Tokens(dict):
     The tokenizer's pre-tokens never run from a non-white character into white
     space, so a text may be cut before any blank or line feed that follows one;
     the parts' ids, joined, are the text's ids. The memo maps a word to the ids of
-    a blank and the word. Plain words are one pre-token and go to the tokenizer's
+    a blank and the word, and, under a key of its own, what follows a line feed to
+    the ids from the line feed on; words with a line feed inside are made of these
+    and not kept. A full memo becomes the old one, from which words in use come back. Plain words are one pre-token and go to the tokenizer's
     model directly, anything else through the whole tokenizer.
     """
 
@@ -67,6 +70,7 @@ class _Tokens(dict):
 
         super().__init__()
         assert array("I").itemsize == 4 and sys.byteorder == "little"
+        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.unsafe = re.compile(r"\s ").search
@@ -74,37 +78,71 @@ class _Tokens(dict):
         self.feed = self._encoded("\n")
         # Latin letters; ASCII signs; and, from a line feed on, the rest
         self.word = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)(\n(?s:.)*)?").fullmatch
+        self.line = re.compile(r"\n([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)(\n(?s:.)*)?").fullmatch
         # the byte-level alphabet: printable Latin-1 stands for itself, the other bytes for 256, 257, ...
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
         self.alphabet = {b: 256 + i for i, b in enumerate(others)}
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if len(self) > MEMO_WORDS:
-                self.clear()
-            if self.unsafe(text):  # a blank after white space: no cut before it
-                yield b"".join([self[p[1:]] if p[0] == " " and len(p) > 1 else self._whole(p) for p in self.cut(text) if p])
+        """Ids of each text. A batch's words are told apart by Arrow, so each distinct one is looked up once."""
+        if len(self) > MEMO_WORDS:
+            self.old = dict(self)
+            self.clear()
+        unsafe = [self.unsafe(t) is not None for t in texts]  # a blank after white space: no cut before it
+        parts = [(t, "", "") if u else t.partition(" ") for t, u in zip(texts, unsafe)]
+        words = pc.split_pattern(pa.array([rest if blank else None for _, blank, rest in parts], pa.large_string()), " ")
+        coded = words.flatten().dictionary_encode()
+        distinct = pa.array([self[w] for w in coded.dictionary.to_pylist()], pa.large_binary())
+        joined = distinct.take(coded.indices)
+        at = np.concatenate([[0], np.cumsum(pc.binary_length(joined).to_numpy(zero_copy_only=False), dtype=np.int64)])[words.offsets.to_numpy()].tolist()
+        ids = memoryview(joined.buffers()[2] or b"")
+        for (first, _, _), u, start, end in zip(parts, unsafe, at, at[1:]):
+            if u:
+                yield b"".join([self[p[1:]] if p[0] == " " and len(p) > 1 else self._whole(p) for p in self.cut(first) if p])
             else:
-                first, *words = text.split(" ")
-                yield self._whole(first) + b"".join(map(self.__getitem__, words))
+                yield self._whole(first) + ids[start:end]
 
     def __missing__(self, word: str) -> bytes:
-        m = self.word(word)
-        if m:
+        ids = self.old.get(word)
+        if ids is not None:
+            self[word] = ids
+            return ids
+        if word.isascii() and word.isalpha():
+            ids = self._letters(" ", word)
+        elif m := self.word(word):
             body, tail, rest = m.groups()
             # letters, then signs: two pre-tokens; a line feed after them opens a new part
             ids = self[body] if tail or rest else self._letters(" ", body)
             if tail:
                 ids += self.tail(tail)
             if rest:
-                ids += self._whole(rest)
+                return ids + self.after(rest)
         else:
             ids = self._whole(" " + word)
         if len(word) <= 64:
             self[word] = ids
         return ids
 
+    def after(self, rest: str) -> bytes:
+        """Ids of a part that starts with a line feed and has no blank."""
+        key = "\0" + rest
+        ids = self.get(key) or self.old.get(key)
+        if ids is None:
+            m = self.line(rest)
+            if not m:
+                ids = self._encoded(rest)
+            else:
+                letters, tail, more = m.groups()
+                if more:
+                    return self.after("\n" + letters + tail) + self.after(more)
+                ids = self.feed + self._letters("", letters)
+                if tail:
+                    ids += self.tail(tail)
+        if len(rest) <= 64:
+            self[key] = ids
+        return ids
+
     def tail(self, signs: str) -> bytes:
         key = "\0" + signs  # no word of one cut part and a tail share a key: a tail has no letter
         ids = self.get(key)
