@@ -24,10 +24,10 @@ def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(rows: DataFrame, text_col: str, part_bytes: int = 16_000_000) -> DataFrame:
-    """``rows`` dealt evenly for work per byte of ``text_col``: a table in few row groups would be few tasks."""
+def spread(rows: DataFrame, text_col: str, part_bytes: int = 16_000_000, *by: str) -> DataFrame:
+    """``rows`` dealt evenly (or by the columns ``by``) for work per byte of ``text_col``: a table in few row groups would be few tasks."""
     size = rows.select(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
-    return rows.repartition(max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-size // part_bytes)))
+    return rows.repartition(max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-size // part_bytes)), *by)
 
 
 def with_position(df: DataFrame, order: list[Column], name: str = "pos", tag: str = "ordered") -> DataFrame:
