@@ -16,6 +16,7 @@ phrase is exchanged.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +38,12 @@ _DELIMITER = np.array([re.fullmatch(SHELL_TOKEN_SPLIT, chr(i)) is not None for i
 _KEPT: dict[str, object] = {}   # what a worker process has built for its last phrases
 
 
-def _kept(name: str, of: tuple, build):
-    """``build()``, kept as long as ``of`` stays the same: a worker's tasks share it."""
-    if _KEPT.get(name, (None,))[0] != of:
-        _KEPT[name] = (of, build())
-    return _KEPT[name][1]
+def _kept(call: str, build):
+    """``build()``, kept until another call's tasks come: a worker's tasks share it."""
+    if call not in _KEPT:
+        _KEPT.clear()
+        _KEPT[call] = build()
+    return _KEPT[call]
 
 
 def _buffers(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -56,10 +58,10 @@ def _buffers(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_matches(tokens: DataFrame, words: dict[str, int]) -> DataFrame:
     """(token, word) for every word (a Latin-1 view, with its number of edits) that a token contains or is near to."""
-    names, edits = [w.encode("latin-1") for w in words], list(words.values())
+    names, edits, call = [w.encode("latin-1") for w in words], list(words.values()), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _kept("words", (names, edits), lambda: WordMatcher(names, edits))
+        matcher = _kept(call, lambda: WordMatcher(names, edits))
         all_words = pa.array(list(words), pa.string())
         for batch in batches:
             counts, word = matcher.match(*_buffers(batch.column(1)))
@@ -73,10 +75,10 @@ def word_matches(tokens: DataFrame, words: dict[str, int]) -> DataFrame:
 class PhrasePrefixes:
     """The phrases' prefixes by length, each once, those that continue the same one together."""
 
-    def __init__(self, phrases: list[list[int]], words: int, owner: np.ndarray):
-        sizes = np.array([len(p) for p in phrases])
-        flat, starts = np.concatenate([np.array(p, np.int64) for p in phrases]), np.cumsum(sizes) - sizes
-        at, self.levels = np.zeros(len(phrases), np.int64), []
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, words: int, owner: np.ndarray):
+        """``flat``: the words of all phrases one after another, as numbers below ``words``."""
+        starts = np.cumsum(sizes) - sizes
+        at, self.levels = np.zeros(len(sizes), np.int64), []
         for depth in range(sizes.max()):
             here = np.flatnonzero(sizes > depth)
             known, place = np.unique(at[here] * words + flat[starts[here] + depth], return_inverse=True)
@@ -160,8 +162,7 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray
 class _Phrases:
     """Phrases (distinct ids' numbers, normalized texts as bytes, words) to look for in chunks of rows."""
 
-    def __init__(self, owner: list[int], texts: list[bytes], split: list[list[int]], words: list[bytes], edits: list[int]):
-        owner = np.array(owner)
+    def __init__(self, owner: np.ndarray, texts: list[bytes], flat: np.ndarray, sizes: np.ndarray, words: list[bytes], edits: list[int]):
         distinct = {t: i for i, t in enumerate(dict.fromkeys(texts))}
         of = np.array([distinct[t] for t in texts])
         order = np.argsort(of, kind="stable")
@@ -169,7 +170,7 @@ class _Phrases:
         self.same, self.sames, self.holders = np.cumsum(counts) - counts, counts, owner[order]   # ids by text
         self.unique = len(np.unique(owner)) == len(owner)
         self.finder, self.matcher = TextFinder(list(distinct)), WordMatcher(words, edits)
-        self.prefixes = PhrasePrefixes(split, len(words), owner)
+        self.prefixes = PhrasePrefixes(flat, sizes, len(words), owner)
 
     def rows(self, keys: pa.Array, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row of a key, numbers of the ids found, whether exactly) of rows sorted by key."""
@@ -233,11 +234,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Ar
 
 def _consumed(key_name: str, ids: list, id_type: str, *of):
     """mapInArrow function: (key, phrase id, exact) of the phrases that the rows of each key hold."""
+    call = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(ids, pa.int64() if id_type == "long" else pa.string())
         phrases = None
         for keys, texts in _chunks(batches):
-            phrases = phrases or _kept("phrases", of, lambda: _Phrases(*of))
+            phrases = phrases or _kept(call, lambda: _Phrases(*of))
             held: list[tuple] = []
 
             def batch(held):
@@ -275,6 +278,7 @@ def match_phrases(rows: DataFrame, phrases: list[tuple], key_col: str = "hash",
     dealt = spread(texts, "_t", PART_BYTES, "_k").sortWithinPartitions("_k").select("_k", F.col("_t").cast("binary").alias("_t"))
     out = StructType([StructField(key_col, dealt.schema["_k"].dataType), StructField("phrase_id", LongType() if id_type == "long" else StringType()),
                       StructField("exact", BooleanType())])
+    split = [[number[_latin1_literal(x)] for x in p.split()] for _, p in normal]
     return dealt.mapInArrow(_consumed(
-        key_col, list(ids), id_type, [ids[i] for i, _ in normal], [p.encode("utf-8", "surrogateescape") for _, p in normal],
-        [[number[_latin1_literal(x)] for x in p.split()] for _, p in normal], [w.encode("latin-1") for w in words], list(words.values())), out)
+        key_col, list(ids), id_type, np.array([ids[i] for i, _ in normal]), [p.encode("utf-8", "surrogateescape") for _, p in normal],
+        np.concatenate([np.array(x, np.int64) for x in split]), np.array([len(x) for x in split]), [w.encode("latin-1") for w in words], list(words.values())), out)
